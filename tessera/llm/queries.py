@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat
+from tessera.llm import bpe, chat
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op9_chat_formatting": chat.op9_chat_formatting,
 }
 
