@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat
+from tessera.llm import bpe, chat, media, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op6_media_columns": media.op6_media_columns,
     "op9_chat_formatting": chat.op9_chat_formatting,
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.OP1_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
 }
