@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,9 +9,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["arrow_map", "delete", "scratch_path", "shared_dir", "table", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,10 +42,6 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def spread(df: DataFrame, columns: list[str], salt: str) -> DataFrame:
-    return df.repartition(*columns, salt)
-
-
 def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """kernel over each Arrow batch; a batch holds at most spark.sql.execution.arrow.maxRecordsPerBatch rows."""
 
@@ -58,10 +53,3 @@ def arrow_map(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch |
                     yield out
 
     return df.mapInArrow(run, schema)
-
-
-def package_on_workers(spark: SparkSession) -> None:
-    """Workers import the package by path where Spark runs outside the repository."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if root not in spark.sparkContext.environment.get("PYTHONPATH", "") and "PYTHONPATH" not in os.environ:
-        os.environ["PYTHONPATH"] = root
