@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+#: Rows and bytes of the batches that Python workers get, set where the session has Spark's defaults: texts
+#: are long, and several workers share an executor's memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -25,10 +28,14 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 
 
 def ship(spark: SparkSession) -> None:
-    """Once a session: gives workers this package where neither PYTHONPATH nor the working directory holds it."""
+    """Once a session: sets the batches, and gives workers this package where neither PYTHONPATH nor the
+    working directory holds it."""
     if getattr(spark, "_tessera_shipped", False):
         return
     spark._tessera_shipped = True
+    for name, (usual, own) in BATCHES.items():
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, own)
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == ROOT:
         return
     path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
