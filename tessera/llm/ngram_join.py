@@ -16,13 +16,15 @@ Steps, each over all documents:
 2. Document frequencies: each task sends its distinct tokens, counted and packed by hash range; tokens in at
    least FREQUENT sets, at most MOST_FREQUENT of them, are broadcast (12 bytes each). Only speed hangs on
    which those are.
-3. Signatures, packed by hash range, meet in lists. A list of at most SHORT_LIST documents gives its pairs
-   with the number of signatures they share; a longer one gives a star around its most typical document.
-4. Pairs of documents whose prefixes hold rare tokens only must share enough of them to reach the overlap
-   that their sizes ask for; the rest of the pairs is dropped unread, as a count proves it can't link.
+3. Signatures, packed by hash range, meet in lists. Rare tokens are in under FREQUENT sets; their lists give
+   all pairs, with the number of tokens shared. So do short lists of the frequent class; a long one gives a
+   star around its most typical document, the one of which the largest part is frequent.
+4. Counts prove most pairs unable to link: with rare prefixes, at most (shared + 3/4 of the larger - 1) tokens
+   are common; with prefixes that reach the frequent class, all rare tokens are indexed, and at most (shared +
+   the fewer frequent tokens) are. The rest is verified on whole sets.
 5. Verified pairs are links; components by star contraction.
-6. In long lists, documents that still stand in different components are verified against each other, so no
-   link is lost to the stars.
+6. Documents of long lists that still stand in different components are verified against each other where
+   these counts allow a link, so none is lost to the stars.
 
 Defined results: a null or wordless text has no tokens, links with nothing and is its own component; fewer
 words than five are one token; a null doc_id is given the component of its text's other copies, null if it
@@ -44,7 +46,7 @@ from tessera.llm.common import arrow_map, table, written
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, shingle_set
 
-FREQUENT, MOST_FREQUENT, COMBINED, SHORT_LIST = 32, 1_000_000, 160, 32
+FREQUENT, MOST_FREQUENT, COMBINED, SHORT_LIST = 32, 1_000_000, 64, 32
 #: Tokens that a task gathers before it packs them; tokens that a bucket should hold.
 GATHERED, BUCKET_TOKENS = 1 << 21, 1 << 20
 #: Ids that may be broadcast, 8 bytes each; beyond, the join is shuffled.
@@ -153,9 +155,10 @@ def frequent_tokens(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Signatures of the rare class, of the frequent class, and how typical the set is (0 to 127)."""
+    """Signatures of the rare class, of the frequent class, and the number of frequent tokens if the prefix
+    reaches that class, else 0."""
     n = len(tokens)
-    if n < DEN:  # links with its equal only
+    if n < NUM:  # links with its equal only
         return tokens[:0], tokens[:0], 0
     need = n - least_own(n) + 1
     if len(frequent):
@@ -177,12 +180,16 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, bits:
         prefix = hot[: missing + 1]
         a, b = np.triu_indices(len(prefix), 1)
         out.append(mix(mix(prefix[a] ^ _COMBINED) + prefix[b]))
-    return rare, np.concatenate(out), int(127 * len(hot) // n)
+    return rare, np.concatenate(out), len(hot)
+
+
+#: Columns of packed postings: signature's bits after the bucket's, document, its tokens, its frequent tokens
+#: where its prefix reaches them, and the signature's class.
+POSTING = {"low": np.uint32, "doc": np.int64, "n": np.uint32, "hot": np.uint32, "kind": np.uint8}
 
 
 def posting_blocks(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, bits: int) -> DataFrame:
-    """(bucket, low, doc, n, mark): packed postings. mark: the signature's class in the top bit, below it how
-    typical the document is, over 0 if its prefix reaches the frequent class."""
+    """Postings packed by bucket."""
     sent = docs.sparkSession.sparkContext.broadcast((frequent, rank))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +197,11 @@ def posting_blocks(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, bits
         held, size = [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if doc is None:
-                    continue
                 tokens = shingle_set(text)
-                rare, hot, typical = signatures(tokens, own, own_rank, bits)
-                for sigs, kind in ((rare, 0), (hot, 128)):
+                rare, hot, count = signatures(tokens, own, own_rank, bits)
+                for sigs, kind in ((rare, 0), (hot, 1)):
                     if len(sigs):
-                        held.append((sigs, doc, len(tokens), kind | typical))
+                        held.append((sigs, doc, len(tokens), count, kind))
                         size += len(sigs)
                 if size >= GATHERED // 2:
                     yield packed(held)
@@ -209,64 +214,68 @@ def posting_blocks(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, bits
         sigs = np.concatenate([h[0] for h in held])
         order = np.argsort(sigs, kind="stable")
         sigs = sigs[order]
-        doc, n, mark = (np.repeat(np.array([h[k] for h in held], t), sizes)[order] for k, t in ((1, np.int64), (2, np.uint32), (3, np.uint8)))
+        rest = [np.repeat(np.array([h[k] for h in held], t), sizes)[order] for k, t in enumerate(list(POSTING.values())[1:], 1)]
         full, at = _split(sigs, bits)
-        low = _low(sigs, bits)
-        cut = [[v[at[k] : at[k + 1]].tobytes() for k in range(len(full))] for v in (low, doc, n, mark)]
-        return pa.record_batch([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cut)], ["bucket", "low", "doc", "n", "mark"])
+        cut = [[v[at[k] : at[k + 1]].tobytes() for k in range(len(full))] for v in (_low(sigs, bits), *rest)]
+        return pa.record_batch([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cut)], ["bucket", *POSTING])
 
-    return docs.select("doc_id", "text").mapInArrow(gather, "bucket int, low binary, doc binary, n binary, mark binary")
+    return docs.select("doc_id", "text").mapInArrow(gather, "bucket int, " + ", ".join(f"{c} binary" for c in POSTING))
 
 
 def _linkable(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)
 
 
+#: What meets: kind 0 is a pair of documents x and y with their shared rare tokens, sizes and frequent tokens;
+#: kind 2 is the document y of the long list x.
+MET = "x long, y long, kind long, shared long, n long, m long, hot_x long, hot_y long"
+
+
 def meet(group: pa.Table) -> pa.Table:
-    """Lists of a bucket as rows (x, y, shared, kind, n, m). Kind 0: a pair and its shared rare signatures;
-    1: a pair to be verified in any case; 2: document y of the long list x."""
-    low, doc, n, mark = (np.concatenate([np.frombuffer(b, t) for b in group.column(c).to_pylist()]) for c, t in (("low", np.uint32), ("doc", np.int64), ("n", np.uint32), ("mark", np.uint8)))
-    bucket = group.column("bucket")[0].as_py()
+    """The pairs and the members of long lists of a bucket."""
+    low, doc, n, hot, kind = (np.concatenate([np.frombuffer(b, t) for b in group.column(c).to_pylist()]) for c, t in POSTING.items())
     order = np.lexsort((doc, low))
-    low, doc, n, mark = low[order], doc[order], n[order].astype(np.int64), mark[order]
-    starts = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.empty(0, np.int64)
+    low, doc, n, hot, kind = low[order], doc[order], n[order].astype(np.int64), hot[order].astype(np.int64), kind[order]
+    starts = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
     lengths = np.diff(np.append(starts, len(low)))
+    long = (kind[starts] == 1) & (lengths > SHORT_LIST)
     parts = []
 
-    def pairs(a: np.ndarray, b: np.ndarray, sure: bool = False) -> None:
-        keep = (doc[a] != doc[b]) & _linkable(n[a], n[b])
-        a, b = a[keep], b[keep]
-        kind = np.ones(len(a), np.int64) if sure else (((mark[a] | mark[b]) >= 128) | ((mark[a] & 127 > 0) & (mark[b] & 127 > 0))).astype(np.int64)
-        parts.append(np.stack([doc[a], doc[b], np.ones(len(a), np.int64), kind, n[a], n[b]]))
+    def pairs(a: np.ndarray, b: np.ndarray) -> None:
+        shared = 1 - (kind[a] | kind[b]).astype(np.int64)
+        keep = (doc[a] != doc[b]) & _linkable(n[a], n[b]) & ((shared == 1) | (np.minimum(hot[a], hot[b]) >= least_overlap(n[a], n[b])))
+        a, b, shared = a[keep], b[keep], shared[keep]
+        parts.append(np.stack([doc[a], doc[b], np.zeros(len(a), np.int64), shared, n[a], n[b], hot[a], hot[b]]))
 
-    for size in range(2, SHORT_LIST + 1):
-        rows = starts[lengths == size]
-        if len(rows):
+    for size in np.unique(lengths[~long]):
+        if size > 1:
+            rows = starts[~long & (lengths == size)]
             i, j = np.triu_indices(size, 1)
             pairs((rows[:, None] + i).ravel(), (rows[:, None] + j).ravel())
     seen = set()
-    for start, size in zip(starts[lengths > SHORT_LIST], lengths[lengths > SHORT_LIST], strict=True):
+    for start, size in zip(starts[long], lengths[long], strict=True):
         span = np.arange(start, start + size)
-        same = xxhash.xxh3_64_intdigest(doc[span].tobytes())
-        if same in seen:
+        # a document links by frequent tokens only with one that isn't too long for the tokens it has
+        least = np.partition(n[span], 1)[:2]
+        other = np.where(n[span] == least[0], least[1], least[0])
+        span = span[hot[span] >= least_overlap(n[span], np.maximum(other, least_own(n[span])))]
+        name = xxhash.xxh3_64_intdigest(doc[span].tobytes()) >> 1
+        if len(span) < 2 or name in seen:
             continue
-        seen.add(same)
-        middle = span[np.argmax(mark[span] & 127)]
+        seen.add(name)
+        middle = span[np.argmax(hot[span] / n[span])]
         others = span[span != middle]
-        first, last = np.minimum(others, middle), np.maximum(others, middle)
-        pairs(first, last, sure=True)
-        name = np.full(size, (bucket << 32) | int(low[start]), np.int64)
-        parts.append(np.stack([name, doc[span], np.zeros(size, np.int64), np.full(size, 2), n[span], n[span]]))
-    if parts:
-        rows = np.concatenate(parts, axis=1)
-        order = np.lexsort((rows[1], rows[0], rows[3]))
-        rows = rows[:, order]
-        fresh = np.flatnonzero(np.append(True, (rows[[0, 1, 3], 1:] != rows[[0, 1, 3], :-1]).any(axis=0))) if rows.shape[1] else np.empty(0, np.int64)
-        shared = np.add.reduceat(rows[2], fresh) if len(fresh) else rows[2]
+        pairs(np.minimum(others, middle), np.maximum(others, middle))
+        none = np.zeros(len(span), np.int64)
+        parts.append(np.stack([none + name, doc[span], none + 2, none, n[span], none, hot[span], none]))
+    rows = np.concatenate(parts, axis=1) if parts else np.empty((8, 0), np.int64)
+    rows = rows[:, np.lexsort((rows[1], rows[0], rows[2]))]
+    fresh = np.flatnonzero(np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))[: rows.shape[1]]
+    if len(fresh):
+        shared = np.add.reduceat(rows[3], fresh)
         rows = rows[:, fresh]
-    else:
-        rows, shared = np.empty((6, 0), np.int64), np.empty(0, np.int64)
-    return pa.table({"x": rows[0], "y": rows[1], "shared": shared, "kind": rows[3], "n": rows[4], "m": rows[5]})
+        rows[3] = shared
+    return pa.table({c.split()[0]: rows[k] for k, c in enumerate(MET.split(", "))})
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -301,13 +310,14 @@ def links(docs: DataFrame, total: int) -> DataFrame:
     bits = min(16, max(6, (total // BUCKET_TOKENS).bit_length()))
     frequent, rank = frequent_tokens(docs, bits)
     blocks = posting_blocks(docs, frequent, rank, bits)
-    met = written(blocks.groupBy("bucket").applyInArrow(meet, "x long, y long, shared long, kind long, n long, m long"), "met")
-    pairs = met.where("kind < 2").groupBy("x", "y").agg(F.sum("shared").alias("shared"), F.max("kind").alias("kind"), F.first("n").alias("n"), F.first("m").alias("m"))
-    ceil = lambda top, by: F.ceil(F.expr(top) / F.lit(by))
-    reach = ceil(f"{NUM} * (n + m)", NUM + DEN), ceil(f"{NUM} * greatest(n, m)", DEN)
-    enough = (F.col("kind") == 1) | (F.col("shared") >= reach[0] - reach[1] + 1)
-    found = written(verified(docs, pairs.where(enough).select("x", "y")), "links")
-    members = met.where("kind = 2").select(F.col("x").alias("list"), F.col("y").alias("node"), "n")
+    met = written(blocks.groupBy("bucket").applyInArrow(meet, MET), "met")
+    same = [F.first(c).alias(c) for c in ("n", "m", "hot_x", "hot_y")]
+    pairs = met.where("kind = 0").groupBy("x", "y").agg(F.sum("shared").alias("shared"), *same)
+    overlap = F.ceil(F.expr(f"{NUM} * (n + m)") / F.lit(NUM + DEN))
+    own = F.ceil(F.expr(f"{NUM} * greatest(n, m)") / F.lit(DEN))
+    most = F.col("shared") + F.when((F.col("hot_x") > 0) & (F.col("hot_y") > 0), F.least("hot_x", "hot_y")).otherwise(own - 1)
+    found = written(verified(docs, pairs.where(most >= overlap).select("x", "y")), "links")
+    members = met.where("kind = 2").select(F.col("x").alias("list"), F.col("y").alias("node"), "n", F.col("hot_x").alias("hot")).distinct()
     if not members.take(1):
         return found
     named = members.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -318,13 +328,13 @@ def links(docs: DataFrame, total: int) -> DataFrame:
 
 
 def across(group: pa.Table) -> pa.Table:
-    """Pairs of a list's documents that stand in different components and may link."""
-    node, n, part = (group.column(c).to_numpy() for c in ("node", "n", "component"))
+    """Pairs of a list's documents that stand in different components and may link by frequent tokens."""
+    node, n, hot, part = (group.column(c).to_numpy() for c in ("node", "n", "hot", "component"))
     names, at, sizes = np.unique(part, return_inverse=True, return_counts=True)
     main = sizes.argmax()
     xs, ys = [], []
     for i in np.flatnonzero(at != main):  # all but the largest component's, against those not seen yet
-        others = (part != part[i]) & ((at == main) | (node > node[i])) & _linkable(n, n[i])
+        others = (part != part[i]) & ((at == main) | (node > node[i])) & _linkable(n, n[i]) & (np.minimum(hot, hot[i]) >= least_overlap(n, n[i]))
         xs.append(np.full(int(others.sum()), node[i]))
         ys.append(node[others])
     x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (xs, ys))
