@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, media, ngram_join, warc
+from tessera.llm import bpe, chat, decontam, media, ngram_join, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op5_decontamination": decontam.op5_decontamination,
     "op6_media_columns": media.op6_media_columns,
     "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op9_chat_formatting": chat.op9_chat_formatting,
