@@ -10,9 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
-#: Rows and bytes of the batches that Python workers get, set where the session has Spark's defaults: texts
+#: Rows and bytes of the batches that readers fill and Python workers get, set where the session has Spark's defaults: texts
 #: are long, and several workers share an executor's memory.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
