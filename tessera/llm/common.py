@@ -28,10 +28,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors. Small results of many
+    tasks are first gathered into files of the advisory size."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

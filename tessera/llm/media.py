@@ -126,5 +126,5 @@ def analyse(media: DataFrame) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = written(encode(table(spark, sf_dir, "documents")), "media")
+    stored = written(encode(table(spark, sf_dir, "documents")), "media", rebalance=False)
     return analyse(stored).drop("frames", "codes")

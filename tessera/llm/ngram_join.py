@@ -80,7 +80,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
 
 
 def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is or isn't among the ids, a written table; its count decides whether it is broadcast."""
+    """docs whose doc_id is or isn't among the ids; their count decides whether they are broadcast."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
