@@ -1,7 +1,7 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Documents and benchmark items are sequences of words, case-folded and without punctuation at either end. A
-document is contaminated by an item if a run of its words is within floor(EDITS * m) word edits of the item's
+Documents and benchmark items are sequences of words: lower-case, in NFC, split at white space and ASCII
+marks. A document is contaminated by an item if a run of its words is within floor(EDITS * m) word edits of the item's
 m words.
 
 * Screen. A run within k edits of m words shares at least m - 1 - 2k word pairs with it. Positions whose next
@@ -27,6 +27,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import unicodedata
 
@@ -41,7 +42,6 @@ EDITS, RECALL, SAMPLED, EMBEDDINGS = 0.2, 0.999, 5, 8
 MOST_TABLES = 256
 BLOCK_BYTES = 8 << 20
 EMBEDDED_AT_ONCE = 4096
-_WORDS_KEPT = 200_000
 SEED = 20
 
 
@@ -49,23 +49,15 @@ def allowed(m: int) -> int:
     return int(EDITS * m) if m >= 3 else 0
 
 
-def normal(word: str) -> str:
-    """Case-folded, without the characters at either end that are neither letters nor digits."""
-    word = word.casefold()
-    if not word.isascii():
-        word = unicodedata.normalize("NFC", word)
-    if word.isalnum():
-        return word
-    start, stop = 0, len(word)
-    while start < stop and not word[start].isalnum():
-        start += 1
-    while stop > start and not word[stop - 1].isalnum():
-        stop -= 1
-    return word[start:stop]
+#: ASCII marks and control characters separate words, like white space.
+_MARKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
-def words(text: str | None) -> list[str]:
-    return [w for w in map(normal, (text or "").split()) if w]
+def words(text: str | None) -> list[bytes]:
+    text = (text or "").lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    return text.encode().translate(_MARKS).split()
 
 
 def best_alignment(item: list[int], run: np.ndarray) -> tuple[int, int]:
@@ -89,20 +81,6 @@ def best_alignment(item: list[int], run: np.ndarray) -> tuple[int, int]:
     return best
 
 
-class _Vocabulary(dict):
-    """Raw word -> number of its normal form in the items; 0 if it is in none, -1 if nothing is left of it."""
-
-    def __init__(self, numbers: dict[str, int]) -> None:
-        self.numbers = numbers
-
-    def __missing__(self, raw: str) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        word = normal(raw)
-        value = self[raw] = self.numbers.get(word, 0) if word else -1
-        return value
-
-
 class Index:
     """A block of items, embedded and hashed."""
 
@@ -110,7 +88,7 @@ class Index:
         split = [(i, words(t)) for i, t in items]
         self.items = [(i, w) for i, w in split if w]
         numbers = {w: k for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}), 1)}
-        self.vocabulary = _Vocabulary(numbers)
+        self.number = numbers.get
         self.size = len(numbers) + 1
         self.codes = [np.array([numbers[w] for w in ws], np.int64) for _, ws in self.items]
         pairs = {int(p) for c in self.codes for p in self.pairs(c)}
@@ -192,9 +170,8 @@ class Index:
 
     def screened(self, text: str | None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         """A text's words as numbers, and for each item length the positions where a match may start."""
-        raw = (text or "").split()
-        codes = np.fromiter(map(self.vocabulary.__getitem__, raw), np.int64, len(raw))
-        codes = codes[codes >= 0]
+        found = words(text)
+        codes = np.fromiter(map(self.number, found, itertools.repeat(0)), np.int64, len(found))
         out: dict[int, np.ndarray] = {}
         if not len(codes) or not self.items:
             return codes, out
