@@ -28,11 +28,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors. Small results of many
-    tasks are first gathered into files of the advisory size."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors. With files, rows are
+    first dealt to so many tasks: a table of ids made by many tasks isn't left in as many tiny files."""
     path = scratch_path(df.sparkSession, name)
-    (df.hint("rebalance") if rebalance else df).write.option("compression", "zstd").parquet(path)
+    (df.repartition(files) if files else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ from tessera.llm.common import written
 EDGE = "x long, y long"
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(node, component) of every node of the undirected edges (x, y); component is the smallest node id.
 
     Nulls and loops are ignored, repeated edges count once, no edges give no rows. Each step groups a node's
@@ -18,10 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     split by adaptive skew joins. Every second round is a written table, so lineage stays short.
     """
     edges = edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    edges = written(edges, "edges")
+    edges = written(edges, "edges", files)
     state = None
     while True:
-        edges = written(_star(_star(edges)), "edges")
+        edges = written(_star(_star(edges)), "edges", files)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y") % 1000003).alias("h")).first()
         if state == now:
             return edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("component")).unionByName(edges.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct())

@@ -51,6 +51,8 @@ FREQUENT, MOST_FREQUENT, COMBINED, SHORT_LIST = 32, 1_000_000, 64, 32
 GATHERED, BUCKET_TOKENS = 1 << 21, 1 << 20
 #: Ids that may be broadcast, 8 bytes each; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Documents for which a table of ids gets one file.
+FILE_ROWS = 1 << 20
 #: Jaccard similarity of at least 3/4.
 NUM, DEN = 3, 4
 
@@ -141,10 +143,10 @@ def frequencies(docs: DataFrame, bits: int, least: int) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(total, "key long, df long")
 
 
-def frequent_tokens(docs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(docs: DataFrame, bits: int, files: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys, sorted, and the rank by frequency of the frequent class. Where over MOST_FREQUENT tokens are in
     FREQUENT sets, the least number of sets is doubled until no more remain: that bounds the broadcast."""
-    found = written(frequencies(docs, bits, FREQUENT), "frequent")
+    found = written(frequencies(docs, bits, FREQUENT), "frequent", files)
     least = FREQUENT
     by_size = sorted((r["power"], r["n"]) for r in found.groupBy(F.floor(F.log2("df")).alias("power")).agg(F.count("*").alias("n")).collect())
     while sum(n for power, n in by_size if 2**power >= least) > MOST_FREQUENT:
@@ -227,7 +229,7 @@ def _linkable(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 #: What meets: kind 0 is a pair of documents x and y with their shared rare tokens, sizes and frequent tokens;
-#: kind 2 is the document y of the long list x.
+#: kind 2 says that document y is in a long list whose star is around x. Lists around one document count as one.
 MET = "x long, y long, kind long, shared long, n long, m long, hot_x long, hot_y long"
 
 
@@ -259,15 +261,15 @@ def meet(group: pa.Table) -> pa.Table:
         least = np.partition(n[span], 1)[:2]
         other = np.where(n[span] == least[0], least[1], least[0])
         span = span[hot[span] >= least_overlap(n[span], np.maximum(other, least_own(n[span])))]
-        name = xxhash.xxh3_64_intdigest(doc[span].tobytes()) >> 1
-        if len(span) < 2 or name in seen:
+        same = xxhash.xxh3_64_intdigest(doc[span].tobytes())
+        if len(span) < 2 or same in seen:
             continue
-        seen.add(name)
+        seen.add(same)
         middle = span[np.argmax(hot[span] / n[span])]
         others = span[span != middle]
         pairs(np.minimum(others, middle), np.maximum(others, middle))
         none = np.zeros(len(span), np.int64)
-        parts.append(np.stack([none + name, doc[span], none + 2, none, n[span], none, hot[span], none]))
+        parts.append(np.stack([none + doc[middle], doc[span], none + 2, none, n[span], none, hot[span], none]))
     rows = np.concatenate(parts, axis=1) if parts else np.empty((8, 0), np.int64)
     rows = rows[:, np.lexsort((rows[1], rows[0], rows[2]))]
     fresh = np.flatnonzero(np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))[: rows.shape[1]]
@@ -278,16 +280,16 @@ def meet(group: pa.Table) -> pa.Table:
     return pa.table({c.split()[0]: rows[k] for k, c in enumerate(MET.split(", "))})
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, files: int) -> DataFrame:
     """The pairs (x, y) of documents whose sets link. Only the sets that are needed are built; each pair meets
     its two sets by shuffled joins, which split a hot document."""
-    pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct(), "ids")
+    pairs = written(pairs, "pairs", files)
+    ids = written(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct(), "ids", files)
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "tokens"])
 
-    sets = written(arrow_map(join_ids(docs.select("doc_id", "text"), ids, "left_semi"), build, "doc_id long, tokens binary"), "sets")
+    sets = written(arrow_map(join_ids(docs.select("doc_id", "text"), ids, "left_semi"), build, "doc_id long, tokens binary"), "sets", 8 * files)
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         hit = []
@@ -304,27 +306,27 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return arrow_map(joined, check, "x long, y long")
 
 
-def links(docs: DataFrame, total: int) -> DataFrame:
+def links(docs: DataFrame, total: int, files: int) -> DataFrame:
     """Links (x, y) that connect all documents whose sets link; docs holds each set once. Not every link is
     listed: those between documents that other links connect may be absent."""
     bits = min(16, max(6, (total // BUCKET_TOKENS).bit_length()))
-    frequent, rank = frequent_tokens(docs, bits)
+    frequent, rank = frequent_tokens(docs, bits, files)
     blocks = posting_blocks(docs, frequent, rank, bits)
-    met = written(blocks.groupBy("bucket").applyInArrow(meet, MET), "met")
+    met = written(blocks.groupBy("bucket").applyInArrow(meet, MET), "met", 2 * files)
     same = [F.first(c).alias(c) for c in ("n", "m", "hot_x", "hot_y")]
     pairs = met.where("kind = 0").groupBy("x", "y").agg(F.sum("shared").alias("shared"), *same)
     overlap = F.ceil(F.expr(f"{NUM} * (n + m)") / F.lit(NUM + DEN))
     own = F.ceil(F.expr(f"{NUM} * greatest(n, m)") / F.lit(DEN))
     most = F.col("shared") + F.when((F.col("hot_x") > 0) & (F.col("hot_y") > 0), F.least("hot_x", "hot_y")).otherwise(own - 1)
-    found = written(verified(docs, pairs.where(most >= overlap).select("x", "y")), "links")
+    found = written(verified(docs, pairs.where(most >= overlap).select("x", "y"), files), "links", files)
     members = met.where("kind = 2").select(F.col("x").alias("list"), F.col("y").alias("node"), "n", F.col("hot_x").alias("hot")).distinct()
     if not members.take(1):
         return found
-    named = members.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = written(named, "members")
+    named = members.join(components(found, files), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named, "members", files)
     open_lists = named.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("list")
     apart = named.join(open_lists, "list", "left_semi").groupBy("list").applyInArrow(across, "x long, y long").distinct()
-    return found.unionByName(written(verified(docs, apart), "links"))
+    return found.unionByName(written(verified(docs, apart, files), "links", files))
 
 
 def across(group: pa.Table) -> pa.Table:
@@ -343,14 +345,15 @@ def across(group: pa.Table) -> pa.Table:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    rows = written(set_rows(docs), "set-rows")
+    files = 1 + docs.count() // FILE_ROWS
+    rows = written(set_rows(docs), "set-rows", files)
     first = rows.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("own"))
-    rows = written(rows.join(first, ["high", "low"], "left").select("doc_id", "n", "own"), "rows")
-    copies = written(rows.where("doc_id is not null and (n = 0 or own <> doc_id)").select("doc_id").distinct(), "copies")
+    rows = written(rows.join(first, ["high", "low"], "left").select("doc_id", "n", "own"), "rows", files)
+    copies = written(rows.where("doc_id is not null and (n = 0 or own <> doc_id)").select("doc_id").distinct(), "copies", files)
     total = rows.agg(F.sum("n")).first()[0] or 0
     single = join_ids(docs.select("doc_id", "text").where("doc_id is not null"), copies, "left_anti")
-    named = components(links(single, total)).select(F.col("node").alias("own"), "component")
-    joined = rows.join(written(named, "components"), "own", "left")
+    named = components(links(single, total, files), files).select(F.col("node").alias("own"), "component")
+    joined = rows.join(written(named, "components", files), "own", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "own", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
 
 
