@@ -81,6 +81,11 @@ def best_alignment(item: list[int], run: np.ndarray) -> tuple[int, int]:
     return best
 
 
+def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known, sorted ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class Index:
     """A block of items, embedded and hashed."""
 
@@ -108,7 +113,7 @@ class Index:
         self.tables = min(MOST_TABLES, max(EMBEDDINGS, tables))
         #: For each length: the embedding and the steps that each table reads.
         self.reads = {m: [(t % EMBEDDINGS, np.sort(self.random.choice(3 * m, min(SAMPLED, 3 * m), replace=False))) for t in range(self.tables)] for m in self.lengths}
-        self.lookup: dict[int, list[dict[int, list[int]]]] = {}
+        self.lookup: dict[int, list[tuple[np.ndarray, dict[int, list[int]]]]] = {}
         for m in self.lengths:
             own = [k for k, c in enumerate(self.codes) if len(c) == m]
             hashed = self.hashes(np.stack([self.codes[k] for k in own]), m)
@@ -117,7 +122,7 @@ class Index:
                 found: dict[int, list[int]] = {}
                 for k, h in zip(own, column.tolist(), strict=True):
                     found.setdefault(h, []).append(k)
-                self.lookup[m].append(found)
+                self.lookup[m].append((np.array(sorted(found), np.int64), found))
 
     @staticmethod
     def least(m: int) -> int:
@@ -176,18 +181,20 @@ class Index:
         if not len(codes) or not self.items:
             return codes, out
         pairs = self.pairs(codes)
-        at = np.minimum(np.searchsorted(self.known, pairs), len(self.known) - 1)
-        hits = np.concatenate([[0], np.cumsum(self.known[at] == pairs)])
+        hits = np.concatenate([[0], np.cumsum(_in(pairs, self.known))])
         if hits[-1] < self.share or (len(hits) > self.part and (hits[self.part :] - hits[: -self.part]).max() < self.share):
             return codes, out
+        places = np.arange(len(hits) - 1)
         for m in self.lengths:
             k, least = allowed(m), self.least(m)
             if hits[-1] >= least:
-                last = np.minimum(np.arange(len(hits) - 1) + max(1, m + k - 1), len(hits) - 1)
-                if (hits[last] - hits[:-1]).max() < least:
+                last = np.minimum(places + max(1, m + k - 1), len(places))
+                near = np.flatnonzero(hits[last] - hits[:-1] >= least)
+                if not len(near):
                     continue
-                own = np.concatenate([[0], np.cumsum(np.isin(pairs, self.known_of[m]))])
-                starts = np.flatnonzero(own[last] - own[:-1] >= least)
+                low, high = int(near[0]), int(last[near[-1]])  # all that such windows hold
+                own = np.concatenate([[0], np.cumsum(_in(pairs[low:high], self.known_of[m]))])
+                starts = near[own[last[near] - low] - own[near - low] >= least]
                 if len(starts):
                     out[m] = starts
         return codes, out
@@ -206,8 +213,8 @@ class Index:
                     own += [(doc, int(s)) for s in starts[m]]
             if not own:
                 continue
-            for table_, column in zip(self.lookup[m], self.hashes(np.concatenate(windows), m), strict=True):
-                for row in np.flatnonzero(np.isin(column, list(table_))):
+            for (keys, table_), column in zip(self.lookup[m], self.hashes(np.concatenate(windows), m), strict=True):
+                for row in np.flatnonzero(_in(column, keys)):
                     for item in table_[int(column[row])]:
                         places.setdefault((own[row][0], item), set()).add(own[row][1])
             for (doc, item), where in places.items():
