@@ -24,8 +24,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -205,25 +205,23 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
     return arrow_map(encoded.select(key, "ids"), kernel, f"{key} {dict(encoded.dtypes)[key]}, bytes binary")
 
 
-def digests(texts: Iterable[str | None], c: Codec) -> tuple[list[int], list[str], list[str]]:
-    counts, ids_sha, back_sha = [], [], []
-    for t in texts:
-        ids = c.encode_text(t or "")
-        listed = ids.split(",") if ids else []
-        counts.append(len(listed))
-        ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-        back_sha.append(hashlib.sha256(c.decode(listed)).hexdigest())
-    return counts, ids_sha, back_sha
-
-
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encodes each text, decodes the ids and returns digests of both."""
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Encodes each text, decodes the ids and returns digests of both, and the ids if asked."""
+    kinds = {"doc_id": ("long", pa.int64()), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    if with_ids:
+        kinds["ids"] = ("array<int>", pa.list_(pa.int32()))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, ids_sha, back_sha = digests(batch.column(1).to_pylist(), codec(path, pattern))
-        return pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return arrow_map(docs.select("doc_id", "text"), kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        c, rows = codec(path, pattern), []
+        for t in batch.column(1).to_pylist():
+            ids = c.encode_text(t or "")
+            listed = ids.split(",") if ids else []
+            row = len(listed), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(c.decode(listed)).hexdigest()
+            rows.append((*row, np.array(listed, dtype=str).astype(np.int32)) if with_ids else row)
+        columns = [pa.array(v, t) for v, (_, t) in zip(zip(*rows, strict=True), list(kinds.values())[1:], strict=True)]
+        return pa.record_batch([batch.column(0), *columns], list(kinds)) if rows else None
+
+    return arrow_map(docs.select("doc_id", "text"), kernel, ", ".join(f"{n} {k}" for n, (k, _) in kinds.items()))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

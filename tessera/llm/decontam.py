@@ -270,5 +270,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that no item contaminates, with all their columns."""
+    context, names = docs.sparkSession.sparkContext, docs.columns
+    at = names.index("text")
+    out = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
+    for block in blocks(benchmark):
+        sent = context.broadcast(tuple(sorted((r["item_id"], r["text"]) for r in block.collect())))
+
+        def kernel(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+            hit = {m[0] for m in _index(sent.value).matches(batch.column(at).to_pylist())}
+            return batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
+
+        out = arrow_map(out, kernel, schema)
+    return out.toDF(*names)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
