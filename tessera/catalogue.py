@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.plans import candidates, decisions, learning, texts
+from tessera.plans.registry import ORACLE_SQL, QUERIES
 
+FLAGSHIP = candidates.benchmark_passage_linkage
 
-def FLAGSHIP(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "candidates", "decisions", "learning", "texts"]
