@@ -2,40 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.session import table
+from tessera.session import scratch_path, shared_dir, table, written
 
 __all__ = ["arrow_map", "delete", "scratch_path", "shared_dir", "table", "written"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, a fresh temporary folder becomes it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tessera_shared", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark._tessera_shared = found
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors. With files, rows are
-    first dealt to so many tasks: a table of ids made by many tasks isn't left in as many tiny files."""
-    path = scratch_path(df.sparkSession, name)
-    (df.repartition(files) if files else df).write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder through Spark's file system, so any store works."""
     jvm = spark.sparkContext._jvm
