@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identified(langid.document_rows(docs), langid.train(docs, "doc_id"), files)
     rejected = found.groupBy("key").agg(F.max("accepted").alias("any")).where("not any")
     ids = rejected.select(F.substring("key", 2, 30).try_cast("long").alias("doc_id")).dropna()
-    return ngram_join.join_ids(docs, written(ids, "rejected", files), "left_anti").select(docs.columns)
+    return ngram_join.join_ids(docs, written(ids, "rejected", files), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     files = 1 + docs.count() // (1 << 19)
     found = ngram_join.near_duplicates(docs)
     drop = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies", files)
-    kept = ngram_join.join_ids(docs, drop, "left_anti").select(docs.columns)
+    kept = ngram_join.join_ids(docs, drop, "left_anti")
     repeated = written(docs.dropna(subset=["doc_id"]).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated", files)
     if not repeated.take(1):
         return kept
-    single, several = (ngram_join.join_ids(kept, repeated, how).select(docs.columns) for how in ("left_anti", "left_semi"))
+    single, several = (ngram_join.join_ids(kept, repeated, how) for how in ("left_anti", "left_semi"))
     return single.unionByName(several.dropDuplicates(["doc_id"]))
 
 
@@ -50,10 +50,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates; n_chars follows the new text."""
     ship(spark)
-    done = pii.pseudonymised(docs)
+    done = pii.pseudonymised(docs, counts=False)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return done.select(docs.columns)
+    return done
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Evidence on a text's language: its words, by a character n-gram model of each la
 markup declares; and where it lies. The posterior is the normalised product of
 
 * the text's likelihood: n-grams of NGRAM letters, additively smoothed, tempered as neighbouring n-grams aren't
-  independent; a background model with equal chances for all n-grams stands for all other languages;
+  independent. A background with equal chances for all n-grams stands for all other languages; an n-gram that
+  a language's sample lacks is at most a tenth as likely there;
 * the declaration's likelihood, P(declared | language), from a grouped count of declarations;
 * the host's prior. Posteriors of the first two are summed by host, domain and address suffix, each smoothed
   by the next wider level: (sum + STRENGTH * wider prior) / (count + STRENGTH), up to the whole table's. A
@@ -60,7 +61,7 @@ class Model:
         kinds = len({g for c in counts.values() for g in c}) + BACKGROUND
         self.scores: dict[str, list[float]] = {}
         totals = {lang: sum(counts[lang].values()) for lang in self.languages}
-        self.unseen = np.array([math.log(SMOOTH / (totals[lang] + SMOOTH * kinds)) for lang in self.languages] + [-math.log(BACKGROUND)])
+        self.unseen = np.array([math.log(min(SMOOTH / (totals[lang] + SMOOTH * kinds), 0.1 / BACKGROUND)) for lang in self.languages] + [-math.log(BACKGROUND)])
         for g in {g for lang in self.languages for g in counts[lang]}:
             self.scores[g] = [math.log((counts[lang][g] + SMOOTH) / (totals[lang] + SMOOTH * kinds)) for lang in self.languages] + [-math.log(BACKGROUND)]
         self.seen: dict[str, np.ndarray] = {}

@@ -83,7 +83,9 @@ def set_rows(docs: DataFrame) -> DataFrame:
 
 def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """docs whose doc_id is or isn't among the ids; their count decides whether they are broadcast."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+    ids = ids.select(F.col("doc_id").alias("_joined_id"))
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["_joined_id"], how)
 
 
 def _split(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

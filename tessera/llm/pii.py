@@ -156,7 +156,7 @@ def _number(digits: str, key: bytes, label: str) -> str:
 
 
 def luhn(digits: str) -> int:
-    """The digit that would make the number pass, were it the last."""
+    """The check digit that makes the number pass when it is appended."""
     total = sum(v if i % 2 else 2 * v - 9 * (v > 4) for i, v in enumerate(map(int, reversed(digits))))
     return -total % 10
 
@@ -195,7 +195,7 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
     if kind == "card":
         digits = canonical(kind, text)
         body = _number(digits[:-1], key, "card")
-        return _digits(text, body + str((luhn(body + "0") + int(digits[-1]) - luhn(digits[:-1] + "0")) % 10))
+        return _digits(text, body + str((luhn(body) + int(digits[-1]) - luhn(digits[:-1])) % 10))
     if kind == "ssn":
         return _digits(text, _number(canonical(kind, text), key, "ssn"))
     if kind == "ip":
@@ -261,8 +261,9 @@ def checked_key(docs: DataFrame, key: bytes = KEY, tries: int = 8) -> bytes:
     raise ValueError(f"surrogates collide under {tries} keys")
 
 
-def pseudonymised(docs: DataFrame, key: bytes | None = None) -> DataFrame:
-    """docs with the text replaced, and n_entities map<type, count>. Without a key, the checked one."""
+def pseudonymised(docs: DataFrame, key: bytes | None = None, counts: bool = True) -> DataFrame:
+    """docs with the text replaced and, if asked, n_entities array<int>, a count for each of TYPES, as the last
+    column. Without a key, the checked one."""
     own = checked_key(docs) if key is None else key
     names = docs.columns
     at = names.index("text")
@@ -270,13 +271,14 @@ def pseudonymised(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         done = [(None, {}) if t is None else replace(t, own) for t in batch.column(at).to_pylist()]
         columns = [pa.array([d[0] for d in done], pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
-        counts = pa.array([[d[1].get(t, 0) for t in TYPES] for d in done], pa.list_(pa.int32()))
-        return pa.record_batch([*columns, counts], [*(f"c{k}" for k in range(len(names))), "counts"])
+        if counts:
+            columns.append(pa.array([[d[1].get(t, 0) for t in TYPES] for d in done], pa.list_(pa.int32())))
+        return pa.record_batch(columns, fields)
 
     numbered = docs.toDF(*(f"c{k}" for k in range(len(names))))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema) + ", counts array<int>"
-    out = arrow_map(numbered, kernel, schema)
-    return out.toDF(*names, "n_entities")
+    fields = [*numbered.columns, *["counts"] * counts]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema) + ", counts array<int>" * counts
+    return arrow_map(numbered, kernel, schema).toDF(*names, *["n_entities"] * counts)
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,82 @@
+import random
+import re
+
+import pytest
+
+from tessera.llm import pii
+
+from .helpers import docs, rows, saved
+
+K = b"test"
+
+
+def test_permutation_is_one_to_one_without_fixed_points():
+    for size in (2, 3, 10, 97, 1000):
+        image = [pii.permute(i, size, K, "x") for i in range(size)]
+        assert sorted(image) == list(range(size)) and all(a != b for a, b in enumerate(image))
+
+
+def test_formats_are_kept():
+    text = "Write jane.Doe+x@Mail7.example.com or +1 (974) 555-3436, card 4111 1111 1111 1111, ip 97.51.17.173, ssn 078-05-1120, key 04dbebab91ab85687d33eeaaf9ac699e1188f962, DE89 3704 0044 0532 0130 00."
+    new, counts = pii.replace(text, K)
+    assert counts == {"email": 1, "phone": 1, "card": 1, "ip": 1, "ssn": 1, "secret": 1, "iban": 1}
+    shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", t)))
+    assert shape(re.sub(r"(\d+\.){3}\d+|[0-9a-f]{40}", "", new)) == shape(re.sub(r"(\d+\.){3}\d+|[0-9a-f]{40}", "", text))
+    for old in ("jane", "Doe", "555-3436", "4111", "97.51.17.173", "078-05", "04dbebab", "3704"):
+        assert old not in new
+    card = re.search(r"card ([\d ]+),", new).group(1).replace(" ", "")
+    assert pii.luhn("411111111111111") == 1 and pii.luhn(card[:-1]) == int(card[-1])
+    assert all(0 <= int(x) < 256 for x in re.search(r"ip ([\d.]+),", new).group(1).split("."))
+
+
+def test_coreference_across_formats():
+    new, _ = pii.replace("+1 (974) 555-3436 and 974-555-3436; A@b.com a@B.com; Mr John Smith, Mr Smith", K)
+    a, b, c, d = re.match(r"(\S+ \S+ \S+) and (\S+); (\S+) (\S+);", new).groups()
+    assert re.sub(r"\D", "", a)[1:] == re.sub(r"\D", "", b) and c.lower() == d.lower() and c[0].isupper()
+    assert len(set(re.findall(r"Mr (?:\w+ )?(\w+)", new))) == 1
+
+
+def test_names_match_gender_and_script():
+    for name in pii.MALE:
+        assert pii.surrogate("person", f"Mr {name.capitalize()} Smith", K).split()[1].lower() in pii.MALE
+    for name in pii.FEMALE:
+        assert pii.surrogate("person", f"Frau {name.capitalize()} Kuhn", K).split()[1].lower() in pii.FEMALE
+    new = pii.surrogate("person", "Mr Иван Петров", K)
+    assert re.fullmatch(r"Mr [А-Я][а-я]{3} [А-Я][а-я]{5}", new) and "Иван" not in new
+
+
+@pytest.mark.parametrize("kind", ["email", "phone", "card", "ip", "secret", "person"])
+def test_distinct_entities_get_distinct_surrogates(kind):
+    rng = random.Random(1)
+    make = {
+        "email": lambda: f"{rng.choice('abc')}{rng.randrange(100)}@m{rng.randrange(9)}.example.com", "phone": lambda: f"+1 ({rng.randrange(1000):03}) 555-{rng.randrange(10000):04}",
+        "card": lambda: f"{rng.randrange(10**16):016}", "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), "secret": lambda: f"{rng.getrandbits(160):040x}",
+        "person": lambda: f"Dr {rng.choice(pii.MALE + pii.FEMALE + ['zoran', 'kim']).capitalize()} {rng.choice(['Li', 'Xu', 'Ray', 'Mary'])}",
+    }[kind]
+    seen = {pii.canonical(kind, t): pii.canonical(kind, pii.surrogate(kind, t, K)) for t in (make() for _ in range(3000))}
+    assert len(set(seen.values())) == len(seen) and all(a != b for a, b in seen.items())
+
+
+def test_query_on_edges(spark, tmp_path):
+    long = "word " * 100_000 + "a.b@c.example.org"
+    data = [(1, None), (2, ""), (3, "no entity, v. 4.0 and 12 items"), (4, "x.1@mail.example.com"), (4, "x.1@mail.example.com"), (5, long), (None, "call +1 (974) 555-3436")]
+    got = rows(pii.op10_pii_surrogates(spark, saved(tmp_path, documents=docs(spark, data, extra=True))))
+    by = {r[0]: r for r in got}
+    assert len(got) == 7 and by[1][1] is None and by[2][1] == "" and by[3][1] == data[2][1] and sum(by[3][2:]) == 0
+    assert by[5][1].startswith("word " * 100_000) and "a.b@" not in by[5][1] and by[4][2] == 1 and "555-3436" not in by[None][1]
+    assert rows(pii.op10_pii_surrogates(spark, saved(tmp_path / "e", documents=docs(spark, [])))) == []
+
+
+def test_collision_check_rekeys(spark, monkeypatch):
+    data = docs(spark, [(1, "a1@x.example.com"), (2, "b2@x.example.com")])
+    assert pii.checked_key(data, K) == K
+    monkeypatch.setattr(pii, "surrogate", lambda kind, text, key: "same@x.example.com")
+    assert pii.collisions(data, K).collect()[0]["n"] == 2
+    with pytest.raises(ValueError):
+        pii.checked_key(data, K, tries=2)
+
+
+def test_other_columns_pass(spark):
+    data = docs(spark, [(1, "a1@x.example.com", "en", "s", 3)], extra=True)
+    out = pii.pseudonymised(data, K, counts=False)
+    assert out.columns == data.columns and out.drop("text").collect() == data.drop("text").collect()
