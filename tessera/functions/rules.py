@@ -51,7 +51,7 @@ def name_tags(a: Column, b: Column) -> Column:
 
 def address_tags(a: Column, b: Column) -> Column:
     empty = F.trim(b) == ""
-    parts = lambda t: F.filter(F.transform(F.split(F.lower(t), ","), F.trim), lambda p: p != "")
+    parts = lambda t: F.filter(F.transform(F.split(F.lower(t), ","), lambda x: F.trim(x)), lambda p: p != "")
     pa, pb, wa, wb = parts(a), parts(b), _words(a), _words(b)
     digits = lambda w: F.filter(w, lambda x: x.rlike("^[0-9]+$"))
     na, nb = digits(wa), digits(wb)

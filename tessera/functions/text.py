@@ -61,7 +61,7 @@ def unwrapped_domain(text: Column) -> Column:
 def aliases(text: Column) -> Column:
     """The names around 'doing business as' and the like."""
     parts = F.split(F.regexp_replace(F.lower(text), r" (?:f/k/a|a/k/a|d/b/a|formerly known as|formerly|trading as|doing business as) ", "|"), r"\|")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: p != "")
 
 
 def legal_free(words: Column) -> Column:
@@ -80,6 +80,7 @@ def name_parts(text: Column) -> dict[str, Column]:
     return {
         "n_full": F.array_join(full, " "), "n_core": F.array_join(core, " "), "n_concat": F.array_join(core, ""),
         "n_skel": F.array_join(F.transform(core, skeleton), " "), "n_translit": has_native(text), "n_alias": F.size(aliases(text)) > 1,
+        "n_alt_a": F.coalesce(F.get(aliases(text), F.lit(0)), F.lit("")), "n_alt_b": F.coalesce(F.get(aliases(text), F.lit(1)), F.lit("")),
         "n_domain": F.coalesce(F.lower(text).rlike(rf"^\S+\.(?:{'|'.join(TLDS)})$"), F.lit(False)),
     }
 
@@ -159,3 +160,60 @@ def nysiis_code(word: str) -> str:
 @F.pandas_udf(StringType())
 def nysiis(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else nysiis_code(w))
+
+
+@F.pandas_udf(StringType())
+def nysiis_words(texts: pd.Series) -> pd.Series:
+    """The code of each word of a text."""
+    return texts.map(lambda t: None if t is None else " ".join(map(nysiis_code, t.split())))
+
+
+US = ("us", "usa", "united states", "united states of america")
+IN, FR = ("in", "india"), ("fr", "france")
+
+
+def profile(country: Column) -> Column:
+    """US, IN, FR or GEN; any other label is GEN."""
+    c = F.lower(F.trim(country))
+    return F.when(c.isin(*US), "US").when(c.isin(*IN), "IN").when(c.isin(*FR), "FR").otherwise("GEN")
+
+
+def profiled_address(text: Column, country: Column) -> dict[str, Column]:
+    """address_parts under the profile of the row's country."""
+    by = {p: address_parts(text, p) for p in STREET}
+    out = {}
+    for name in by["GEN"]:
+        value = by["GEN"][name]
+        for p in ("US", "IN", "FR"):
+            value = F.when(profile(country) == p, by[p][name]).otherwise(value)
+        out[name] = value
+    return out
+
+
+STATES = {"US": {"california": "ca", "texas": "tx", "new york": "ny", "florida": "fl", "illinois": "il", "washington": "wa", "ohio": "oh", "georgia": "ga"}, "IN": {"maharashtra": "mh", "karnataka": "ka", "tamil nadu": "tn", "delhi": "dl", "gujarat": "gj", "uttar pradesh": "up"}, "FR": {"ile de france": "idf", "bretagne": "bre", "normandie": "nor"}, "GEN": {}}
+
+
+def _looked_up(words: Column, table: Column) -> Column:
+    return F.transform(words, lambda w: F.try_element_at(table, w))
+
+
+def state_of(address: Column, country: Column, states: dict[str, dict[str, str]] = STATES) -> Column:
+    """The code of the last component that names a state or is its code; empty if none. Longer names first."""
+    parts = F.transform(F.split(F.lower(address), ","), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\d+", " "), r"\s+", " ")))
+    out = F.lit("")
+    for p, own in states.items():
+        both = {**own, **{v: v for v in own.values()}}
+        if both:
+            m = F.create_map(*(F.lit(x) for kv in sorted(both.items(), key=lambda kv: -len(kv[0])) for x in kv))
+            hits = F.filter(_looked_up(parts, m), lambda v: v.isNotNull())
+            out = F.when(profile(country) == p, F.coalesce(F.get(hits, F.size(hits) - 1), F.lit(""))).otherwise(out)
+    return out
+
+
+def embedding_text(name: Column, address: Column) -> Column:
+    return F.concat(F.lit("query: "), F.concat_ws(" | ", name, address))
+
+
+def reranker_text(name: Column, address: Column, country: Column) -> Column:
+    clip = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 100)
+    return F.concat(F.lit("name: "), clip(name), F.lit(" address: "), clip(address), F.lit(" country: "), clip(country))

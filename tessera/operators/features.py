@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import similarity as sim
 from tessera.operators.dense import cosine
 
-NAME = ("n_ratio", "n_pratio", "n_tsort", "n_tset", "n_jw", "n_lev_full", "n_tset_full", "n_concat_ratio", "n_concat_pratio", "n_skel_ratio", "n_phon_ratio")
+NAME = ("n_ratio", "n_pratio", "n_tsort", "n_tset", "n_jw", "n_lev_full", "n_tset_full", "n_concat_ratio", "n_concat_pratio", "n_skel_ratio", "n_phon_ratio", "n_alias_best")
 ADDRESS = ("a_ratio", "a_tsort", "a_tset", "a_pratio", "a_core_tset", "a_alpha_tset", "a_skel_ratio")
 
 
@@ -50,7 +50,9 @@ def string_features(pairs: DataFrame, gate: Column) -> DataFrame:
     open_rows = pairs.where(gate).withColumns(short)
     names, addresses = (q("n_core") == "") | (i("n_core") == ""), (q("a_full") == "") | (i("a_full") == "")
     scored = open_rows.withColumns({f: sim.guarded(q(c), i(c), s(q(c), i(c)), names if f[0] == "n" else addresses) for f, (s, c) in plan.items()})
-    return pairs.join(scored.select("q_id", "i_id", *plan), ["q_id", "i_id"], "left")
+    alias = lambda c: sim.guarded(q("n_core"), i(c), sim.indel_token_set(q("n_core"), i(c)), (q("n_core") == "") | (i(c) == ""))
+    scored = scored.withColumn("n_alias_best", F.greatest(alias("n_alt_a"), alias("n_alt_b")))
+    return pairs.join(scored.select("q_id", "i_id", *plan, "n_alias_best"), ["q_id", "i_id"], "left")
 
 
 def set_features(pairs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -29,18 +29,31 @@ def classifier(features: list[str], label: str = "y", rounds: int = 20, depth: i
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.75, seed=7)])
 
 
+def fit_folds(rows: DataFrame, features: list[str], folds: tuple[int, ...], rounds: int = 10, depth: int = 4) -> dict[int, PipelineModel]:
+    """A model for each fold that takes part, fitted on the others of them. rows: (q_id, y, features)."""
+    data, names = with_missing_flags(rows.withColumn("fold", fold_of()), features)
+    return {f: classifier(names, rounds=rounds, depth=depth).fit(data.where(F.col("fold").isin(*(x for x in folds if x != f)))) for f in folds}
+
+
+def fold_of(entity: str = "q_id") -> Column:
+    return crc_fold(F.col(entity).cast("string"), 10)
+
+
+def scored(rows: DataFrame, features: list[str], models: dict[int, PipelineModel], name: str = "p") -> DataFrame:
+    """rows with the score of the model that didn't see the row's fold or, for other folds, the mean of all."""
+    data, _ = with_missing_flags(rows.withColumn("_fold", fold_of()), features)
+    own = data.select("q_id", "i_id", "_fold", *[c for c in data.columns if c in features or c.endswith("_missing")])
+    for fold, model in models.items():
+        own = model.transform(own).withColumn(f"_p{fold}", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+    mean = reduce(lambda x, y: x + y, (F.col(f"_p{f}") for f in models)) / len(models)
+    p = reduce(lambda rest, f: F.when(F.col("_fold") == f, F.col(f"_p{f}")).otherwise(rest), models, mean)
+    return rows.join(own.select("q_id", "i_id", p.alias(name)), ["q_id", "i_id"])
+
+
 def out_of_fold(rows: DataFrame, features: list[str], folds: tuple[int, ...], rounds: int = 10) -> DataFrame:
-    """rows (q_id, y, features) with p: of folds that take part from the model that didn't see them, of the
-    others the mean of all models. Folds are by query, so no query is on both sides."""
-    data, names = with_missing_flags(written(rows, "pairs").withColumn("fold", crc_fold(F.col("q_id").cast("string"), 10)), features)
-    parts, rest = [], data.where(~F.col("fold").isin(*folds))
-    for fold in folds:
-        train = data.where(F.col("fold").isin(*(f for f in folds if f != fold)))
-        model = classifier(names, rounds=rounds).fit(train)
-        scored = lambda d, m=model: m.transform(d).withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
-        parts.append(scored(data.where(F.col("fold") == fold)).select("q_id", "i_id", "y", "fold", "p"))
-        parts.append(scored(rest).select("q_id", "i_id", "y", "fold", "p"))
-    return reduce(DataFrame.unionByName, parts).groupBy("q_id", "i_id", "y", "fold").agg(F.avg("p").alias("p"))
+    """(q_id, i_id, y, fold, p). Folds are by query, so no query is on both sides."""
+    rows = written(rows, "pairs")
+    return scored(rows, features, fit_folds(rows, features, folds, rounds)).select("q_id", "i_id", "y", fold_of().alias("fold"), "p")
 
 
 def calibrated(train: DataFrame, rows: DataFrame) -> DataFrame:

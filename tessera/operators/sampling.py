@@ -36,3 +36,18 @@ def first_wins(rows: DataFrame, key: str, position: str) -> DataFrame:
     """Drops empty keys, then keeps the first row of each key."""
     w = Window.partitionBy(key).orderBy(position)
     return rows.where(F.col(key) != "").withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk")
+
+
+def bucket(entity_id: Column, n: int) -> Column:
+    """A deterministic bucket below n."""
+    return F.pmod(F.xxhash64(entity_id), F.lit(n)).cast("int")
+
+
+def holdout(entities: DataFrame, key: str, share: float) -> DataFrame:
+    """One bucket of max(2, round(1 / share))."""
+    return entities.where(bucket(F.col(key), max(2, round(1 / share))) == 0)
+
+
+def group_subsample(pairs: DataFrame, key: str, share: float) -> DataFrame:
+    """All pairs of a share of the groups."""
+    return pairs.where(bucket(F.col(key), 1_000_000) < int(share * 1_000_000))

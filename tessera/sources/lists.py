@@ -48,7 +48,7 @@ def read_id_lists(spark: SparkSession, path: str) -> DataFrame:
     """(pos, s1, ids) of a list file; of repeated first ids the last line stays."""
     lines = _lines(spark, path)
     rows = lines.select("pos", F.trim(F.substring_index("value", "\t", 1)).alias("s1"), F.when(F.instr("value", "\t") > 0, F.expr("substr(value, instr(value, '\t') + 1)")).otherwise("").alias("rest"))
-    rows = rows.where("s1 not like 'source1_%'").withColumn("ids", F.filter(F.transform(F.split("rest", ","), F.trim), lambda x: x != ""))
+    rows = rows.where("s1 not like 'source1_%'").withColumn("ids", F.filter(F.transform(F.split("rest", ","), lambda x: F.trim(x)), lambda x: x != ""))
     w = Window.partitionBy("s1").orderBy(F.desc("pos"))
     return rows.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").select("pos", "s1", "ids")
 
@@ -67,8 +67,9 @@ def ranked_lists(entities: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def write_id_lists(lists: DataFrame, path: str, header: str, order: str = "q_id") -> None:
     """One text file: header, then a line for each entity in order."""
-    lines = lists.orderBy(order).select(F.concat_ws("\t", F.col("q_id").cast("string"), "ids").alias("value"))
-    lines.sparkSession.createDataFrame([(f"source1_entity_id\t{header}",)], "value string").unionAll(lines).coalesce(1).write.mode("overwrite").text(path)
+    lines = lists.select(F.lit(1).alias("at"), F.col(order).cast("string").alias("by"), F.concat_ws("\t", F.col("q_id").cast("string"), "ids").alias("value"))
+    first = lists.sparkSession.createDataFrame([(0, "", f"source1_entity_id\t{header}")], "at int, by string, value string")
+    first.unionAll(lines).orderBy("at", "by").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def list_checks(lists: DataFrame, required: DataFrame, known: DataFrame, candidates: DataFrame | None = None) -> DataFrame:

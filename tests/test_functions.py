@@ -1,0 +1,72 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import rules
+from tessera.functions import similarity as sim
+from tessera.functions import text as T
+
+
+def one(spark, column, **values):
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(column).first()[0]
+
+
+def test_longest_common_subsequence_scores():
+    assert sim.lcs("abcde", "axcye") == 3 and sim.lcs("", "a") == 0
+    assert sim.ratio("ab", "ab") == 1 and sim.ratio("abcd", "bd") == pytest.approx(2 * 2 / 6) and sim.ratio("", "") == 1
+    assert sim.partial_ratio("abc", "xxabcxx") == 1 and sim.partial_ratio("", "a") == 0
+    assert sim.token_sort_ratio("b a", "a b") == 1
+    assert sim.token_set_ratio("new york mets", "new york mets vs atlanta") == 1 and sim.token_set_ratio("a", "") == 0
+    assert sim.jaro_winkler_score("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
+    assert sim.jaro_winkler_score("abcdefgh", "abxyzwvu") == pytest.approx(0.5)
+
+
+def test_batched_scores_keep_null(spark):
+    df = spark.createDataFrame([("a b", "b a"), (None, "x")], "x string, y string").select(sim.indel_token_sort("x", "y").alias("s"))
+    assert [r["s"] for r in df.collect()] == [1.0, None]
+
+
+def test_native_scores(spark):
+    assert one(spark, sim.levenshtein_similarity(F.col("a"), F.col("b")), a="kitten", b="sitting") == pytest.approx(1 - 3 / 7)
+    assert one(spark, sim.levenshtein_similarity(F.col("a"), F.col("b")), a="", b="") == 1
+    assert one(spark, sim.capped_levenshtein(F.col("a"), F.col("b"), 2), a="abc", b="xyzvw") == 3
+    assert one(spark, sim.guarded(F.col("a"), F.col("b"), F.lit(0.2), F.col("a") == "x"), a="", b="") == 1.0
+
+
+def test_nysiis():
+    assert [T.nysiis_code(w) for w in ("knight", "macintosh", "phillipson", "watkins", "bishop", "schmidt")] == ["NAGT", "MCANT", "FALAPSAN", "WATCAN", "BASAP", "SNAD"]
+    assert T.nysiis_code("123") == "123"
+
+
+def test_skeleton_and_names(spark):
+    assert one(spark, T.skeleton(F.col("w")), w="philip") == one(spark, T.skeleton(F.col("w")), w="fillip") == "flp"
+    assert one(spark, T.skeleton(F.col("w")), w="007") == "007" and one(spark, T.skeleton(F.col("w")), w="aditya") == "at"
+    assert one(spark, T.join_initials(F.col("t")), t="l l c inc") == "llc inc"
+    assert one(spark, F.array_join(T.legal_free(F.split("t", " ")), " "), t="acme inc") == "acme"
+    assert one(spark, F.array_join(T.legal_free(F.split("t", " ")), " "), t="inc ltd") == "inc ltd"
+    assert one(spark, F.to_json(T.aliases(F.col("t"))), t="Acme LLC d/b/a Best Foods") == '["acme llc","best foods"]'
+    parts = T.name_parts(F.col("t"))
+    assert one(spark, parts["n_core"], t="M/s. Acme & Sons Pvt Ltd +91 98765 43210") == "acme and sons"
+    assert one(spark, parts["n_domain"], t="acme.com") is True and one(spark, T.has_native(F.col("t")), t="पावर") is True and one(spark, T.has_native(F.col("t")), t="café") is False
+    assert one(spark, T.unwrapped_domain(F.col("t")), t="https://www.acme.co.in/x") == "acme"
+
+
+def test_addresses(spark):
+    parts = T.address_parts(F.col("t"), "US")
+    assert one(spark, parts["a_full"], t="12th St, Apt 007, Near Park, 0099887766554433") == "12 street 007 near park 0099887766554433"
+    assert one(spark, parts["a_nums"], t="12 Main St, 0012, 7, 8, 9, 10, 11, 13, 1234567890123") == "12 7 8 9 10 11"
+    assert one(spark, parts["a_core"], t="5 Main St, near park") == "5 main street"
+    assert one(spark, parts["a_empty"], t=" NULL ") is True and one(spark, parts["a_first_num"], t="none") == ""
+    assert one(spark, T.state_of(F.col("t"), F.lit("US")), t="1 Main, Austin, Texas 78701") == "tx"
+    assert one(spark, T.profiled_address(F.col("t"), F.lit("India"))["a_full"], t="Opp Bank, MG Rd") == "opposite bank mg road"
+
+
+def test_rules(spark):
+    tags = lambda a, b: one(spark, rules.name_tags(F.col("a"), F.col("b")), a=a, b=b)
+    assert tags("Acme Foods Inc", "Acme Foods") == ["legal_suffix_dropped"]
+    assert tags("Acme Foods", "Foods Acme") == ["word_transposition"]
+    assert tags("Acme Foods", "Acme Fods") == ["typo_in_name"]
+    assert "name_truncated" in tags("Acme Foods Market", "Acme Foods") and "name_zero_token_overlap" in tags("Acme", "Zzz")
+    address = lambda a, b: one(spark, rules.address_tags(F.col("a"), F.col("b")), a=a, b=b)
+    assert address("1 Main Street, X", "") == ["address_EMPTY"]
+    assert "component_reordered" in address("1 main, austin", "austin, 1 main") and "number_fully_changed" in address("1 Main", "2 Main")
+    assert "number_dropped" in address("1 Main", "Main") and "address_UPPERCASED" in address("1 Main", "1 MAIN") and "street_type_abbreviated" in address("1 Main Street", "1 Main St")
