@@ -21,7 +21,7 @@ from tessera.session import ship
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language isn't identified."""
     ship(spark)
-    files = 1 + docs.count() // (1 << 19)
+    files = 1 + docs.count() // (1 << 17)
     found = langid.identified(langid.document_rows(docs), langid.train(docs, "doc_id"), files)
     rejected = found.groupBy("key").agg(F.max("accepted").alias("any")).where("not any")
     ids = rejected.select(F.substring("key", 2, 30).try_cast("long").alias("doc_id")).dropna()
@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group that n-gram links connect."""
     ship(spark)
-    files = 1 + docs.count() // (1 << 19)
+    files = 1 + docs.count() // (1 << 17)
     found = ngram_join.near_duplicates(docs)
     drop = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies", files)
     kept = ngram_join.join_ids(docs, drop, "left_anti")

@@ -29,7 +29,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, table, written
@@ -39,7 +39,9 @@ STRENGTH, ACCEPT = 20.0, 0.5
 OTHER = "other"
 #: N-grams that the background holds equally likely.
 BACKGROUND = 4000
-_WORDS_KEPT = 100_000
+_WORDS_KEPT = 200_000
+#: Parts of an address, the widest first.
+LEVELS = ("suffix", "domain", "host")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -64,31 +66,52 @@ class Model:
         self.unseen = np.array([math.log(min(SMOOTH / (totals[lang] + SMOOTH * kinds), 0.1 / BACKGROUND)) for lang in self.languages] + [-math.log(BACKGROUND)])
         for g in {g for lang in self.languages for g in counts[lang]}:
             self.scores[g] = [math.log((counts[lang][g] + SMOOTH) / (totals[lang] + SMOOTH * kinds)) for lang in self.languages] + [-math.log(BACKGROUND)]
-        self.seen: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.seen.get(word)
-        if found is None:
-            if len(self.seen) >= _WORDS_KEPT:
-                self.seen.clear()
-            rows = [self.scores[g] if g in self.scores else self.unseen for g in ngrams(word)]
-            found = np.sum(rows, axis=0)
-            if len(word) <= 64:
-                self.seen[word] = found
-        return found
-
-    def likelihood(self, text: str | None) -> list[float] | None:
+
+    def likelihood(self, word: str) -> np.ndarray:
+        return np.sum([self.scores[g] if g in self.scores else self.unseen for g in ngrams(word)], axis=0)
+
+
+class _Rows(dict):
+    """Word -> row of its log-likelihoods in a matrix that grows as words appear."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.matrix = model, np.empty((1024, len(model.unseen)))
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        if row == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
+        self.matrix[row] = self.model.likelihood(word)
+        return row
+
+
+class Scorer:
+    def __init__(self, model: Model) -> None:
+        self.rows = _Rows(model)
+
+    def score(self, text: str | None) -> list[float] | None:
         """Tempered log-likelihoods, the best 0; null without letters."""
-        words = Counter(_LETTERS.findall((text or "").lower()))
+        words = _LETTERS.findall((text or "").lower())
         if not words:
             return None
-        total = np.zeros(len(self.unseen))
-        for word, n in words.items():
-            total += n * self.word(word)
-        total *= TEMPER
+        if len(self.rows) > _WORDS_KEPT:
+            self.rows = _Rows(self.rows.model)
+        rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        total = TEMPER * self.rows.matrix[rows].sum(axis=0)
         return (total - total.max()).tolist()
 
 
+_SCORERS: dict[int, Scorer] = {}
+
+
+def _scorer(model: Model) -> Scorer:
+    """One scorer for each model that a worker has."""
+    if id(model) not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[id(model)] = Scorer(model)
+    return _SCORERS[id(model)]
+
+
 def train(rows: DataFrame, key: str, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
     ids = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(sample).distinct()
     taken = rows.join(F.broadcast(ids), key).select(label, F.substring(text, 1, SAMPLE_CHARS).alias("t")).where(F.col(label).isNotNull())
@@ -101,64 +124,58 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
     names = ["key", "declared", "host", "domain", "suffix", "likelihood"]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = sent.value
-        scores = pa.array([own.likelihood(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
+        own = _scorer(sent.value)
+        scores = pa.array([own.score(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
         return pa.record_batch([batch.column(0), *(batch.column(k) for k in range(2, 6)), scores], names)
 
     return arrow_map(rows.select("key", "text", *names[1:5]), kernel, "key string, declared string, host string, domain string, suffix string, likelihood array<double>")
 
 
-def _normalised(scores: Column) -> Column:
-    """exp of each score over their sum."""
-    best = F.array_max(scores)
-    parts = F.transform(scores, lambda s: F.exp(s - best))
-    return F.transform(parts, lambda p: p / F.aggregate(parts, F.lit(0.0), lambda a, b: a + b))
+def _with_posterior(rows: DataFrame, scores: list[str], names: list[str]) -> DataFrame:
+    """The scores' exponentials over their sum as columns of these names; null where the scores are."""
+    best = F.greatest(*scores) if len(scores) > 1 else F.col(scores[0])
+    raw = rows.withColumns({n: F.exp(F.col(s) - best) for s, n in zip(scores, names, strict=True)})
+    total = sum((F.col(n) for n in names), F.lit(0.0))
+    return raw.withColumn("_total", total).withColumns({n: F.col(n) / F.col("_total") for n in names}).drop("_total")
 
 
 def identified(rows: DataFrame, model: Model, files: int | None = None) -> DataFrame:
     """(key, language, posterior, accepted) of rows with columns (key, text, declared, host, domain, suffix)."""
     langs = [*model.languages, OTHER]
     count = range(len(langs))
+    s, p = [f"s{k}" for k in count], [f"p{k}" for k in count]
     known = F.lower(F.substring("declared", 1, 2))
     clean = rows.withColumn("declared", F.when(known.isin(*model.languages), known).otherwise(F.lit("")))
-    for c in ("host", "domain", "suffix"):
-        clean = clean.withColumn(c, F.coalesce(c, F.lit("")))
-    scored = written(evidence(clean, model), "language-evidence", files)
-    text = scored.withColumn("p", _normalised(F.col("likelihood")))
-    # P(declared | language) from posterior mass, smoothed towards all declarations
-    cells = text.groupBy("declared").agg(*(F.coalesce(F.sum(F.col("p")[k]), F.lit(0.0)).alias(f"s{k}") for k in count), F.count("*").alias("n")).collect()
-    rows_all = max(1, sum(r["n"] for r in cells))
-    sums = [sum(r[f"s{k}"] for r in cells) for k in count]
-    told = {r["declared"]: [math.log((r[f"s{k}"] + r["n"] / rows_all) / (sums[k] + 1)) for k in count] for r in cells}
-    declared = F.lit(None).cast("array<double>")
-    for value, logs in told.items():
-        declared = F.when(F.col("declared") == value, F.array(*(F.lit(x) for x in logs))).otherwise(declared)
-    both = F.zip_with("likelihood", declared, lambda a, b: a + b)
-    first = written(scored.select("key", "host", "domain", "suffix", both.alias("scores")).withColumn("p", _normalised(F.col("scores"))), "language-first", files)
+    clean = clean.withColumns({c: F.coalesce(c, F.lit("")) for c in LEVELS})
+    scored = evidence(clean, model).select("key", "declared", *LEVELS, *(F.col("likelihood")[k].alias(s[k]) for k in count))
+    scored = written(scored, "language-evidence", files)
+    mass = [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"m{k}") for k, c in enumerate(p)]
+    # P(declared | language) from posterior mass, smoothed towards all declarations; one cell for each known language
+    cells = _with_posterior(scored, s, p).groupBy("declared").agg(*mass, F.count("*").alias("n")).collect()
+    every = max(1, sum(r["n"] for r in cells))
+    sums = [sum(r[f"m{k}"] for r in cells) for k in count]
+    told = [F.lit(0.0) for _ in count]
+    for r in cells:
+        told = [F.when(F.col("declared") == r["declared"], F.lit(math.log((r[f"m{k}"] + r["n"] / every) / (sums[k] + 1)))).otherwise(told[k]) for k in count]
+    first = _with_posterior(scored.withColumns({s[k]: F.col(s[k]) + told[k] for k in count}), s, p).select("key", *LEVELS, *s, *p)
+    first = written(first, "language-first", files)
     # priors: sums at each level, joined back and smoothed from the widest to the narrowest
-    mass = [F.coalesce(F.sum(F.col("p")[k]), F.lit(0.0)) for k in count]
-    total = first.agg(F.array(*mass).alias("m")).first()["m"]
+    total = first.agg(*mass).first()
     wide = [(m + 1) / (sum(total) + len(langs)) for m in total]
-    joined, prior = first, F.array(*(F.lit(w) for w in wide))
-    for level in ("suffix", "domain", "host"):
-        own = {"suffix": ["suffix"], "domain": ["suffix", "domain"], "host": ["suffix", "domain", "host"]}[level]
-        sums_at = first.groupBy(*own).agg(F.array(*mass).alias(f"m_{level}"))
-        joined = joined.join(sums_at, own)
-        prior = _smoothed(prior, F.col(f"m_{level}"), F.coalesce("p", F.array(*(F.lit(0.0) for _ in count))))
-    posterior = _normalised(F.zip_with("scores", F.transform(prior, lambda x: F.ln(x)), lambda a, b: a + b))
-    out = joined.select("key", posterior.alias("q"))
-    best = F.array_max("q")
-    name = F.element_at(F.array(*(F.lit(x) for x in langs)), F.array_position("q", best).cast("int"))
+    joined, prior = first, [F.lit(w) for w in wide]
+    for depth, level in enumerate(LEVELS, 1):
+        at = first.groupBy(*LEVELS[:depth]).agg(*mass).withColumnsRenamed({f"m{k}": f"{level}{k}" for k in count})
+        joined = joined.join(at, list(LEVELS[:depth]))
+        joined = joined.withColumns({f"{level}{k}": F.greatest(F.col(f"{level}{k}") - F.coalesce(p[k], F.lit(0.0)), F.lit(0.0)) for k in count})
+        size = sum((F.col(f"{level}{k}") for k in count), F.lit(0.0))
+        joined = joined.withColumn(f"n_{level}", size).withColumns({f"{level}_{k}": (F.col(f"{level}{k}") + STRENGTH * prior[k]) / (F.col(f"n_{level}") + STRENGTH) for k in count})
+        prior = [F.col(f"{level}_{k}") for k in count]
+    out = _with_posterior(joined.withColumns({s[k]: F.col(s[k]) + F.ln(prior[k]) for k in count}), s, p)
+    best = F.greatest(*p) if len(p) > 1 else F.col(p[0])
+    name = F.coalesce(*(F.when(F.col(p[k]) == best, F.lit(langs[k])) for k in count))
     return out.select("key", F.when(name != OTHER, name).alias("language"), best.alias("posterior"), F.coalesce((name != OTHER) & (best >= ACCEPT), F.lit(False)).alias("accepted"))
 
 
-def _smoothed(prior: Column, sums: Column, own: Column) -> Column:
-    """(sum - own + STRENGTH * prior) / (count - own + STRENGTH), of each language."""
-    rest = F.zip_with(sums, own, lambda s, o: F.greatest(s - o, F.lit(0.0)))
-    size = F.aggregate(rest, F.lit(0.0), lambda a, b: a + b)
-    return F.zip_with(rest, prior, lambda r, q: (r + STRENGTH * q) / (size + STRENGTH))
-
-
 def document_rows(docs: DataFrame) -> DataFrame:
     """Documents as evidence: the lang column is the declaration, the source stands for a host."""
     return docs.select(F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("").alias("domain"), F.lit("").alias("suffix"))
@@ -177,7 +194,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages: (doc_id, page_id, language, posterior, accepted), one of the ids null."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     model = train(docs, "doc_id")
-    files = 1 + docs.count() // (1 << 19)
+    files = 1 + docs.count() // (1 << 17)
     parts = [identified(rows, model, files) for rows in (document_rows(docs), page_rows(pages))]
     key = F.substring("key", 2, 30).try_cast("long")
     return parts[0].unionByName(parts[1]).select(F.when(F.col("key").startswith("d"), key).alias("doc_id"), F.when(F.col("key").startswith("p"), key).alias("page_id"), "language", "posterior", "accepted")
