@@ -24,12 +24,17 @@ def term_weights(index: DataFrame, query_terms: DataFrame, floor: int = 50, max_
     return tf.join(df, "tok").select("i_id", "tok", weight.alias("w"))
 
 
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    """(q_id, i_id, score, rk): the best k sums of weights per query. hits: (q_id, i_id, w)."""
+    scored = hits.groupBy("q_id", "i_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
+    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "i_id")
+    return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+
+
 def top_k(query: DataFrame, index: DataFrame, k: int, floor: int = 50, max_df_ratio: float = 0.2) -> DataFrame:
     """(q_id, i_id, score, rk). query: (q_id, toks)."""
     terms = query.select("q_id", F.explode(F.array_distinct("toks")).alias("tok"))
-    scored = terms.join(term_weights(index, terms, floor, max_df_ratio), "tok").groupBy("q_id", "i_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "i_id")
-    return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    return ranked(terms.join(term_weights(index, terms, floor, max_df_ratio), "tok"), k)
 
 
 def keep_by_rank(ranked: DataFrame, special: str, k: int, k_special: int) -> DataFrame:

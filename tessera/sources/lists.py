@@ -93,3 +93,16 @@ def list_checks(lists: DataFrame, required: DataFrame, known: DataFrame, candida
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
         out = one if out is None else out.unionAll(one)
     return out
+
+
+def file_faults(spark: SparkSession, path: str, header: str) -> list[str]:
+    """Faults of a list file as a whole: empty, commas for tabs, another header, lines without a tab."""
+    lines = _lines(spark, path)
+    first = lines.orderBy("pos").limit(1).collect()
+    if not first:
+        return ["empty file"]
+    out, top = [], first[0]["value"]
+    if top != f"source1_entity_id\t{header}":
+        out.append("comma-separated" if "\t" not in top and "," in top else "unexpected header")
+    bad = lines.where(F.instr("value", "\t") == 0).count()
+    return out + [f"{bad} lines without a tab"] * bool(bad)
