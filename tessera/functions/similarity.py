@@ -36,37 +36,55 @@ def guarded(a: Column, b: Column, score: Column, skip: Column | None = None) ->
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence (Hyyro's bit vectors)."""
-    if not a or not b:
-        return 0
+    return _common(_masks(a), len(a), b) if a and b else 0
+
+
+def ratio(a: str, b: str) -> float:
+    return 1.0 if not a and not b else 2 * lcs(a, b) / (len(a) + len(b))
+
+
+def _masks(a: str) -> dict[str, int]:
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+    return at
+
+
+def _common(at: dict[str, int], n: int, b: str) -> int:
+    full = (1 << n) - 1
     row = full
     for c in b:
         u = row & at.get(c, 0)
         row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
 
 
-def ratio(a: str, b: str) -> float:
-    return 1.0 if not a and not b else 2 * lcs(a, b) / (len(a) + len(b))
+def _best_prefix(a: str, b: str, best: float) -> float:
+    """Best ratio of a with prefixes of b that are shorter than a. Each character more adds one to the common
+    part at most, so lengths that can't reach the best yet are passed over."""
+    at, n, k = _masks(a), len(a), 1
+    while k < min(n, len(b) + 1):
+        common = _common(at, n, b[:k])
+        best = max(best, 2 * common / (n + k))
+        k += max(1, int((best * (n + k) - 2 * common) / (2 - best)))
+    return best
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with a window of the longer one, windows cut at its ends too."""
+    """Best ratio of the shorter text with a window of the longer one, windows cut at its ends too. From window to
+    window the common part grows by one at most, so those that can't reach the best yet are passed over."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
-    n, best = len(a), 0.0
-    for start in range(1 - n, len(b)):
-        window = b[max(0, start) : start + n]
-        if 2 * min(len(window), n) / (n + len(window)) > best:
-            best = max(best, ratio(a, window))
-            if best == 1.0:
-                break
-    return best
+    at, n, most, start = _masks(a), len(a), 0, 0
+    while start <= len(b) - n:
+        common = _common(at, n, b[start : start + n])
+        most = max(most, common)
+        if most == n:
+            return 1.0
+        start += max(1, most - common + 1)
+    return _best_prefix(a[::-1], b[::-1], _best_prefix(a, b, most / n))
 
 
 def token_sort_ratio(a: str, b: str) -> float:

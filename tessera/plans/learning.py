@@ -30,9 +30,9 @@ def normalised(spark: SparkSession, sf: str) -> DataFrame:
     return norm.withColumn("n_phon", T.nysiis(F.regexp_replace("n_core", " ", "")))
 
 
-def pair_table(spark: SparkSession, sf: str) -> DataFrame:
+def pair_table(spark: SparkSession, sf: str, norm: DataFrame | None = None) -> DataFrame:
     """Candidates of key blocking with the normalised columns of both records."""
-    norm = normalised(spark, sf)
+    norm = normalised(spark, sf) if norm is None else norm
     parts = [c for c in norm.columns if c not in ("id", "src", "h")]
     side = lambda s: norm.select(F.col("id").alias(f"{s}_id"), F.col("h").alias(f"{s}_h"), *(F.col(c).alias(f"{s}_{c}") for c in parts), *(["src"] if s == "i" else []))
     cand = key_blocking_topk(spark, sf).select("q_id", "i_id", F.col("score").alias("bscore"), "bits", F.col("rk").alias("brank"))
@@ -43,8 +43,9 @@ def pair_table(spark: SparkSession, sf: str) -> DataFrame:
 def pair_features(spark: SparkSession, sf: str) -> DataFrame:
     """Features of candidate pairs: strings behind the gate, sets, bits, context."""
     gate = (F.col("brank") < 24) | (F.getbit("bits", F.lit(7)) == 1)
-    norm = normalised(spark, sf)
-    out = features.name_counts(features.text_cosines(features.string_features(pair_table(spark, sf), gate), norm), norm)
+    norm = written(normalised(spark, sf), "normalised")
+    table_ = written(pair_table(spark, sf, norm), "pairs")
+    out = features.name_counts(features.text_cosines(features.string_features(table_, gate), norm), norm)
     out = features.context_features(features.dense_features(features.set_features(out)))
     kept = [c for c in out.columns if not c.startswith(("q_n_", "q_a_", "i_n_", "i_a_", "q_h", "i_h"))]
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.select(*kept).dtypes))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ def test_longest_common_subsequence_scores():
     assert sim.jaro_winkler_score("abcdefgh", "abxyzwvu") == pytest.approx(0.5)
 
 
+def test_partial_ratio_tries_all_windows():
+    rng = random.Random(2)
+    for _ in range(1500):
+        a, b = ("".join(rng.choices("abc ", k=rng.randint(1, 14))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        n = len(short)
+        windows = [long[max(0, s) : s + n] for s in range(1 - n, len(long))]
+        assert sim.partial_ratio(a, b) == pytest.approx(max(sim.ratio(short, w) for w in windows))
+
+
 def test_batched_scores_keep_null(spark):
     df = spark.createDataFrame([("a b", "b a"), (None, "x")], "x string, y string").select(sim.indel_token_sort("x", "y").alias("s"))
     assert [r["s"] for r in df.collect()] == [1.0, None]
