@@ -5,7 +5,8 @@ markup declares; and where it lies. The posterior is the normalised product of
 
 * the text's likelihood: n-grams of NGRAM letters, additively smoothed, tempered as neighbouring n-grams aren't
   independent. A background with equal chances for all n-grams stands for all other languages; an n-gram that
-  a language's sample lacks is at most a tenth as likely there;
+  a language's sample lacks is at most a tenth as likely there. In a text of any language a share NOISE of words
+  is of none (codes, names, addresses), so that such words weigh little against it;
 * the declaration's likelihood, P(declared | language), from a grouped count of declarations;
 * the host's prior. Posteriors of the first two are summed by host, domain and address suffix, each smoothed
   by the next wider level: (sum + STRENGTH * wider prior) / (count + STRENGTH), up to the whole table's. A
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, table, written
 
-SAMPLE, SAMPLE_CHARS, NGRAM, SMOOTH, TEMPER = 2000, 4000, 3, 0.5, 0.3
+SAMPLE, SAMPLE_CHARS, NGRAM, SMOOTH, TEMPER, NOISE = 2000, 4000, 3, 0.5, 0.3, 0.1
 STRENGTH, ACCEPT = 20.0, 0.5
 OTHER = "other"
 #: N-grams that the background holds equally likely.
@@ -68,7 +69,9 @@ class Model:
             self.scores[g] = [math.log((counts[lang][g] + SMOOTH) / (totals[lang] + SMOOTH * kinds)) for lang in self.languages] + [-math.log(BACKGROUND)]
 
     def likelihood(self, word: str) -> np.ndarray:
-        return np.sum([self.scores[g] if g in self.scores else self.unseen for g in ngrams(word)], axis=0)
+        """Of a word in each language; in any text a share NOISE of words is of no language."""
+        own = np.sum([self.scores[g] if g in self.scores else self.unseen for g in ngrams(word)], axis=0)
+        return np.logaddexp(own + math.log(1 - NOISE), own[-1] + math.log(NOISE))
 
 
 class _Rows(dict):
@@ -132,11 +135,9 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def _with_posterior(rows: DataFrame, scores: list[str], names: list[str]) -> DataFrame:
-    """The scores' exponentials over their sum as columns of these names; null where the scores are."""
-    best = F.greatest(*scores) if len(scores) > 1 else F.col(scores[0])
-    raw = rows.withColumns({n: F.exp(F.col(s) - best) for s, n in zip(scores, names, strict=True)})
-    total = sum((F.col(n) for n in names), F.lit(0.0))
-    return raw.withColumn("_total", total).withColumns({n: F.col(n) / F.col("_total") for n in names}).drop("_total")
+    """Each score's exponential over the sum of all, as 1 / sum(exp(other - own)); null where the scores are."""
+    share = lambda own: 1 / sum((F.exp(F.col(s) - F.col(own)) for s in scores if s != own), F.lit(1.0))
+    return rows.withColumns({n: F.when(F.col(s).isNotNull(), share(s)) for s, n in zip(scores, names, strict=True)})
 
 
 def identified(rows: DataFrame, model: Model, files: int | None = None) -> DataFrame:

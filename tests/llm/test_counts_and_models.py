@@ -116,6 +116,13 @@ def test_evidence_is_fused(spark):
     assert got["x"] == "de" and got["y"] == "fr"
 
 
+def test_codes_and_addresses_do_not_hide_a_language():
+    score = langid.Scorer(langid.Model([(k, v + " " + v) for k, v in TEXTS.items()])).score
+    best = lambda t: int(np.argmax(score(t)))
+    assert best(TEXTS["en"] + " AKIAPTDWXUFBSMKLH qzxwvkpj ldlooirp xkcdqpzw vvvvqqqq zzzzxxxx") == 1  # de, en, fr, other
+    assert best("これは日本語の文章です " * 5) == 3
+
+
 def test_language_of_empty_tables(spark, tmp_path):
     path = saved(tmp_path, documents=docs(spark, []), pages=spark.createDataFrame([], PAGES))
     assert langid.op4_language_id(spark, path).collect() == []
