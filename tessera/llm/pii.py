@@ -1,6 +1,6 @@
 """PII surrogates: keyed, type-consistent replacements of detected entities.
 
-Types: email, phone, ip, card, ssn, iban, secret (long hex strings) and person (a name after an honorific).
+Types: email, phone, ip, card, ssn, iban, secret (long hex strings and access key ids) and person (a name after an honorific).
 A surrogate is a keyed permutation of the entity's own shape: digits become digits, letters become letters of
 the same script, class and case, separators stay. So format and script match, and
 
@@ -51,7 +51,7 @@ _CLASS_OF = {c: k for k, chars in enumerate(_CLASSES) for c in chars}
 _NAME = r"[^\W\d_][\w'’-]+"
 PATTERN = re.compile(
     r"(?P<email>[\w.+%-]*\w@[\w-]+(?:\.[\w-]*\w)+)"
-    r"|(?P<secret>(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z]))"
+    r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,64}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
     r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d))"
@@ -60,7 +60,7 @@ PATTERN = re.compile(
     rf"|(?P<person>\b(?:{'|'.join(HONORIFICS)})\.?[ ]+{_NAME}(?:[ ]+{_NAME}){{0,2}})"
 )
 #: A text with none of these holds no entity.
-_HINT = re.compile(rf"[@\d]|[0-9A-Fa-f]{{32}}|\b(?:{'|'.join(HONORIFICS)})\b")
+_HINT = re.compile(rf"[@\d]|[0-9A-Fa-f]{{32}}|AKIA|\b(?:{'|'.join(HONORIFICS)})\b")
 
 
 def _prf(key: bytes, label: str, size: int, turn: int, value: int, bits: int) -> int:
@@ -201,6 +201,8 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
     if kind == "ip":
         x = permute(int.from_bytes(bytes(map(int, text.split(".")))), 1 << 32, key, "ip")
         return ".".join(map(str, x.to_bytes(4)))
+    if kind == "secret" and text.startswith("AKIA"):
+        return "AKIA" + shaped(text[4:].lower(), key, "access").upper()
     if kind == "secret":
         low = text.lower()
         new = f"{permute(int(low, 16), 16 ** len(low), key, 'secret'):0{len(low)}x}"
