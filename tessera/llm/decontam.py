@@ -6,7 +6,7 @@ m words.
 
 * Screen. A run within k edits of m words shares at least m - 1 - 2k word pairs with it. Positions whose next
   m + k words hold fewer pairs of items of m words can't start a match and give no window; nothing else is
-  left out.
+  left out. An item of one word has no pairs and is found wherever the word occurs.
 * Embedding (Chakraborty, Goldenberg and Koucky, 2016). A walk of 3m steps copies the word it stands on and
   moves on if a random bit for (step, word) is set, so strings a few edits apart meet again soon and edit
   distance becomes Hamming distance.
@@ -98,7 +98,13 @@ class Index:
         self.codes = [np.array([numbers[w] for w in ws], np.int64) for _, ws in self.items]
         pairs = {int(p) for c in self.codes for p in self.pairs(c)}
         self.known = np.array(sorted(pairs), np.int64)
-        self.lengths = sorted({len(c) for c in self.codes})
+        #: A lone word has no pairs; items of one word are found where the word occurs.
+        self.single: dict[int, list[int]] = {}
+        for k, c in enumerate(self.codes):
+            if len(c) == 1:
+                self.single.setdefault(int(c[0]), []).append(k)
+        self.lone = np.array(sorted(self.single), np.int64)
+        self.lengths = sorted({len(c) for c in self.codes if len(c) > 1})
         self.known_of = {m: np.unique(np.concatenate([self.pairs(c) for c in self.codes if len(c) == m])) for m in self.lengths}
         #: Any match holds so many pairs within so many positions: the window of an item of m words consists of
         #: parts of this length, one of which holds its share.
@@ -130,9 +136,7 @@ class Index:
         return max(1, m - 1 - 2 * allowed(m))
 
     def pairs(self, codes: np.ndarray) -> np.ndarray:
-        """Neighbouring words as numbers; below 0 where one is in no item. A lone word is a pair with itself."""
-        if len(codes) == 1:
-            return codes * self.size + codes
+        """Neighbouring words as numbers; below 0 where one is in no item."""
         return np.where((codes[:-1] > 0) & (codes[1:] > 0), codes[:-1] * self.size + codes[1:], -1)
 
     def embed(self, windows: np.ndarray, m: int) -> np.ndarray:
@@ -178,7 +182,7 @@ class Index:
         found = words(text)
         codes = np.fromiter(map(self.number, found, itertools.repeat(0)), np.int64, len(found))
         out: dict[int, np.ndarray] = {}
-        if not len(codes) or not self.items:
+        if len(codes) < 2 or not self.lengths:
             return codes, out
         pairs = self.pairs(codes)
         hits = np.concatenate([[0], np.cumsum(_in(pairs, self.known))])
@@ -204,6 +208,11 @@ class Index:
         place. The windows of all texts are embedded together."""
         found = [self.screened(t) for t in texts]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for doc, (codes, _) in enumerate(found):
+            if len(self.lone) and len(codes):
+                at = np.flatnonzero(_in(codes, self.lone))
+                for word, first in zip(*np.unique(codes[at], return_index=True), strict=True):
+                    best |= {(doc, item): (0, int(at[first]), int(at[first]) + 1) for item in self.single[int(word)]}
         for m in self.lengths:
             k, own, windows, places = allowed(m), [], [], {}
             for doc, (codes, starts) in enumerate(found):

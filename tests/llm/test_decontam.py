@@ -76,3 +76,12 @@ def test_query_on_edges(spark, tmp_path):
     empty = saved(tmp_path / "e", documents=docs(spark, []), benchmark=bench.where("false"))
     assert rows(decontam.op5_decontamination(spark, empty)) == []
     assert decontam.clean(docs(spark, data), bench.where("false")).count() == len(data)
+
+
+def test_items_of_one_and_two_words_inside_longer_texts(spark):
+    texts = [(1, "they said hi again"), (2, "Hi"), (3, "hi hi"), (4, "his hiss"), (5, "well, oh no! HI"), (6, "no oh"), (7, "")]
+    items = [(1, "hi!"), (2, "oh no"), (3, "Hi"), (4, "a much longer item that no text holds at all")]
+    for kept in (items, items[:1]):
+        got = decontam.contaminated(docs(spark, texts), spark.createDataFrame(kept, "item_id long, text string"))
+        want = [(d, i, 0, 1, at, at + 1) for d, at in ((1, 2), (2, 0), (3, 0), (5, 3)) for i in (1, 3)] + [(5, 2, 0, 2, 1, 3)]
+        assert rows(got) == sorted((w for w in want if w[1] in dict(kept)), key=repr)
