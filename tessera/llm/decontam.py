@@ -10,9 +10,11 @@ m words.
 * Embedding (Chakraborty, Goldenberg and Koucky, 2016). A walk of 3m steps copies the word it stands on and
   moves on if a random bit for (step, word) is set, so strings a few edits apart meet again soon and edit
   distance becomes Hamming distance.
-* Bit sampling. TABLES tables each read SAMPLED steps of one of the embeddings; item-sized windows are looked
-  up among the items' embeddings. TABLES follows from RECALL and from the collision rate measured, at start,
-  on items mutated by the most edits allowed.
+* Bit sampling. Tables each read SAMPLED steps of one of the embeddings; item-sized windows are looked
+  up among the items' embeddings. Their number follows, for each item length, from RECALL and from the collision
+  rates measured, at start, on mutants with the most edits allowed: of each item one at least, of each length
+  MUTANTS at least. Where more than MOST_TABLES were needed, a length has none: there the items that share enough
+  word pairs with screened windows are all verified, which leaves no match out.
 * Verification. Each candidate is aligned exactly with the words around its window (Myers' bit vectors), so
   every match returned is true.
 
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-import math
+import random
 import unicodedata
 
 import numpy as np
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_map, table
 
 EDITS, RECALL, SAMPLED, EMBEDDINGS = 0.2, 0.999, 5, 8
-MOST_TABLES = 256
+MOST_TABLES, MUTANTS = 256, 256
 BLOCK_BYTES = 8 << 20
 EMBEDDED_AT_ONCE = 4096
 SEED = 20
@@ -114,14 +116,22 @@ class Index:
         self.steps = 3 * max(self.lengths, default=1)
         self.bits = self.random.integers(0, 2, (EMBEDDINGS, self.steps, self.size + 1), np.uint8)
         self.mixers = self.random.integers(1, 1 << 62, SAMPLED, np.int64) | 1
-        self.rate = self.collision_rate()
-        tables = math.ceil(math.log(1 - recall) / math.log(1 - self.rate)) if 0 < self.rate < 1 else 1
-        self.tables = min(MOST_TABLES, max(EMBEDDINGS, tables))
+        members: dict[int, list[int]] = {m: [] for m in self.lengths}
+        for k, c in enumerate(self.codes):
+            if len(c) > 1:
+                members[len(c)].append(k)
+        #: For each length: the tables, 0 where all screened windows are verified.
+        self.tables = {m: self.tables_needed(m, [self.codes[k] for k in own], recall) for m, own in members.items()}
         #: For each length: the embedding and the steps that each table reads.
-        self.reads = {m: [(t % EMBEDDINGS, np.sort(self.random.choice(3 * m, min(SAMPLED, 3 * m), replace=False))) for t in range(self.tables)] for m in self.lengths}
+        self.reads = {m: [(t % EMBEDDINGS, np.sort(self.random.choice(3 * m, min(SAMPLED, 3 * m), replace=False))) for t in range(n)] for m, n in self.tables.items()}
         self.lookup: dict[int, list[tuple[np.ndarray, dict[int, list[int]]]]] = {}
-        for m in self.lengths:
-            own = [k for k, c in enumerate(self.codes) if len(c) == m]
+        #: For lengths without tables: word pairs and the items that hold each.
+        self.holders: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for m, own in members.items():
+            if not self.tables[m]:
+                held = np.unique(np.concatenate([np.stack([p, np.full(len(p), k)], axis=1) for k in own for p in [self.pairs(self.codes[k])]]), axis=0)
+                self.holders[m] = self.known_of[m], np.searchsorted(held[:, 0], np.append(self.known_of[m], np.iinfo(np.int64).max)), held[:, 1]
+                continue
             hashed = self.hashes(np.stack([self.codes[k] for k in own]), m)
             self.lookup[m] = []
             for column in hashed:
@@ -137,7 +147,8 @@ class Index:
 
     def pairs(self, codes: np.ndarray) -> np.ndarray:
         """Neighbouring words as numbers; below 0 where one is in no item."""
-        return np.where((codes[:-1] > 0) & (codes[1:] > 0), codes[:-1] * self.size + codes[1:], -1)
+        left, right = codes[..., :-1], codes[..., 1:]
+        return np.where((left > 0) & (right > 0), left * self.size + right, -1)
 
     def embed(self, windows: np.ndarray, m: int) -> np.ndarray:
         """EMBEDDINGS walks over each row, 3m steps; past the end they copy a word of their own."""
@@ -155,27 +166,45 @@ class Index:
 
     def hashes(self, windows: np.ndarray, m: int) -> np.ndarray:
         """A row of hashes for each table."""
-        out = np.empty((self.tables, len(windows)), np.int64)
+        out = np.empty((self.tables[m], len(windows)), np.int64)
         for low in range(0, len(windows), EMBEDDED_AT_ONCE):
             walks = self.embed(windows[low : low + EMBEDDED_AT_ONCE], m)
             for t, (e, steps) in enumerate(self.reads[m]):
                 out[t, low : low + EMBEDDED_AT_ONCE] = (walks[steps, e] * self.mixers[: len(steps), None]).sum(axis=0)
         return out
 
-    def collision_rate(self) -> float:
-        """How often a table's steps agree between an item and itself after the most edits allowed."""
-        rng, rates = np.random.default_rng(SEED + 1), []
-        for c in [c for c in self.codes if allowed(len(c))][:64]:
-            m = len(c)
-            for _ in range(4):
+    def tables_needed(self, m: int, own: list[np.ndarray], recall: float) -> int:
+        """How many tables find a share recall of mutants of the items of m words; 0 if more than MOST_TABLES.
+
+        A table of one embedding finds a mutant at the rate of its best screened window near the start (a bound from
+        below, as others may find it too). The chance that all miss it follows for each mutant, and its mean over mutants is the loss."""
+        if not (k := allowed(m)):
+            return 1
+        rng, missed = random.Random(SEED + m), []
+        count = max(len(own), MUTANTS)
+        shifts = np.arange(max(-k, -2), min(k, 2) + 1)
+        at_once = max(1, EMBEDDED_AT_ONCE * 32 // (m * len(shifts)))
+        for low in range(0, count, at_once):
+            items, runs = [], []
+            for c in (own[i % len(own)] for i in range(low, min(low + at_once, count))):
                 w = c.tolist()
-                for _ in range(allowed(m)):
-                    at, kind = int(rng.integers(len(w))), int(rng.integers(3))
+                for _ in range(k):
+                    at, kind = rng.randrange(len(w)), rng.randrange(3)
                     w[at : at + (kind != 1)] = [] if kind == 0 else [0]
-                w = np.array((w + [0] * m)[:m], np.int64)
-                same = (self.embed(c[None], m) == self.embed(w[None], m)).mean(axis=(0, 2))
-                rates.extend(same**SAMPLED)
-        return float(np.mean(rates)) if rates else 1.0
+                items.append(c)
+                runs.append([0] * k + w + [0] * (m + 2 * k - len(w)))
+            placed = np.array(runs, np.int64)
+            hits = np.cumsum(np.pad(_in(self.pairs(placed), self.known_of[m]), ((0, 0), (1, 0))), axis=1)
+            kept = hits[:, k + shifts + m + k - 1] - hits[:, k + shifts] >= self.least(m)
+            windows = np.lib.stride_tricks.sliding_window_view(placed, m, axis=1)[:, k + shifts].reshape(-1, m)
+            walks = self.embed(windows, m).reshape(3 * m, EMBEDDINGS, len(items), len(shifts))
+            same = ((walks == self.embed(np.stack(items), m)[..., None]).mean(axis=0) * kept).max(axis=2)
+            missed.append(np.log1p(-np.minimum(same**SAMPLED, 1 - 1e-12)).mean(axis=0))
+        logs = np.concatenate(missed)
+        for tables in range(EMBEDDINGS, MOST_TABLES + 1, EMBEDDINGS):
+            if np.exp(tables * logs).mean() <= 1 - recall:
+                return tables
+        return 0
 
     def screened(self, text: str | None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         """A text's words as numbers, and for each item length the positions where a match may start."""
@@ -203,6 +232,16 @@ class Index:
                     out[m] = starts
         return codes, out
 
+    def sharing(self, run: np.ndarray, m: int) -> list[int]:
+        """The items of m words that share as many word pairs with the run as a match does."""
+        known, starts, items = self.holders[m]
+        pairs = self.pairs(run)
+        rows = np.searchsorted(known, pairs[_in(pairs, known)])
+        if not len(rows):
+            return []
+        count = np.bincount(np.concatenate([items[starts[r] : starts[r + 1]] for r in rows]))
+        return np.flatnonzero(count >= self.least(m)).tolist()
+
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text's place, item_id, edits, start word, end word) of each text and item that match, at the best
         place. The windows of all texts are embedded together."""
@@ -214,21 +253,25 @@ class Index:
                 for word, first in zip(*np.unique(codes[at], return_index=True), strict=True):
                     best |= {(doc, item): (0, int(at[first]), int(at[first]) + 1) for item in self.single[int(word)]}
         for m in self.lengths:
-            k, own, windows, places = allowed(m), [], [], {}
+            k, own, windows, places, spans = allowed(m), [], [], {}, {}
             for doc, (codes, starts) in enumerate(found):
-                if m in starts:
+                if m in starts and m in self.holders:
+                    for low, high in _merged(starts[m].tolist(), m + k):
+                        for item in self.sharing(codes[low : high + m + k], m):
+                            spans.setdefault((doc, item), []).append((low, high))
+                elif m in starts:
                     padded = np.concatenate([codes, np.full(m, self.size, np.int64)])
                     windows.append(np.lib.stride_tricks.sliding_window_view(padded, m)[starts[m]])
                     own += [(doc, int(s)) for s in starts[m]]
-            if not own:
-                continue
-            for (keys, table_), column in zip(self.lookup[m], self.hashes(np.concatenate(windows), m), strict=True):
-                for row in np.flatnonzero(_in(column, keys)):
-                    for item in table_[int(column[row])]:
-                        places.setdefault((own[row][0], item), set()).add(own[row][1])
-            for (doc, item), where in places.items():
+            if own:
+                for (keys, table_), column in zip(self.lookup[m], self.hashes(np.concatenate(windows), m), strict=True):
+                    for row in np.flatnonzero(_in(column, keys)):
+                        for item in table_[int(column[row])]:
+                            places.setdefault((own[row][0], item), set()).add(own[row][1])
+            spans |= {key: _merged(sorted(where), m + k) for key, where in places.items()}
+            for (doc, item), where in spans.items():
                 codes = found[doc][0]
-                for low, high in _merged(sorted(where), m + k):
+                for low, high in where:
                     first = max(0, low - k)
                     edits, stop = best_alignment(self.codes[item].tolist(), codes[first : high + m + k])
                     if edits <= k and ((doc, item) not in best or (edits, first + stop) < (best[doc, item][0], best[doc, item][2])):

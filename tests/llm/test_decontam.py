@@ -85,3 +85,34 @@ def test_items_of_one_and_two_words_inside_longer_texts(spark):
         got = decontam.contaminated(docs(spark, texts), spark.createDataFrame(kept, "item_id long, text string"))
         want = [(d, i, 0, 1, at, at + 1) for d, at in ((1, 2), (2, 0), (3, 0), (5, 3)) for i in (1, 3)] + [(5, 2, 0, 2, 1, 3)]
         assert rows(got) == sorted((w for w in want if w[1] in dict(kept)), key=repr)
+
+
+def mutants(rng, items, fresh):
+    """A text around each item with the most edits allowed."""
+    out = []
+    for i, t in items:
+        w = t.split()
+        for _ in range(decontam.allowed(len(w))):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + (kind != 1)] = [] if kind == 0 else [rng.choice(fresh)]
+        out.append((i, " ".join(rng.choices(fresh, k=20) + w + rng.choices(fresh, k=20))))
+    return out
+
+
+def test_long_items_are_found_though_low_ids_are_short():
+    rng = random.Random(4)
+    vocabulary, fresh = [f"v{i}" for i in range(3000)], [f"f{i}" for i in range(3000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=15 if k < 64 else 400))) for k in range(104)]
+    texts = mutants(rng, items[64:], fresh)
+    found = {(texts[d][0], i) for d, i, *_ in decontam.Index(items).matches([t for _, t in texts])}
+    assert {(i, i) for i, _ in texts} <= found
+
+
+def test_lengths_beyond_the_most_tables_are_verified_exactly(monkeypatch):
+    items, texts = world(5, 80)
+    want = {(d, i) for d, t in texts for i, p in items if distance(decontam.words(p), decontam.words(t)) <= decontam.allowed(len(decontam.words(p)))}
+    monkeypatch.setattr(decontam, "MOST_TABLES", 0)
+    index = decontam.Index(items)
+    assert {(d, i) for d, i, *_ in index.matches([t for _, t in texts])} == want and len(want) > 20
+    many = " ".join(("  ".join(items[0][1].split()[:k]) for k in range(1, 9))) + " " + items[0][1] + " x" * 9 + items[0][1]
+    assert index.matches([many])[0][1:3] == (0, 0)
