@@ -14,8 +14,10 @@ markup declares; and where it lies. The posterior is the normalised product of
 
 A text is rejected if it has no letters, if the background wins, or if the best posterior is under ACCEPT.
 
-The n-gram model is fitted on the driver on at most SAMPLE labelled texts with at most SAMPLE_CHARS characters
-each, those of the smallest hashes of their id. All counts for priors and declarations cover all rows.
+The n-gram model is fitted on the driver. Labels are counted over all rows, and each label gives the texts of the
+smallest hashes of their id: its share of SAMPLE by count, LEAST at least (all if it has fewer), with at most
+SAMPLE_CHARS characters each. So each label named in the table gets a model and keeps its declarations. All counts
+for priors and declarations cover all rows.
 
 Defined results: a null or letterless text has the language null and is rejected; null or unknown
 declarations and addresses count as none, which is a value of its own; repeated rows count each; an empty table
@@ -30,12 +32,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, table, written
 
-SAMPLE, SAMPLE_CHARS, NGRAM, SMOOTH, TEMPER, NOISE = 2000, 4000, 3, 0.5, 0.3, 0.1
+SAMPLE, LEAST, SAMPLE_CHARS, NGRAM, SMOOTH, TEMPER, NOISE = 2000, 200, 4000, 3, 0.5, 0.3, 0.1
 STRENGTH, ACCEPT = 20.0, 0.5
 OTHER = "other"
 #: N-grams that the background holds equally likely.
@@ -57,6 +59,7 @@ class Model:
     def __init__(self, samples: list[tuple[str, str]]) -> None:
         counts: dict[str, Counter] = defaultdict(Counter)
         for lang, text in samples:
+            counts[lang].update()
             for word, n in Counter(_LETTERS.findall((text or "").lower())).items():
                 for g in ngrams(word):
                     counts[lang][g] += n
@@ -116,9 +119,25 @@ def _scorer(model: Model) -> Scorer:
 
 
 def train(rows: DataFrame, key: str, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    ids = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(sample).distinct()
-    taken = rows.join(F.broadcast(ids), key).select(label, F.substring(text, 1, SAMPLE_CHARS).alias("t")).where(F.col(label).isNotNull())
-    return Model([(r[0], r["t"]) for r in taken.orderBy(F.xxhash64("t"), "t", label).limit(sample).collect()])
+    """Fitted on texts of every label. One pass takes the rows under a hash that twice as many as wanted should have;
+    a label that still lacks rows, as many share an id, is read again by itself."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    named = rows.where(F.col(label) != "").select(F.col(label).alias("l"), place.alias("h"), F.col(key).alias("k"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
+    counts = {r["l"]: r["n"] for r in named.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return Model([])
+    every = sum(counts.values())
+    sizes = {lang: min(n, max(min(sample, LEAST), sample * n // every)) for lang, n in counts.items()}
+    bounds = [(lang, sizes[lang], min(1 << 30, (2 * sizes[lang] << 30) // n)) for lang, n in counts.items()]
+    near = named.join(F.broadcast(rows.sparkSession.createDataFrame(bounds, "l string, size long, below long")), "l").where("h < below")
+    order = ["h", "k", F.xxhash64("t"), "t"]
+    ranked = near.withColumn("rk", F.row_number().over(Window.partitionBy("l").orderBy(*order))).where(F.col("rk") <= max(sizes.values())).where("rk <= size")
+    samples = [(r["l"], r["t"]) for r in ranked.select("l", "t").collect()]
+    taken = Counter(lang for lang, _ in samples)
+    for lang in sorted(k for k in sizes if taken[k] < sizes[k]):
+        again = named.where(F.col("l") == lang).orderBy(*order).limit(sizes[lang]).collect()
+        samples = [s for s in samples if s[0] != lang] + [(lang, r["t"]) for r in again]
+    return Model(samples)
 
 
 def evidence(rows: DataFrame, model: Model) -> DataFrame:
@@ -146,7 +165,7 @@ def identified(rows: DataFrame, model: Model, files: int | None = None) -> DataF
     count = range(len(langs))
     s, p = [f"s{k}" for k in count], [f"p{k}" for k in count]
     known = F.lower(F.substring("declared", 1, 2))
-    clean = rows.withColumn("declared", F.when(known.isin(*model.languages), known).otherwise(F.lit("")))
+    clean = rows.withColumn("declared", F.when(F.col("declared").isin(*model.languages), F.col("declared")).when(known.isin(*model.languages), known).otherwise(F.lit("")))
     clean = clean.withColumns({c: F.coalesce(c, F.lit("")) for c in LEVELS})
     scored = evidence(clean, model).select("key", "declared", *LEVELS, *(F.col("likelihood")[k].alias(s[k]) for k in count))
     scored = written(scored, "language-evidence", files)

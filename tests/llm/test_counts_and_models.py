@@ -131,3 +131,20 @@ def test_language_of_empty_tables(spark, tmp_path):
 def test_no_label_at_all(spark):
     got = langid.identified(langid.document_rows(docs(spark, [(1, "abc")])), langid.train(docs(spark, [(1, "abc")]), "doc_id")).collect()
     assert [(r["language"], r["accepted"]) for r in got] == [(None, False)] and F is not None
+
+
+def test_every_label_gets_a_model(spark):
+    rng = random.Random(6)
+    make = lambda lang: " ".join(rng.choices(TEXTS[lang].split(), k=12))
+    ids = [r["id"] for r in spark.range(3000).orderBy(F.xxhash64("id"), "id").collect()]  # the rare label's come last
+    data = [(i, make("en"), "en", "s", 0) for i in ids[:-4]] + [(i, make("fr"), "fr", "s", 0) for i in ids[-4:]]
+    data += [(ids[-1], make("de"), "de-AT", "s", 0) for _ in range(700)] + [(None, "12", "xx", "s", 0)]  # one id; no id, no letters
+    model = langid.train(docs(spark, data), "doc_id")
+    assert model.languages == ["de-AT", "en", "fr", "xx"]
+    got = {r["key"]: r for r in langid.identified(langid.document_rows(docs(spark, [d for d in data if d[2] != "de-AT"])), model).collect()}
+    assert all(got[f"d{i}"]["language"] == "fr" and got[f"d{i}"]["accepted"] for i in ids[-4:])
+    said = [("x", "xy", "de-AT", "h", "d", "s"), ("y", "xy", "FR-fr", "h", "d", "s")]
+    filler = [(f"f{k}{i}", make(k[:2]), k, "h", "d", "s") for k in ("de-AT", "fr") for i in range(40)]
+    cols = "key string, text string, declared string, host string, domain string, suffix string"
+    told = {r["key"]: r["language"] for r in langid.identified(spark.createDataFrame(filler + said, cols), model).collect()}
+    assert told["x"] == "de-AT" and told["y"] == "fr"
