@@ -206,7 +206,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<!--.*?-->|<[^>]*>", " ")
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1))
-    declared = F.regexp_extract(F.substring("html", 1, 2000), r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})", 1)
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})", 1)
     return pages.select(F.concat(F.lit("p"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("key"), plain.alias("text"), declared.alias("declared"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"))
 
 

@@ -148,3 +148,9 @@ def test_every_label_gets_a_model(spark):
     cols = "key string, text string, declared string, host string, domain string, suffix string"
     told = {r["key"]: r["language"] for r in langid.identified(spark.createDataFrame(filler + said, cols), model).collect()}
     assert told["x"] == "de-AT" and told["y"] == "fr"
+
+
+def test_declaration_after_a_long_notice(spark):
+    pages = [(1, None, f"<!-- {'notice ' * 1000}--><html {'x ' * 1500}lang='de'><p>hm</p></html>"), (2, None, "<p>hm</p>"), (3, None, None)]
+    got = {r["key"]: r["declared"] for r in langid.page_rows(spark.createDataFrame(pages, PAGES)).collect()}
+    assert got == {"p1": "de", "p2": "", "p3": None}
