@@ -1,18 +1,18 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
-A node of the tree is a text with its exact segmentation and ids. Encoding splits a long text in halves,
-encodes each and joins the neighbours:
+A node of the tree is a text with its exact segmentation and ids. Encoding splits a text in halves down to
+LEAF_CHARS characters, encodes each and joins the neighbours:
 
 * Segmentation. The pattern has no lookbehind, so a scan that starts at a true boundary needs nothing to
   its left; and a match examines at most LOOKAHEAD characters past its end, so pieces that end that far
   before the end of a text stay whatever follows. A join rescans a window from the first unstable piece of
   the left node into the right one, doubling it until a stable boundary of the window is one of the right
   node's own. From there on both scans agree, so all outside the window is proven to stand.
-* Merging. A piece longer than LEAF_BYTES is itself halved. A sequence of tokens is the encoding of its
-  bytes exactly if every adjacent pair encodes to itself, so a join re-encodes a window of tokens around
-  the seam and widens either side until both its edge pairs are valid.
+* Merging. A piece that is no token is itself halved, down to LEAF_BYTES bytes, which merge by rank. A sequence
+  of tokens is the encoding of its bytes exactly if every adjacent pair encodes to itself, so a join re-encodes a
+  window of tokens around the seam and widens either side until both its edge pairs are valid.
 
-Decoding concatenates token bytes up the tree.
+Decoding concatenates token bytes up the tree. No tokenizer library takes part; the tests hold one against this.
 
 Defined results: a null text is the empty text, with no ids; rows are independent, so repeated rows and
 ties get equal values; an empty table gives an empty result; columns other than those named are ignored.
@@ -24,11 +24,11 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import arrow_map, table
@@ -36,7 +36,11 @@ from tessera.llm.common import arrow_map, table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters that the pattern examines past a match: "'" before "re", and a space before a word.
 LOOKAHEAD = 2
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 1 << 15, 256, 1 << 16
+#: A leaf's size in a text, in a piece and in a list of ids.
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 512, 8, 512
+#: Parts up to which a scan for the lowest rank beats a heap.
+SCANNED = 48
+_NONE = 1 << 62
 #: Pieces remembered by a worker; when full, it starts anew.
 CACHE_PIECES = 200_000
 
@@ -69,7 +73,6 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.longest = max(map(len, self.ranks))
         self.leaf_chars, self.leaf_bytes = max(leaf_chars, 2), max(leaf_bytes, 2)
-        self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.scan = regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.bytes_of_text = {str(i): b for b, i in self.ranks.items()}
@@ -80,24 +83,57 @@ class Codec:
 
     def merge(self, data: bytes) -> list[int]:
         """Lowest rank first, leftmost on ties; a whole piece isn't looked up."""
+        if len(data) > SCANNED:
+            return self.merge_by_heap(data)
+        rank = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if rank == 1 << 62:
+        next_rank = [rank(data[i : i + 2], _NONE) for i in range(len(data) - 1)]
+        while next_rank:
+            lowest = min(next_rank)
+            if lowest == _NONE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = next_rank.index(lowest)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del next_rank[i]
+            if i:
+                next_rank[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
+            if i < len(next_rank):
+                next_rank[i] = rank(parts[i] + parts[i + 1], _NONE)
         return [self.ranks[p] for p in parts]
 
+    def merge_by_heap(self, data: bytes) -> list[int]:
+        """merge() for long windows: a heap of (rank, place) over linked parts, so n log n."""
+        rank, n = self.ranks.get, len(data)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts here
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        gone = bytearray(n)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            middle = end[i]
+            if gone[i] or middle >= n or end[middle] != stop:
+                continue  # one of the two has changed since
+            end[i], gone[middle] = stop, 1
+            if stop < n:
+                before[stop] = i
+                if (r := rank(data[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if before[i] >= 0 and (r := rank(data[before[i] : stop])) is not None:
+                heapq.heappush(heap, (r, before[i], stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[data[i : end[i]]])
+            i = end[i]
+        return out
+
     def encode_piece(self, data: bytes) -> list[int]:
-        """As the library encodes one match: whole if it is a token, else merged."""
+        """One match of the pattern: whole if it is a token, else by the tree."""
         if len(data) <= self.longest and data in self.ranks:
             return [self.ranks[data]]
         return self.piece_tree(data)
 
     def piece_tree(self, data: bytes) -> list[int]:
         if len(data) <= self.leaf_bytes:
-            if self.longest < len(data) or data not in self.ranks:
-                return self.library._encode_single_piece(data)
             return self.merge(data)
         half = len(data) // 2
         return self.join_tokens(self.piece_tree(data[:half]), self.piece_tree(data[half:]))
@@ -105,20 +141,15 @@ class Codec:
     def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
         if not left or not right or self.valid(left[-1], right[0]):
             return left + right
-        i, j = min(4, len(left)), min(4, len(right))
+        i, j = min(2, len(left)), min(2, len(right))
         while True:
-            seam = b"".join(self.bytes_of[t] for t in [*left[len(left) - i :], *right[:j]])
-            window = self.merge(seam) if len(seam) <= 2 * self.leaf_bytes else self.join_tokens_of(seam)
+            window = self.merge(b"".join(self.bytes_of[t] for t in [*left[len(left) - i :], *right[:j]]))
             ok_left = i == len(left) or self.valid(left[-i - 1], window[0])
             ok_right = j == len(right) or self.valid(window[-1], right[j])
             if ok_left and ok_right:
                 return left[: len(left) - i] + window + right[j:]
             i, j = (i if ok_left else min(2 * i, len(left))), (j if ok_right else min(2 * j, len(right)))
 
-    def join_tokens_of(self, seam: bytes) -> list[int]:
-        """A window that has outgrown a leaf: the library merges it, as no token is as long."""
-        return self.library._encode_single_piece(seam) if len(seam) > self.longest else self.merge(seam)
-
     # Segmentation of a text
 
     def segment(self, text: str) -> list[str]:
