@@ -37,7 +37,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters that the pattern examines past a match: "'" before "re", and a space before a word.
 LOOKAHEAD = 2
 #: A leaf's size in a text, in a piece and in a list of ids.
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 512, 8, 512
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 1024, 16, 512
 #: Parts up to which a scan for the lowest rank beats a heap.
 SCANNED = 48
 _NONE = 1 << 62
@@ -74,57 +74,75 @@ class Codec:
         self.longest = max(map(len, self.ranks))
         self.leaf_chars, self.leaf_bytes = max(leaf_chars, 2), max(leaf_bytes, 2)
         self.scan = regex.compile(pattern).findall
+        #: The token that two tokens, packed in one number, merge into; a token's id is its rank.
+        self.merged = {self.ranks[t[:k]] << 32 | self.ranks[t[k:]]: i for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
+        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.bytes_of_text = {str(i): b for b, i in self.ranks.items()}
         self.pieces = _Pieces(self.encode_piece)
-        self.valid = functools.lru_cache(1 << 16)(lambda a, b: self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b])
+        self.split = functools.lru_cache(None)(self.last_merge)
 
     # Merging inside a piece
 
     def merge(self, data: bytes) -> list[int]:
         """Lowest rank first, leftmost on ties; a whole piece isn't looked up."""
-        if len(data) > SCANNED:
-            return self.merge_by_heap(data)
-        rank = self.ranks.get
-        parts = [data[i : i + 1] for i in range(len(data))]
-        next_rank = [rank(data[i : i + 2], _NONE) for i in range(len(data) - 1)]
-        while next_rank:
-            lowest = min(next_rank)
-            if lowest == _NONE:
-                break
-            i = next_rank.index(lowest)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del next_rank[i]
+        ids = [self.byte_ids[b] for b in data]
+        return self.merge_by_heap(ids) if len(ids) > SCANNED else self.merge_ids(ids)
+
+    def merge_ids(self, ids: list[int], least: int = 1) -> list[int]:
+        """Merges neighbours, in place, until none can be or so many are left."""
+        merged = self.merged.get
+        lowest = [merged(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while len(ids) > least and (new := min(lowest)) != _NONE:
+            i = lowest.index(new)
+            del lowest[i], ids[i]
+            ids[i] = new
             if i:
-                next_rank[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
-            if i < len(next_rank):
-                next_rank[i] = rank(parts[i] + parts[i + 1], _NONE)
-        return [self.ranks[p] for p in parts]
-
-    def merge_by_heap(self, data: bytes) -> list[int]:
-        """merge() for long windows: a heap of (rank, place) over linked parts, so n log n."""
-        rank, n = self.ranks.get, len(data)
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts here
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(data[i : i + 2])) is not None]
+                lowest[i - 1] = merged(ids[i - 1] << 32 | new, _NONE)
+            if i < len(lowest):
+                lowest[i] = merged(new << 32 | ids[i + 1], _NONE)
+        return ids
+
+    def merge_by_heap(self, ids: list[int]) -> list[int]:
+        """merge_ids() for long windows: a heap of (rank, place) over linked tokens, so n log n."""
+        merged, n = self.merged.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(new, i) for i in range(n - 1) if (new := merged(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
-        gone = bytearray(n)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            middle = end[i]
-            if gone[i] or middle >= n or end[middle] != stop:
+            new, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j == n or merged(ids[i] << 32 | ids[j]) != new:
                 continue  # one of the two has changed since
-            end[i], gone[middle] = stop, 1
-            if stop < n:
-                before[stop] = i
-                if (r := rank(data[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if before[i] >= 0 and (r := rank(data[before[i] : stop])) is not None:
-                heapq.heappush(heap, (r, before[i], stop))
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[data[i : end[i]]])
-            i = end[i]
-        return out
+            ids[i], ids[j], k, h = new, -1, after[j], before[i]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (x := merged(new << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (x, i))
+            if h >= 0 and (x := merged(ids[h] << 32 | new)) is not None:
+                heapq.heappush(heap, (x, h))
+        return [t for t in ids if t >= 0]
+
+    def last_merge(self, token: int) -> tuple[int, ...]:
+        """The two tokens that merge into this one last; none for a byte."""
+        data = self.bytes_of[token]
+        return () if len(data) == 1 else tuple(self.merge_ids([self.byte_ids[b] for b in data], 2))
+
+    def valid(self, a: int, b: int) -> bool:
+        """Whether the two tokens' bytes encode to just them. Merges are undone, the latest first (of equal ranks the
+        right one, as the left one comes first); what stands at the seam then must not merge before it was merged away."""
+        merged, until = self.merged.get, _NONE
+        while True:
+            if merged(a << 32 | b, _NONE) < until:
+                return False
+            x, y = self.split(a), self.split(b)
+            if x and (a > b or not y):
+                until, a = a, x[1]
+            elif y:
+                until, b = b + 1, y[0]
+            else:
+                return True
 
     def encode_piece(self, data: bytes) -> list[int]:
         """One match of the pattern: whole if it is a token, else by the tree."""
