@@ -3,7 +3,17 @@
 The reader checks each record: gzip trailer, version line, headers, Content-Length, the blank lines after
 the block, and the payload digest. After a failed check it searches for the next gzip member or version
 line from which a record passes, goes on there, and logs the bytes between as a quarantined gap with
-file, offsets and reason. Plain and compressed archives, and mixtures of both, are read.
+file, offsets and reason. Plain and compressed archives, and mixtures of both, are read, with any number of records
+a member:
+
+* The search for the next version line also runs inside a member's unpacked bytes, so one bad record there costs
+  itself; its gap has the member's offsets and those within its unpacked bytes (inner_start, inner_stop).
+* Of a member that is cut off, or whose packed bytes or trailer are damaged, all that could be unpacked is read,
+  but only records whose payload digest is there and matches are kept, as the trailer vouches for none. The rest of
+  the member is a gap.
+
+A member is unpacked in blocks of UNPACKED packed bytes and searched once, so reading is linear in the archive. An
+archive is one value of a task (a file of up to 2 GB), beside which the task holds one member's unpacked bytes.
 
 Archives are written and read through Spark's file systems: the packed members of an archive are one
 value of at most ARCHIVE_BYTES (or one record, if that is longer), written as bytes; an empty member ends
@@ -33,8 +43,9 @@ ARCHIVE_BYTES = 8 << 20
 #: Payloads shorter than this are never revisits.
 REVISIT_BYTES = 100
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+UNPACKED = 1 << 16
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
-RECORD = "kind string, file string, start long, stop long, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
+RECORD = "kind string, file string, start long, stop long, inner_start long, inner_stop long, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
 
 def member(page_id: int | None, url: str | None, kind: str, refers_to: int | None, digest: str, payload: bytes, level: int = 4) -> bytes:
@@ -74,48 +85,106 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     digest, own = fields.get("warc-payload-digest", "").removeprefix("sha256:"), hashlib.sha256(payload).hexdigest()
     if kind != "revisit" and digest and digest != own:
         raise ValueError("payload digest differs")
-    return {"fields": fields, "type": kind, "payload": payload, "digest": digest or own}, stop + 4
-
-
-def _unit(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the gzip member or plain record at this offset, and the offset after it."""
-    if not data.startswith(MAGIC, at):
-        record, stop = parse_record(data, at)
-        return [record], stop
-    unpacker = zlib.decompressobj(31)
-    try:
-        plain = unpacker.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from None
+    return {"fields": fields, "type": kind, "payload": payload, "digest": digest or own, "proven": digest == own}, stop + 4
+
+
+def _unpacked(data: memoryview, at: int) -> tuple[bytearray, int, str]:
+    """The unpacked bytes of the gzip member at this offset, the offset after it, and what is wrong with it, if
+    anything; then the offset doesn't count and the bytes are all that come before the fault."""
+    unpacker, out, pos = zlib.decompressobj(31), bytearray(), at
+    while not unpacker.eof and pos < len(data):
+        block = data[pos : pos + UNPACKED]
+        try:
+            out += unpacker.decompress(block)
+        except zlib.error as e:  # once a damaged member: byte by byte up to the fault
+            again = zlib.decompressobj(31)
+            for start in range(at, pos, UNPACKED):
+                again.decompress(data[start : min(start + UNPACKED, pos)])
+            try:
+                for k in range(len(block)):
+                    out += again.decompress(block[k : k + 1])
+            except zlib.error:
+                pass
+            return out, at, f"gzip: {e}"
+        pos += len(block)
     if not unpacker.eof:
-        raise ValueError("gzip member is cut off")
-    records, inner = [], 0
-    while inner < len(plain):
-        record, inner = parse_record(plain, inner)
-        records.append(record)
-    return records, len(data) - len(unpacker.unused_data)
+        return out + unpacker.flush(), at, "gzip member is cut off"
+    return out, pos - len(unpacker.unused_data), ""
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, stop, record) and ("gap", start, stop, reason), in order of offset."""
+def _records(plain: bytes, digests: bool) -> Iterator[tuple[int, int, dict | str]]:
+    """(start, stop, record or what failed) of unpacked bytes, in order; with digests, only records that have one."""
     at, gap, reason = 0, None, ""
-    while at < len(data):
+    while at < len(plain):
         try:
-            records, stop = _unit(data, at)
+            record, stop = parse_record(plain, at)
+            if digests and not record["proven"]:
+                raise ValueError("no digest in a damaged member")
         except ValueError as e:
             if gap is None:
                 gap, reason = at, str(e)
-            found = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-            at = min(found, default=len(data))
+            found = plain.find(VERSION, at + 1)
+            at = found if found >= 0 else len(plain)
             continue
-        if gap is not None and (records or stop == len(data)):
-            yield "gap", gap, at, reason
+        if gap is not None:
+            yield gap, at, reason
             gap = None
-        for record in records:
-            yield "record", at, stop, record
+        yield at, stop, record
+        at = stop
+    if gap is not None:
+        yield gap, len(plain), reason
+
+
+class _Search:
+    """The next place of a mark from an offset on; offsets only grow, so all bytes are searched once."""
+
+    def __init__(self, data: bytes, mark: bytes) -> None:
+        self.data, self.mark, self.at = data, mark, -1
+
+    def after(self, at: int) -> int:
+        if self.at <= at:
+            found = self.data.find(self.mark, at + 1)
+            self.at = found if found >= 0 else len(self.data)
+        return self.at
+
+
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, int | None, int | None, object]]:
+    """("record", start, stop, inner start, inner stop, record) and ("gap", ..., reason), in order of offset; inner
+    offsets are those in a member's unpacked bytes, null outside of members. A damaged member's stop is the place
+    where reading goes on."""
+    view, magic, version = memoryview(data), _Search(data, MAGIC), _Search(data, VERSION)
+    at, gap, reason = 0, None, ""
+    while at < len(data):
+        fault, rows, stop = "", [], at
+        if data.startswith(MAGIC, at):
+            plain, stop, fault = _unpacked(view, at)
+            rows = [("gap" if isinstance(x, str) else "record", start, end, x) for start, end, x in _records(bytes(plain), bool(fault))]
+            if fault:
+                stop = min(magic.after(at), version.after(at))
+                good = [r[2] for r in rows if r[0] == "record"]
+                rows = [r for r in rows if good and r[1] < good[-1]]
+                if good:
+                    rows.append(("gap", good[-1], len(plain), fault))
+            elif rows and all(r[0] == "gap" for r in rows):
+                fault, rows, stop = rows[0][3], [], min(magic.after(at), version.after(at))
+        else:
+            try:
+                record, stop = parse_record(data, at)
+                rows = [("record", None, None, record)]
+            except ValueError as e:
+                fault, stop = str(e), min(magic.after(at), version.after(at))
+        if fault and not rows:
+            if gap is None:
+                gap, reason = at, fault
+        else:
+            if gap is not None and (rows or stop == len(data)):
+                yield "gap", gap, at, None, None, reason
+                gap = None
+            for kind, start, end, x in rows:
+                yield kind, at, stop, start, end, x
         at = stop
     if gap is not None:
-        yield "gap", gap, len(data), reason
+        yield "gap", gap, len(data), None, None, reason
 
 
 def with_types(pages: DataFrame) -> DataFrame:
@@ -161,12 +230,12 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 name, data, rows = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), []
-                for kind, start, stop, x in salvage(data):
+                for kind, *place, x in salvage(data):
                     if kind == "gap":
-                        rows.append(("gap", name, start, stop, x, None, None, None, None, None, None, None))
+                        rows.append(("gap", name, *place, x, None, None, None, None, None, None, None))
                     else:
                         f, revisit = x["fields"], x["type"] == "revisit"
-                        rows.append(("record", name, start, stop, None, _page(f.get("warc-record-id", "")), f.get("warc-target-uri"), x["type"], _page(f.get("warc-refers-to", "")) if revisit else None, None if revisit else len(x["payload"]), x["digest"], x["payload"] if payloads else None))
+                        rows.append(("record", name, *place, None, _page(f.get("warc-record-id", "")), f.get("warc-target-uri"), x["type"], _page(f.get("warc-refers-to", "")) if revisit else None, None if revisit else len(x["payload"]), x["digest"], x["payload"] if payloads else None))
                     if len(rows) >= 1024:
                         yield batched(rows)
                         rows = []
@@ -174,7 +243,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
                     yield batched(rows)
 
     names = [c.split()[0] for c in RECORD.split(", ")] + ["payload"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def batched(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)

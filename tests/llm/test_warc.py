@@ -36,8 +36,8 @@ def records():
 
 def salvaged(data):
     found, gaps, at = [], [], 0
-    for kind, start, stop, x in warc.salvage(data):
-        assert start >= at or kind == "record"
+    for kind, start, stop, inner, _, x in warc.salvage(data):
+        assert start >= at or inner is not None
         at = stop
         if kind == "gap":
             gaps.append((start, stop))
@@ -79,3 +79,56 @@ def test_archive_files_round_trip_with_payloads(spark, tmp_path):
     got = warc.read(spark, f"{tmp_path}/w", payloads=True).where("kind = 'record'").select("page_id", "record_type", "payload").collect()
     assert sorted((r[0], r[1], bytes(r[2]).decode()) for r in got) == [(1, "response", "é" * 100), (2, "revisit", ""), (3, "response", "")]
     assert warc.read(spark, f"{tmp_path}/w").where("kind = 'gap'").count() == 0
+
+
+def packed(parts):
+    return gzip.compress(b"".join(gzip.decompress(p) for p in parts), mtime=0)
+
+
+def kinds(data):
+    return [(kind, None if kind == "gap" else x["payload"]) for kind, *_, x in warc.salvage(data)]
+
+
+def test_bad_record_inside_a_member_costs_itself():
+    plain = [gzip.decompress(p) for p in records()[:4]]
+    wrong = plain[1].replace(b"p1p1", b"p1q1", 1)
+    data = gzip.compress(plain[0] + wrong + plain[2] + plain[3])
+    good = [b"p%d" % i * 40 for i in (0, 2, 3)]
+    found = list(warc.salvage(data))
+    assert [x["payload"] for kind, *_, x in found if kind == "record"] == good
+    gaps = [row for row in found if row[0] == "gap"]
+    assert [(g[1:5], g[5]) for g in gaps] == [((0, len(data), len(plain[0]), len(plain[0]) + len(wrong)), "payload digest differs")]
+    tail = gzip.compress(plain[0] + plain[1][:-9])
+    assert kinds(tail + records()[5]) == [("record", b"p0" * 40), ("gap", None), ("record", b"p5" * 40)]
+
+
+def test_cut_and_damaged_members_give_their_whole_records():
+    rng = random.Random(5)
+    parts = [warc.member(i, "u", "response", None, __import__("hashlib").sha256(p).hexdigest(), p) for i, p in enumerate(rng.randbytes(300) for _ in range(80))]
+    data = packed(parts)
+    assert len(salvaged(data)[0]) == 80 and salvaged(data)[1] == []
+    assert len(salvaged(data[:-30])[0]) == 79 and kinds(data[:-30])[-1] == ("gap", None)
+    assert len(salvaged(data[:-4] + b"zzzz" + parts[0])[0]) == 81  # a wrong trailer: digests vouch for the records
+    half = bytearray(data)
+    half[len(data) // 2] ^= 255
+    found, gaps = salvaged(bytes(half) + parts[3])
+    assert 30 <= len(found) <= 80 and gaps
+
+
+def test_records_without_digest_need_a_whole_member():
+    bare = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    whole = gzip.compress(bare * 2)
+    assert len(salvaged(whole)[0]) == 2 and salvaged(whole[:-4] + b"zzzz") == ([], [(0, len(whole))])
+
+
+def test_reading_is_linear():
+    import time
+
+    rng = random.Random(7)
+    parts = [warc.member(i, "u", "response", None, __import__("hashlib").sha256(p).hexdigest(), p, 1) for i, p in enumerate(rng.randbytes(5000) for _ in range(4000))]
+    took = []
+    for n in (1000, 4000):
+        data, began = b"".join(parts[:n]), time.process_time()
+        assert sum(row[0] == "record" for row in warc.salvage(data)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * 2.5 * took[0] + 0.2
