@@ -4,7 +4,8 @@ encode() turns a payload into a mono WAV of 8-bit samples, one byte a sample, so
 without loss. analyse() opens the stored bytes with the wave module, takes a short-time Fourier transform
 (Hann windows of WINDOW samples, HOP apart), keeps in every frame the strongest bin of each band that rises
 above the frame's mean, and pairs each peak with the next band's peak in the FAN_OUT frames after it.
-Fingerprints are time-coded arrays: frame numbers and codes of (bin, later bin, frames between).
+Fingerprints are time-coded arrays, stored as columns: frames (frame numbers, rising) and codes of (bin, later bin,
+frames between) of equal length. The feature is their number and digest.
 
 A text is transformed on its own, in blocks of BLOCK frames, so memory is bounded by the longest value and
 equal texts get equal values wherever they stand. Magnitudes are rounded to 1/16 of an octave and ties go to
@@ -126,5 +127,6 @@ def analyse(media: DataFrame) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores the media, then their sums and time-coded fingerprints; gives the stored rows."""
     stored = written(encode(table(spark, sf_dir, "documents")), "media")
-    return analyse(stored).drop("frames", "codes")
+    return written(analyse(stored), "fingerprints")
