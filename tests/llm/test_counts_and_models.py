@@ -108,7 +108,7 @@ def test_language_on_held_out_texts(spark, tmp_path):
 
 
 def test_evidence_is_fused(spark):
-    model = langid.Model([(k, v) for k, v in TEXTS.items()])
+    model = langid.Model(langid.gram_counts(TEXTS.items()))
     cols = "key string, text string, declared string, host string, domain string, suffix string"
     filler = [(f"f{i}", TEXTS["de"] if i % 4 else TEXTS["fr"], "de" if i % 4 else "fr", "h" if i % 4 else "g", "d", "s") for i in range(40)]
     hard = [("x", "xy", "de", "h", "d", "s"), ("y", "xy", "fr", "g", "d", "s")]
@@ -117,7 +117,7 @@ def test_evidence_is_fused(spark):
 
 
 def test_codes_and_addresses_do_not_hide_a_language():
-    score = langid.Scorer(langid.Model([(k, v + " " + v) for k, v in TEXTS.items()])).score
+    score = langid.Scorer(langid.Model(langid.gram_counts((k, v + " " + v) for k, v in TEXTS.items()))).score
     best = lambda t: int(np.argmax(score(t)))
     assert best(TEXTS["en"] + " AKIAPTDWXUFBSMKLH qzxwvkpj ldlooirp xkcdqpzw vvvvqqqq zzzzxxxx") == 1  # de, en, fr, other
     assert best("これは日本語の文章です " * 5) == 3
@@ -154,3 +154,79 @@ def test_declaration_after_a_long_notice(spark):
     pages = [(1, None, f"<!-- {'notice ' * 1000}--><html {'x ' * 1500}lang='de'><p>hm</p></html>"), (2, None, "<p>hm</p>"), (3, None, None)]
     got = {r["key"]: r["declared"] for r in langid.page_rows(spark.createDataFrame(pages, PAGES)).collect()}
     assert got == {"p1": "de", "p2": "", "p3": None}
+
+
+def test_fusion_equals_plain_loops(spark):
+    """The posterior by dictionaries and loops, over hot and rare hosts, repeated rows, ties and nulls."""
+    import math
+    from collections import defaultdict
+
+    model, rng = langid.Model(langid.gram_counts(TEXTS.items())), random.Random(9)
+    langs = [*model.languages, "other"]
+    data = []
+    for i in range(400):
+        lang = rng.choice(list(TEXTS))
+        words = rng.choices(TEXTS[lang].split(), k=rng.randint(0, 3)) + rng.choices(["xqz", "12", "日本"], k=rng.randint(0, 2))
+        host = rng.choice(["big"] * 5 + [f"h{rng.randrange(30)}"])
+        data.append((str(i), " ".join(words) or None, rng.choice([lang, lang, "EN-gb", "zz", None]), host if i % 9 else None, "d" if host == "big" else f"e{host[-1]}", None if i % 7 == 0 else "s"))
+    data += [("400", "xy", "de", "big", "d", "s")] * 3
+    scorer, rows_ = langid.Scorer(model), []
+    for key, text, declared, host, domain, suffix in data:
+        told = "" if declared is None or declared[:2].lower() not in langs else declared[:2].lower()
+        rows_.append((key, scorer.score(text), told, host or "", domain or "", suffix or ""))
+    soft = lambda score: None if score is None else [math.exp(x) / sum(math.exp(y) for y in score) for x in score]
+    mass, n = defaultdict(lambda: [0.0] * len(langs)), defaultdict(int)
+    for _, score, told, *_ in rows_:
+        n[told] += 1
+        for k, p in enumerate(soft(score) or []):
+            mass[told][k] += p
+    sums = [sum(m[k] for m in mass.values()) for k in range(len(langs))]
+    first = [None if r[1] is None else [x + math.log((mass[r[2]][k] + n[r[2]] / len(rows_)) / (sums[k] + 1)) for k, x in enumerate(r[1])] for r in rows_]
+    keys = lambda r: [(r[5], r[4], r[3]), (r[5], r[4]), (r[5],)]
+    level = defaultdict(lambda: [0.0] * len(langs))
+    for r, score in zip(rows_, first):
+        for k, p in enumerate(soft(score) or []):
+            for name in [*keys(r), ()]:
+                level[name][k] += p
+    want = {}
+    for r, score in zip(rows_, first):
+        own = soft(score) or [0.0] * len(langs)
+        prior = [(x + 1) / (sum(level[()]) + len(langs)) for x in level[()]]
+        for name in reversed(keys(r)):
+            rest = [max(x - y, 0) for x, y in zip(level[name], own)]
+            prior = [(x + langid.STRENGTH * q) / (sum(rest) + langid.STRENGTH) for x, q in zip(rest, prior)]
+        want[r[0]] = None if score is None else max(soft([x + math.log(q) for x, q in zip(score, prior)]))
+    cols = "key string, text string, declared string, host string, domain string, suffix string"
+    got = langid.identified(spark.createDataFrame(data, cols), model).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert (r["posterior"] is None) == (want[r["key"]] is None) and (r["posterior"] is None or abs(r["posterior"] - want[r["key"]]) < 1e-9)
+
+
+def test_hot_and_rare_hosts_meet_the_same_sums(spark, monkeypatch):
+    model = langid.Model(langid.gram_counts(TEXTS.items()))
+    data = [(str(i), " ".join(TEXTS[("en", "de")[i % 2]].split()[: i % 4]), None, f"h{i % 5 if i % 3 else 0}", "d", "s") for i in range(90)]
+    frame = spark.createDataFrame(data, "key string, text string, declared string, host string, domain string, suffix string")
+    found = []
+    for share in (1, 1000):
+        monkeypatch.setattr(langid, "HOT_SHARE", share)
+        found.append({r["key"]: (r["language"], r["posterior"] and round(r["posterior"], 9)) for r in langid.identified(frame, model).collect()})
+    assert found[0] == found[1] and len(found[0]) == 90
+
+
+def test_held_out_accuracy_without_declarations(spark):
+    """Fitted on four fifths of sf0.01; the rest is told apart by text and host alone."""
+    data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(data.where("doc_id % 5 <> 0"), "doc_id")
+    held = data.where("doc_id % 5 = 0 and length(text) > 100")
+    got = {r["key"]: r for r in langid.identified(langid.document_rows(held.drop("lang").withColumn("lang", F.lit(None).cast("string"))), model).collect()}
+    right = [got[f"d{r['doc_id']}"]["language"] == r["lang"] for r in held.collect() if got[f"d{r['doc_id']}"]["accepted"]]
+    assert len(right) > 100 and sum(right) >= 0.99 * len(right)
+
+
+def test_pages_with_references_and_odd_columns(spark):
+    text = "die K&uuml;he sind gr&ouml;&szlig;er &amp; &#128512; sch&Ouml;n"
+    page = spark.createDataFrame([(1, "http://a.b.example.de/x", f"<p>{text}</p>", "x", "y", "z")] * 2, PAGES + ", key string, text string, host string")
+    got = langid.page_rows(page).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["text"].split() == ["die", "Kühe", "sind", "größer", "schÖn"]
+    assert (got[0]["host"], got[0]["domain"], got[0]["suffix"]) == ("a.b.example.de", "example.de", "de")
