@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language isn't identified."""
     ship(spark)
     files = 1 + docs.count() // (1 << 17)
-    found = langid.identified(langid.document_rows(docs), langid.train(docs, "doc_id"), files)
+    found = langid.identified(langid.document_rows(docs), langid.train(docs, "doc_id"))
     rejected = found.groupBy("key").agg(F.max("accepted").alias("any")).where("not any")
     ids = rejected.select(F.substring("key", 2, 30).try_cast("long").alias("doc_id")).dropna()
     return ngram_join.join_ids(docs, written(ids, "rejected", files), "left_anti")
