@@ -12,7 +12,8 @@ pairs, so they index frequent tokens singly; those of at least 3/4 of that do bo
 documents that can link share a kind. Sharing a signature makes a candidate, which is verified on whole sets.
 
 Steps, each over all documents:
-1. Equal sets fall together; the smallest doc_id stands for them.
+1. Equal sets fall together; the smallest doc_id stands for them. Where an id names several rows, each set that it stands
+   for gets an id of its own, below all others; components then take their sets' smallest doc_id.
 2. Document frequencies: each task sends its distinct tokens, counted and packed by hash range; tokens in at
    least FREQUENT sets, at most MOST_FREQUENT of them, are broadcast (12 bytes each). Only speed hangs on
    which those are.
@@ -90,10 +91,9 @@ def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def _split(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys' buckets (their leading bits) that aren't empty, and where those start, with the end."""
-    edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    ends = np.append(edges[1:], len(keys))
-    full = np.flatnonzero(ends > edges)
-    return full, np.append(edges[full], len(keys))
+    buckets = keys >> np.uint64(64 - bits)
+    starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+    return buckets[starts].astype(np.int64), np.append(starts, len(keys))
 
 
 def _low(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -311,7 +311,7 @@ def verified(docs: DataFrame, pairs: DataFrame, files: int) -> DataFrame:
 def links(docs: DataFrame, total: int, files: int) -> DataFrame:
     """Links (x, y) that connect all documents whose sets link; docs holds each set once. Not every link is
     listed: those between documents that other links connect may be absent."""
-    bits = min(16, max(6, (total // BUCKET_TOKENS).bit_length()))
+    bits = max(6, (total // BUCKET_TOKENS).bit_length())  # of a 31-bit column: enough for 10^15 tokens
     frequent, rank = frequent_tokens(docs, bits, files)
     blocks = posting_blocks(docs, frequent, rank, bits)
     met = written(blocks.groupBy("bucket").applyInArrow(meet, MET), "met", 2 * files)
@@ -347,16 +347,64 @@ def across(group: pa.Table) -> pa.Table:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, group_id, high, low) of every row. Equal component ids are of one component, but
+    where an id names several texts; group_id tells those apart. high and low are the hash of the row's set."""
     files = 1 + docs.count() // FILE_ROWS
-    rows = written(set_rows(docs), "set-rows", files)
-    first = rows.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("own"))
-    rows = written(rows.join(first, ["high", "low"], "left").select("doc_id", "n", "own"), "rows", files)
-    copies = written(rows.where("doc_id is not null and (n = 0 or own <> doc_id)").select("doc_id").distinct(), "copies", files)
+    sets = written(set_rows(docs), "set-rows", files)
+    first = sets.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("own"))
+    rows = written(sets.join(first, ["high", "low"], "left").select("doc_id", "n", "high", "low", "own"), "rows", files)
+    named_rows = rows.where("doc_id is not null")
+    several = written(named_rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("n") > 0).alias("any")).where("any and rows > 1").select("doc_id"), "repeated", files)
+    copies = named_rows.where("n = 0 or own <> doc_id").select("doc_id").unionByName(several.select("doc_id"))
+    copies = written(copies.distinct(), "copies", files)
     total = rows.agg(F.sum("n")).first()[0] or 0
-    single = join_ids(docs.select("doc_id", "text").where("doc_id is not null"), copies, "left_anti")
-    named = components(links(single, total, files), files).select(F.col("node").alias("own"), "component")
-    joined = rows.join(written(named, "components", files), "own", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "own", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    single = join_ids(texts, copies, "left_anti")
+    if not several.take(1):
+        return _with_components(rows, components(links(single, total, files), files), files)
+    # ids of several rows: each set that such an id stands for is taken up once, under an id of its own
+    ids = rows.where("own is not null").join(several, rows["own"] == several["doc_id"], "left_semi").select("high", "low", "own").distinct()
+    lowest = (named_rows.agg(F.min("doc_id")).first()[0] or 0) - 1
+    ids = written(written(ids, "own-sets", files).withColumn("node", F.lit(lowest) - F.monotonically_increasing_id()), "nodes")
+    held = with_hashes(join_ids(texts, several, "left_semi"))
+    more = held.join(ids, ["high", "low"]).where("doc_id = own").groupBy("node").agg(F.first("text").alias("text"))
+    all_single = single.unionByName(written(more.select(F.col("node").alias("doc_id"), "text"), "own-texts", files))
+    found = components(links(all_single, total, files), files)
+    real = found.join(ids.select("node", "own"), "node", "left").withColumn("id", F.coalesce("own", "node"))
+    least = real.groupBy("component").agg(F.min("id").alias("least"))
+    named = written(found.join(least, "component"), "named", files)
+    of_set = ids.join(named, "node", "left").select("high", "low", F.coalesce("least", "own").alias("component_id"), F.coalesce("component", "node").alias("group_id"))
+    usual = _with_components(rows.join(ids.select("high", "low"), ["high", "low"], "left_anti"), named, files)
+    own = rows.join(of_set, ["high", "low"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "group_id", "high", "low")
+    return usual.unionByName(own)
+
+
+def with_hashes(docs: DataFrame) -> DataFrame:
+    """docs with high and low, the hash of a text's set, as the last columns."""
+    names = docs.columns
+    at = names.index("text")
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(names))))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sums = [xxhash.xxh3_128_digest(shingle_set(t).tobytes()) for t in batch.column(at).to_pylist()]
+        both = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
+        return pa.record_batch([*batch.columns, pa.array(both[:, 0]), pa.array(both[:, 1])], [*(f"c{k}" for k in range(len(names))), "high", "low"])
+
+    schema = ", ".join(f"`c{k}` {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)) + ", high long, low long"
+    return arrow_map(numbered, kernel, schema).toDF(*names, "high", "low")
+
+
+def _with_components(rows: DataFrame, found: DataFrame, files: int) -> DataFrame:
+    """Rows, whose sets are named by the smallest doc_id, with their components; found may have the smallest doc_id of a
+    component as least."""
+    least = "least" if "least" in found.columns else "component"
+    named = written(found.select(F.col("node").alias("own"), F.col("component").alias("group_id"), F.col(least).alias("component_id")), "components", files)
+    single = F.coalesce("own", F.when(F.col("n") == 0, F.col("doc_id")))
+    return rows.join(named, "own", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", single).alias("component_id"), F.coalesce("group_id", single).alias("group_id"), "high", "low")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

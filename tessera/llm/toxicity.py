@@ -8,8 +8,8 @@ F1 on out-of-fold probabilities.
 
 Features are case-folded words and their first PREFIX letters, present or not; the FEATURES most telling ones,
 by the variance that a category's label explains, take part. The models are fitted on the driver on at most
-SAMPLE labelled rows with at most SAMPLE_CHARS characters each: the rows of the smallest hashes of doc_id.
-Scoring reads every whole text.
+SAMPLE labelled rows, those of the smallest hashes of doc_id; executors reduce each to its distinct features. Fitting
+and scoring read every whole text.
 
 Defined results: a null or empty text has the probabilities of the bare intercepts; labels that are null
 aren't trained on; repeated label rows count each; without labels of both kinds a category's probability is
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, table
 
-SAMPLE, SAMPLE_CHARS, FEATURES, FOLDS, PREFIX = 4000, 20_000, 1000, 5, 6
+SAMPLE, FEATURES, FOLDS, PREFIX = 4000, 1000, 5, 6
 RIDGE, STEPS = 3.0, 120
 _WORDS_KEPT = 200_000
 #: Categories in the chain's order, as expressions over the labels table.
@@ -37,6 +37,10 @@ def features_of(word: str) -> tuple[str, ...]:
     return (word, f"^{word[:PREFIX]}") if len(word) > PREFIX else (word,) if word else ()
 
 
+def text_features(text: str | None) -> set[str]:
+    return {f for w in set((text or "").split()) for f in features_of(w)}
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -75,8 +79,8 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 class Chain:
     """Weights over the vocabulary, then over the earlier categories' probabilities, then the intercept."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray, folds: np.ndarray) -> None:
-        found = [{f for w in set(t.split()) for f in features_of(w)} for t in texts]
+    def __init__(self, found: list[set[str]], labels: np.ndarray, folds: np.ndarray) -> None:
+        """found: the distinct features of each text."""
         df: dict[str, np.ndarray] = {}
         for row, names in zip(labels, found, strict=True):
             count = np.append(row, 1)
@@ -86,16 +90,16 @@ class Chain:
                 else:
                     df[name] = count.copy()
         often = sorted(name for name, c in df.items() if c[-1] >= 3)
-        n, share = max(1, len(texts)), labels.mean(axis=0) if len(labels) else np.zeros(labels.shape[1])
+        n, share = max(1, len(found)), labels.mean(axis=0) if len(labels) else np.zeros(labels.shape[1])
         counts = np.array([df[name] for name in often]).reshape(len(often), labels.shape[1] + 1)
         told = (counts[:, :-1] - counts[:, -1:] * share) ** 2 / (counts[:, -1:] * (1 - counts[:, -1:] / (n + 1)) + 1) if len(often) else np.zeros((0, labels.shape[1]))
         score = (told / (share * (1 - share) + 1e-9)).max(axis=1) if len(often) else np.zeros(0)
         kept = sorted(np.argsort(-score, kind="stable")[:FEATURES].tolist())
         self.numbers = {often[k]: i for i, k in enumerate(kept)}
-        x = np.zeros((len(texts), len(kept)), np.float32)
+        x = np.zeros((len(found), len(kept)), np.float32)
         for row, names in enumerate(found):
             x[row, [self.numbers[f] for f in names if f in self.numbers]] = 1
-        self.weights, self.thresholds, self.out_of_fold = [], [], np.zeros((len(texts), 0), np.float32)
+        self.weights, self.thresholds, self.out_of_fold = [], [], np.zeros((len(found), 0), np.float32)
         for y in labels.T.astype(float):
             both = np.concatenate([x, self.out_of_fold], axis=1)
             p = np.zeros(len(y))
@@ -141,10 +145,17 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, sample: int = SAMPLE) -> Chain:
     named = labels.select("doc_id", *(F.expr(e).cast("int").alias(f"y{k}") for k, e in enumerate(categories.values()))).dropna()
     taken = named.orderBy(F.xxhash64("doc_id"), *named.columns).limit(sample)
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(taken), "doc_id").orderBy(F.xxhash64("doc_id"), "text", *named.columns[1:]).limit(sample).collect()
-    y = np.array([r[2:] for r in rows], np.int64).reshape(len(rows), len(categories))
+    own = [f"y{k}" for k in range(len(categories))]
+    joined = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"), *own)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = pa.array([sorted(text_features(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+        return pa.record_batch([batch.column(0), batch.column(2), found, *batch.columns[3:]], ["doc_id", "h", "found", *own])
+
+    rows = arrow_map(joined, kernel, "doc_id long, h string, found array<string>, " + ", ".join(f"{c} int" for c in own)).orderBy(F.xxhash64("doc_id"), "h", *own).limit(sample).collect()
+    y = np.array([r[3:] for r in rows], np.int64).reshape(len(rows), len(categories))
     fold = np.array([(r["doc_id"] * 0x9E3779B97F4A7C15 >> 32) % FOLDS for r in rows], np.int64)
-    return Chain([r["text"] or "" for r in rows], y, fold)
+    return Chain([set(r["found"]) for r in rows], y, fold)
 
 
 def scored(docs: DataFrame, chain: Chain, categories: dict[str, str] = CATEGORIES) -> DataFrame:

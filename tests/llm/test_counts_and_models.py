@@ -70,7 +70,7 @@ def test_toxicity_on_held_out_documents(spark, tmp_path):
 def test_chain_feeds_out_of_fold_probabilities():
     texts, labels = labelled(300, 2)
     y = np.array([[1 - q, t, t * (1 - q)] for _, q, t in labels])
-    chain = toxicity.Chain([t for _, t in texts], y, np.arange(300) % 5)
+    chain = toxicity.Chain([toxicity.text_features(t) for _, t in texts], y, np.arange(300) % 5)
     size = len(chain.numbers)
     assert [len(w) - size for w in chain.weights] == [1, 2, 3] and chain.out_of_fold.shape == (300, 3)
     assert chain.weights[2][size] > 0 and chain.weights[2][size + 1] > 0
@@ -78,6 +78,57 @@ def test_chain_feeds_out_of_fold_probabilities():
     assert score(None) == score("") and score("scum moron")[1] > score("w1")[1]
 
 
+def test_chain_equals_plain_loops():
+    """Newton steps for each model, a loop over folds, every threshold tried."""
+    texts, labels = labelled(240, 5)
+    y = np.array([[1 - q, t, t * (1 - q)] for _, q, t in labels], float)
+    folds = np.arange(240) % toxicity.FOLDS
+    chain = toxicity.Chain([toxicity.text_features(t) for _, t in texts], y.astype(int), folds)
+
+    def newton(x, target):
+        ones, ridge = np.c_[x, np.ones(len(x))], np.diag([toxicity.RIDGE] * x.shape[1] + [0.0])
+        w = np.zeros(ones.shape[1])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-ones @ w))
+            w -= np.linalg.solve((ones * (p * (1 - p))[:, None]).T @ ones + ridge + 1e-9 * np.eye(len(w)), ones.T @ (p - target) + ridge @ w)
+        return w
+
+    x = np.zeros((240, len(chain.numbers)))
+    for row, (_, text) in enumerate(texts):
+        for word in text.split():
+            for f in toxicity.features_of(word):
+                if f in chain.numbers:
+                    x[row, chain.numbers[f]] = 1
+    earlier = np.zeros((240, 0))
+    for k in range(3):
+        own, p = np.c_[x, earlier], np.zeros(240)
+        for fold in range(toxicity.FOLDS):
+            w = newton(own[folds != fold], y[folds != fold, k])
+            p[folds == fold] = 1 / (1 + np.exp(-(own[folds == fold] @ w[:-1] + w[-1])))
+        assert np.abs(p - chain.out_of_fold[:, k]).max() < 0.02
+        assert np.abs(newton(own, y[:, k]) - chain.weights[k]).max() < 0.1
+        q, f1 = chain.out_of_fold[:, k].astype(float), []
+        for cut in np.unique(q):
+            f1.append(2 * y[q >= cut, k].sum() / ((q >= cut).sum() + y[:, k].sum()))
+        at = q >= chain.thresholds[k]
+        assert abs(2 * y[at, k].sum() / (at.sum() + y[:, k].sum()) - max(f1)) < 0.02
+        earlier = chain.out_of_fold[:, : k + 1].astype(float)
+    scorer = chain.scorer()
+    for row, (_, text) in enumerate(texts[:40]):
+        p = []
+        for w in chain.weights:
+            p.append(1 / (1 + np.exp(-(x[row] @ w[: x.shape[1]] + np.dot(w[x.shape[1] : -1], p) + w[-1]))))
+        assert np.allclose(scorer.score(text), p, atol=1e-4)
+
+
+def test_toxicity_with_repeated_labels_and_odd_columns(spark, tmp_path):
+    texts, labels = labelled(200, 8)
+    odd = spark.createDataFrame([(*r, "x", "y") for r in labels + labels], LABELS + ", text string, h string")
+    path = saved(tmp_path, documents=docs(spark, texts, extra=True), labels=odd)
+    got = toxicity.op2_toxicity(spark, path).collect()
+    assert len(got) == 200 and sum(r["is_toxic"] == bool(t) for r, (_, _, t) in zip(sorted(got), labels)) > 190
+
+
 def test_toxicity_on_edges(spark, tmp_path):
     data = [(1, None), (2, ""), (3, "scum " * 100_000), (3, "scum " * 100_000), (None, "x")]
     path = saved(tmp_path, documents=docs(spark, data), labels=spark.createDataFrame([(1, None, 1), (None, 1, 0), (9, 0, 0)], LABELS))

@@ -86,6 +86,43 @@ def test_query_on_edges(spark, tmp_path):
     assert got == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("seed", [11, 12])
+def test_ids_that_name_several_texts(spark, seed):
+    """Each row counts by its own text, whatever else its id names."""
+    rng = random.Random(seed)
+    data = [(i if rng.random() < 0.5 else rng.randrange(0, 40), t) for i, t in corpus(seed, 120)] + [(3, None), (3, "a b"), (-5, "a b")]
+    data += rng.sample(data, 30)
+    got = rows(ngram_join.near_duplicates(docs(spark, data)))
+    nodes = {}  # set -> smallest id
+    for i, t in data:
+        if shingles(t):
+            nodes[shingles(t)] = min(i, nodes.get(shingles(t), i))
+    keys = list(nodes)
+    apart = brute_sets(keys)
+    least = {}
+    for k, c in zip(keys, apart):
+        least[c] = min(least.get(c, nodes[k]), nodes[k])
+    place = dict(zip(keys, apart))
+    assert got == sorted(((i, len(shingles(t)), least[place[shingles(t)]] if shingles(t) else i) for i, t in data), key=repr)
+
+
+def brute_sets(keys):
+    """A component's number for each set."""
+    up = list(range(len(keys)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(len(keys)):
+        for b in range(a + 1, len(keys)):
+            both = len(keys[a] & keys[b])
+            if both and 100 * both >= 75 * len(keys[a] | keys[b]):
+                up[find(a)] = find(b)
+    return [find(i) for i in range(len(keys))]
+
+
 def test_empty_table(spark, tmp_path):
     assert rows(ngram_join.op7_ngram_jaccard_join(spark, saved(tmp_path, documents=docs(spark, [])))) == []
 
