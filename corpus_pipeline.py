@@ -2,8 +2,7 @@
 
 Each stage takes all that its predecessor kept and returns the columns of documents, the last one token ids.
 Stages are written as Parquet in the shared folder and read again. Rows without a doc_id can't be named by a
-join and pass the stages that drop documents by id; documents that share an id fall or stay together, and of
-equal ids one row stays after the n-gram join.
+join and pass the stages that drop documents by id; documents that share an id fall or stay together in language ID.
 """
 
 from __future__ import annotations
@@ -29,17 +28,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group that n-gram links connect."""
+    """Keeps one document, that with the smallest id, of each group that n-gram links connect. Where an id names several
+    rows, they are told apart by their sets: of equal rows, and of rows that link, the first by text stays."""
     ship(spark)
     files = 1 + docs.count() // (1 << 17)
-    found = ngram_join.near_duplicates(docs)
-    drop = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies", files)
-    kept = ngram_join.join_ids(docs, drop, "left_anti")
+    found = written(ngram_join.grouped(docs), "groups", files)
     repeated = written(docs.dropna(subset=["doc_id"]).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated", files)
+    drop = found.where("component_id <> doc_id").select("doc_id").unionByName(repeated).distinct()
+    kept = ngram_join.join_ids(docs, written(drop, "copies", files), "left_anti")
     if not repeated.take(1):
         return kept
-    single, several = (ngram_join.join_ids(kept, repeated, how) for how in ("left_anti", "left_semi"))
-    return single.unionByName(several.dropDuplicates(["doc_id"]))
+    names, own = docs.columns, [f"_{k}" for k in range(len(docs.columns))]
+    rows = ngram_join.with_hashes(ngram_join.join_ids(docs, repeated, "left_semi")).toDF(*own, "_high", "_low")
+    key, text = own[names.index("doc_id")], own[names.index("text")]
+    sets = ngram_join.join_ids(found, repeated, "left_semi").where("component_id = doc_id").select(F.col("doc_id").alias("_of"), F.col("group_id").alias("_group"), F.col("high").alias("_h"), F.col("low").alias("_l")).distinct()
+    joined = rows.join(sets, (rows[key] == sets["_of"]) & (rows["_high"] == sets["_h"]) & (rows["_low"] == sets["_l"]))
+    first = joined.groupBy("_of", "_group").agg(F.min(F.struct(text, "_high", "_low", F.xxhash64(*own).alias("_row"))).alias("_first"))
+    once = joined.withColumn("_row", F.xxhash64(*own)).join(first.select(F.col("_group").alias("_g"), "_of", F.col("_first._row").alias("_r")), ["_of"]).where("_group = _g and _row = _r")
+    return kept.unionByName(once.dropDuplicates(["_of", "_group", "_row"]).select(*own).toDF(*names))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
