@@ -24,7 +24,7 @@ def parsed(argv: list[str] | None = None) -> argparse.Namespace:
             for f in fields(Config):
                 p.add_argument(f"--{f.name.replace('_', '-')}", type=type(f.default) if not isinstance(f.default, tuple) else str, nargs="*" if isinstance(f.default, tuple) else None, default=f.default)
 
-    command("train", "data", "models", settings=True)
+    command("train", "data", "models", settings=True, run={"default": None, "help": "a name; a run of it that was stopped goes on"})
     command("predict", "data", "models", "out", settings=True)
     command("all", "data", "models", "out", settings=True)
     command("score", "truth", "predicted", source={"default": None})
@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     config = Config(**{f.name: tuple(v) if isinstance(v := getattr(args, f.name), list) else v for f in fields(Config)}) if hasattr(args, "k_key") else None
     show = lambda df: df.show(1000, truncate=False)
     if args.command in ("train", "all"):
-        print(json.dumps(linkage.train(spark, args.data, args.models, config), sort_keys=True))
+        print(json.dumps(linkage.train(spark, args.data, args.models, config, run=getattr(args, "run", None)), sort_keys=True))
     if args.command in ("predict", "all"):
         checks = linkage.predict(spark, args.data, args.models, args.out, config)
         show(checks)

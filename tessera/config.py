@@ -17,6 +17,7 @@ class Config:
     k_bm25: int = 5
     k_bm25_empty: int = 40
     k_dense: int = 15
+    k_dense_script: int = 50
     fuzzy_gate: int = 24
     rounds: int = 20
     depth: int = 4
@@ -28,7 +29,7 @@ class Config:
     train_countries: tuple[str, ...] = ()
 
     #: Settings that change features; a model is used only with those it was trained with.
-    CONTRACT = ("name_topk", "addr_topk", "num_topk", "max_df", "max_pairs_per_key", "k_key", "k_bm25", "k_bm25_empty", "k_dense", "fuzzy_gate")
+    CONTRACT = ("name_topk", "addr_topk", "num_topk", "max_df", "max_pairs_per_key", "k_key", "k_bm25", "k_bm25_empty", "k_dense", "k_dense_script", "fuzzy_gate", "housenum_bonus", "housenum_near")
 
     def contract(self, features: list[str]) -> str:
         own = asdict(self)

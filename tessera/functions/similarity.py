@@ -34,13 +34,49 @@ def guarded(a: Column, b: Column, score: Column, skip: Column | None = None) ->
     return out if skip is None else F.when(~skip, out)
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence (Hyyro's bit vectors)."""
-    return _common(_masks(a), len(a), b) if a and b else 0
+class Text:
+    """A text with what its scorers share, made when first needed."""
 
+    __slots__ = ("_masks", "_ordered", "_words", "text")
 
-def ratio(a: str, b: str) -> float:
-    return 1.0 if not a and not b else 2 * lcs(a, b) / (len(a) + len(b))
+    def __init__(self, text: str) -> None:
+        self.text, self._masks, self._words, self._ordered = text, None, None, None
+
+    @property
+    def masks(self) -> dict[str, int]:
+        if self._masks is None:
+            self._masks = _masks(self.text)
+        return self._masks
+
+    @property
+    def words(self) -> frozenset[str]:
+        if self._words is None:
+            self._words = frozenset(self.text.split())
+        return self._words
+
+    @property
+    def ordered(self) -> str:
+        if self._ordered is None:
+            self._ordered = " ".join(sorted(self.text.split()))
+        return self._ordered
+
+
+def lcs(a: str, b: str, masks: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence (Hyyro's bit vectors). masks: those of a, if at hand; else what both
+    begin and end with is common and left out first."""
+    if not a or not b:
+        return 0
+    if masks is not None:
+        return _common(masks, len(a), b)
+    n = min(len(a), len(b))
+    first = next((k for k in range(n) if a[k] != b[k]), n)
+    last = next((k for k in range(n - first) if a[-1 - k] != b[-1 - k]), n - first)
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    return first + last + (_common(_masks(a), len(a), b) if a and b else 0)
+
+
+def ratio(a: str, b: str, masks: dict[str, int] | None = None) -> float:
+    return 1.0 if not a and not b else 2 * lcs(a, b, masks) / (len(a) + len(b))
 
 
 def _masks(a: str) -> dict[str, int]:
@@ -52,11 +88,14 @@ def _masks(a: str) -> dict[str, int]:
 
 def _common(at: dict[str, int], n: int, b: str) -> int:
     full = (1 << n) - 1
-    row = full
+    row, get = full, at.get
     for c in b:
-        u = row & at.get(c, 0)
-        row = ((row + u) | (row - u)) & full
-    return n - row.bit_count()
+        if m := get(c):
+            u = row & m
+            row = (row + u) | (row - u)
+            if row > full:
+                row &= full
+    return n - (row & full).bit_count()
 
 
 def _best_prefix(a: str, b: str, best: float) -> float:
@@ -93,14 +132,20 @@ def token_sort_ratio(a: str, b: str) -> float:
 
 def token_set_ratio(a: str, b: str) -> float:
     """Best ratio among the common words, and the common words with either side's rest; 0 if a side has none."""
-    s, t = set(a.split()), set(b.split())
+    return set_ratio(frozenset(a.split()), frozenset(b.split()))
+
+
+def set_ratio(s: frozenset[str], t: frozenset[str]) -> float:
+    """token_set_ratio of sets of words. The common words lead both texts, so they are common to them as they are."""
     if not s or not t:
         return 0.0
-    both = " ".join(sorted(s & t))
-    x, y = (" ".join(p for p in (both, " ".join(sorted(r))) if p) for r in (s - t, t - s))
-    if both and (s <= t or t <= s):
+    both = s & t
+    if both and (len(both) == len(s) or len(both) == len(t)):
         return 1.0
-    return max(ratio(x, y), ratio(both, x) if both else 0.0, ratio(both, y) if both else 0.0)
+    x, y = " ".join(sorted(s - both)), " ".join(sorted(t - both))
+    n = sum(map(len, both)) + len(both)  # with the blank that follows
+    best = 2 * (n + lcs(x, y)) / (2 * n + len(x) + len(y))
+    return max(best, 2 * (n - 1) / (2 * n - 1 + min(len(x), len(y)))) if both else best
 
 
 def jaro_winkler_score(a: str, b: str) -> float:
@@ -136,3 +181,46 @@ def _pairwise(f):
 
 
 indel_ratio, indel_partial, indel_token_sort, indel_token_set, jaro_winkler = map(_pairwise, (ratio, partial_ratio, token_sort_ratio, token_set_ratio, jaro_winkler_score))
+
+#: Scores of a pair: name -> (function of two Texts, the parts compared).
+SCORES = {
+    "n_ratio": (lambda a, b: ratio(a.text, b.text, a.masks), "n_core", "n_core"), "n_pratio": (lambda a, b: partial_ratio(a.text, b.text), "n_core", "n_core"),
+    "n_tsort": (lambda a, b: ratio(a.ordered, b.ordered), "n_core", "n_core"), "n_tset": (lambda a, b: set_ratio(a.words, b.words), "n_core", "n_core"),
+    "n_jw": (lambda a, b: jaro_winkler_score(a.text, b.text), "n_core", "n_core"), "n_tset_full": (lambda a, b: set_ratio(a.words, b.words), "n_full", "n_full"),
+    "n_concat_ratio": (lambda a, b: ratio(a.text, b.text, a.masks), "n_concat", "n_concat"), "n_concat_pratio": (lambda a, b: partial_ratio(a.text, b.text), "n_concat", "n_concat"),
+    "n_skel_ratio": (lambda a, b: ratio(a.ordered, b.ordered), "n_skel", "n_skel"), "n_alias_a": (lambda a, b: set_ratio(a.words, b.words), "n_core", "n_alt_a"), "n_alias_b": (lambda a, b: set_ratio(a.words, b.words), "n_core", "n_alt_b"),
+    "n_phon_ratio": (lambda a, b: set_ratio(a.words, b.words), "n_phon", "n_phon"),
+    "a_ratio": (lambda a, b: ratio(a.text, b.text, a.masks), "a_full", "a_full"), "a_tsort": (lambda a, b: ratio(a.ordered, b.ordered), "a_full", "a_full"),
+    "a_tset": (lambda a, b: set_ratio(a.words, b.words), "a_full", "a_full"), "a_pratio": (lambda a, b: partial_ratio(a.text, b.text), "a_full", "a_full"),
+    "a_core_tset": (lambda a, b: set_ratio(a.words, b.words), "a_core", "a_core"), "a_alpha_tset": (lambda a, b: set_ratio(a.words, b.words), "a_alpha", "a_alpha"), "a_skel_ratio": (lambda a, b: set_ratio(a.words, b.words), "a_skel", "a_skel"),
+}
+#: Texts that a worker remembers; when full, it starts anew.
+TEXTS_KEPT = 50_000
+
+
+class Scorer:
+    """Scores of pairs of records, each text prepared once."""
+
+    def __init__(self) -> None:
+        self.texts: dict[str, Text] = {}
+
+    def of(self, text: str) -> Text:
+        if (found := self.texts.get(text)) is None:
+            if len(self.texts) >= TEXTS_KEPT:
+                self.texts.clear()
+            found = self.texts[text] = Text(text)
+        return found
+
+    def column(self, name: str, q: list[str], i: list[str], open_rows: list[bool]) -> list[float | None]:
+        """The score where the row is open: 1 for equal texts, each pair of texts once."""
+        f, of, once, out = SCORES[name][0], self.of, {}, []
+        for a, b, shown in zip(q, i, open_rows, strict=True):
+            if not shown:
+                out.append(None)
+            elif a == b:
+                out.append(1.0)
+            else:
+                if (value := once.get((a, b))) is None:
+                    value = once[a, b] = f(of(a), of(b))
+                out.append(value)
+        return out

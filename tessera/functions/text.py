@@ -1,28 +1,28 @@
-"""Normalising names and addresses, in column expressions. The word lists are the library's own, short ones of
-common postal and legal abbreviations; callers may pass theirs."""
+"""Normalising names and addresses in native expressions. Steps whose results several others use are columns of their
+own, so that they are computed once. Word tables are parameters, see words.Tables."""
 
 from __future__ import annotations
 
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LEGAL = ("inc", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "plc", "gmbh", "ag", "kg", "sa", "sarl", "sas", "srl", "bv", "nv", "pvt", "llp", "lp")
-CANONICAL = {"incorporated": "inc", "intl": "international", "mfg": "manufacturing", "bros": "brothers", "assoc": "associates", "svcs": "services", "tech": "technology", "natl": "national"}
-STREET = {"US": {"st": "street", "ave": "avenue", "rd": "road", "blvd": "boulevard", "dr": "drive", "ln": "lane", "ste": "", "apt": "", "n": "north", "s": "south", "e": "east", "w": "west"}, "IN": {"rd": "road", "st": "street", "ngr": "nagar", "opp": "opposite", "nr": "near", "flr": "floor"}, "FR": {"av": "avenue", "bd": "boulevard", "r": "rue", "pl": "place", "rte": "route"}, "GEN": {"st": "street", "rd": "road", "ave": "avenue"}}
-TLDS = ("com", "net", "org", "info", "biz", "io", "co", "in", "fr", "de", "us", "uk")
-NULL_WORDS = ("", "null", "none", "n/a", "na", "nan", "-", "unknown")
-STOP = ("street", "road", "avenue", "north", "south", "east", "west", "near", "the", "and")
-LANDMARKS = ("near", "opposite", "behind", "beside", "above")
+from tessera.functions.words import DEFAULT, Tables
 
+LEGAL, TLDS = DEFAULT.legal, DEFAULT.tlds
 
-def lookup(words: Column, table: dict[str, str]) -> Column:
-    """Each word by the table, itself where it has no entry; empty entries drop the word."""
-    m = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
-    return F.filter(F.transform(words, lambda w: F.coalesce(F.try_element_at(m, w), w)), lambda w: w != "")
+
+def _map(table) -> Column:
+    cells = [F.lit(x) for kv in table.items() for x in kv]
+    return F.create_map(*cells) if cells else F.create_map().cast("map<string,string>")
+
+
+def lookup(words: Column, table: Column) -> Column:
+    """Each word by the map, itself where it has no entry; empty entries drop the word."""
+    return F.filter(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), lambda w: w != "")
 
 
 def has_native(text: Column) -> Column:
@@ -35,16 +35,40 @@ def non_latin(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[^\x00-\x7F]") & ~text.rlike("[A-Za-z]"), F.lit(False))
 
 
+def is_unlettered(text: Column) -> Column:
+    """No letter a-z, accents aside; unlike non_latin, true for texts without any letter."""
+    return F.coalesce(~folded(text).rlike("[a-z]"), F.lit(False))
+
+
+#: Fixed values of the skeleton: digraphs in the order in which they are replaced, then single letters, then letters
+#: whose repeats fall together.
+DIGRAPHS = (("ph", "f"), ("sh", "s"), ("ch", "c"), ("kh", "k"), ("gh", "g"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("zh", "s"))
+LETTERS = ("mwzqcdyx", "nvskktik")
+REPEATED = "bcdfghijklnpqrstvxyz"
+_FOLDS = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFKD", c)) > 1 and d[0].isascii() and unicodedata.combining(d[1])}
+#: Latin letters that are a plain one with marks, and the plain ones.
+ACCENTED, PLAIN = "".join(_FOLDS), "".join(_FOLDS.values())
+
+
+def folded(text: Column) -> Column:
+    """Lower case, Latin letters without their marks."""
+    return F.lower(F.translate(F.regexp_replace(text, r"[\x{300}-\x{36F}]", ""), ACCENTED, PLAIN))
+
+
+def accented(text: Column) -> Column:
+    """Some Latin letter with a mark, or a mark by itself."""
+    return text.rlike(r"[\x{300}-\x{36F}]") | (F.translate(text, ACCENTED, PLAIN) != text)
+
+
 def skeleton(word: Column) -> Column:
     """The consonants of a word under which spellings of one sound meet; words of digits stay."""
     s = word
-    for a, b in (("ph", "f"), ("sh", "s"), ("ch", "c"), ("kh", "k"), ("gh", "g"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("zh", "s")):
+    for a, b in DIGRAPHS:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.concat(F.substring(s, 1, 1), F.translate(F.substr(s, F.lit(2)), "h", ""))
-    s = F.translate(s, "mwzqcdyx", "nvskktik")
+    s = F.translate(s, *LETTERS)
     s = F.concat(F.substring(s, 1, 1), F.translate(F.substr(s, F.lit(2)), "aeiou", ""))
-    for c in "bcdfghijklnpqrstvxyz":
-        s = F.regexp_replace(s, f"{c}{c}+", c)
+    s = F.regexp_replace(s, rf"([{REPEATED}])\1+", "$1")
     return F.when(word.rlike("^[0-9]+$"), word).otherwise(s)
 
 
@@ -58,31 +82,42 @@ def unwrapped_domain(text: Column) -> Column:
     return F.regexp_replace(host, rf"(\.(?:{'|'.join(TLDS)}))+$", "")
 
 
-def aliases(text: Column) -> Column:
-    """The names around 'doing business as' and the like."""
-    parts = F.split(F.regexp_replace(F.lower(text), r" (?:f/k/a|a/k/a|d/b/a|formerly known as|formerly|trading as|doing business as) ", "|"), r"\|")
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: p != "")
+#: Between the names of one business.
+ALIAS = r"\b(?:f/?k/?a|a/?k/?a|d/?b/?a|formerly known as|formerly|trading as|doing business as|nee)\b"
 
 
-def legal_free(words: Column) -> Column:
+def legal_free(words: Column, legal: tuple[str, ...] = LEGAL) -> Column:
     """Words without legal suffixes, all of them if nothing else is there."""
-    rest = F.filter(words, lambda w: ~w.isin(*LEGAL))
+    rest = F.filter(words, lambda w: ~w.isin(*legal))
     return F.when(F.size(rest) > 0, rest).otherwise(words)
 
 
-def name_parts(text: Column) -> dict[str, Column]:
-    """full, core, concat, skeleton and flags of a business name."""
-    folded = F.regexp_replace(F.lower(F.regexp_replace(text, r"(?i)^\s*(?:m/s|messrs|mrs|mr|ms)\.?\s+", "")), r"\(?\+?\d[\d ()-]{8,}\d", " ")
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(folded, "[&+]", " and "), "@", " at "), r"[^\p{L}\p{M}\p{N}]+", " ")
-    words = F.filter(F.split(join_initials(F.trim(plain)), " "), lambda w: w != "")
-    full = lookup(words, CANONICAL)
-    core = legal_free(full)
-    return {
-        "n_full": F.array_join(full, " "), "n_core": F.array_join(core, " "), "n_concat": F.array_join(core, ""),
-        "n_skel": F.array_join(F.transform(core, skeleton), " "), "n_translit": has_native(text), "n_alias": F.size(aliases(text)) > 1,
-        "n_alt_a": F.coalesce(F.get(aliases(text), F.lit(0)), F.lit("")), "n_alt_b": F.coalesce(F.get(aliases(text), F.lit(1)), F.lit("")),
-        "n_domain": F.coalesce(F.lower(text).rlike(rf"^\S+\.(?:{'|'.join(TLDS)})$"), F.lit(False)),
-    }
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def with_name(rows: DataFrame, column: str, tables: Tables = DEFAULT) -> DataFrame:
+    """rows with the normalised columns of a folded business name: full, core (without legal suffixes), its letters run
+    together, the cores of the first and last of several names, skeletons, and whether a web address or another name was
+    in it. Null is the empty name."""
+    tlds = "|".join(t.replace(".", r"\.") for t in tables.tlds)
+    text = F.lower(F.coalesce(F.col(column), F.lit("")))
+    plain = F.regexp_replace(F.regexp_replace(text, r"^\W*(?:(?:m/s|messrs|mr|mrs|ms)\b\.?\s*)+", " "), r"\+?\d[\d\-\s().]{6,}\d", " ")
+    out = rows.withColumn("_s", plain)
+    out = out.withColumn("_d", F.regexp_replace("_s", rf"(?:https?://)?(?:www\.)?\b([a-z0-9][a-z0-9\-]*)\.(?:{tlds})\b", " $1 "))
+    marks = F.replace(F.replace(F.replace("_d", F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" and ")), F.lit("@"), F.lit(" at "))
+    out = out.withColumn("n_domain", F.col("_s") != F.col("_d")).withColumn("_m", marks).withColumn("_a", F.regexp_replace("_m", ALIAS, " | "))
+    words = _split(join_initials(F.trim(F.regexp_replace("_a", r"[^\p{L}\p{M}\p{N}|]+", " "))))
+    out = out.withColumn("n_alias", F.col("_a") != F.col("_m")).withColumn("_t", lookup(words, _map(tables.canonical)))
+    names = F.split(F.regexp_replace(F.array_join("_t", " "), r"^(?:(?:mr|mrs|ms|messrs|\|) )+", ""), r"\|")
+    out = out.withColumn("_p", F.filter(F.transform(names, _split), lambda p: F.size(p) > 0))
+    out = out.withColumn("_w", F.flatten("_p")).withColumn("_c", legal_free(F.col("_w"), tables.legal))
+    alt = lambda k: F.coalesce(F.array_join(legal_free(F.get("_p", k), tables.legal), " "), F.array_join("_c", " "))
+    out = out.withColumns({
+        "n_full": F.array_join("_w", " "), "n_core": F.array_join("_c", " "), "n_concat": F.array_join("_c", ""),
+        "n_alt_a": alt(F.lit(0)), "n_alt_b": alt(F.size("_p") - 1), "n_skel": F.array_join(F.transform("_c", skeleton), " "),
+    })
+    return out.drop("_s", "_d", "_m", "_a", "_t", "_p", "_w", "_c")
 
 
 def numbers(words: Column) -> Column:
@@ -91,20 +126,45 @@ def numbers(words: Column) -> Column:
     return F.slice(F.array_distinct(F.transform(digits, lambda w: w.cast("bigint").cast("string"))), 1, 6)
 
 
-def address_parts(text: Column, country: str = "GEN") -> dict[str, Column]:
-    """Words, numbers and flags of an address; a null word is an empty address."""
-    empty = F.lower(F.trim(F.coalesce(text, F.lit("")))).isin(*NULL_WORDS)
-    clean = F.when(empty, F.lit("")).otherwise(F.lower(text))
-    clean = F.regexp_replace(F.regexp_replace(clean, r"\b(\d+)(?:st|nd|rd|th)\b", "$1"), r"(?<=\d)(?=\p{L})|(?<=\p{L})(?=\d)", " ")
-    parts = F.filter(F.transform(F.split(clean, ","), lambda c: F.trim(F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}]+", " "))), lambda c: c != "")
-    words = lambda p: F.filter(F.flatten(F.transform(p, lambda c: lookup(F.split(c, " "), STREET[country]))), lambda w: w != "")
-    core = F.filter(parts, lambda c: ~c.rlike(rf"^(?:{'|'.join(LANDMARKS)})\b"))
-    alpha = F.array_distinct(F.filter(words(core), lambda w: w.rlike(r"^\p{L}{3,}$") & ~w.isin(*STOP)))
-    return {
-        "a_full": F.array_join(words(parts), " "), "a_core": F.array_join(words(core), " "), "a_alpha": F.array_join(alpha, " "),
-        "a_skel": F.array_join(F.transform(alpha, skeleton), " "), "a_nums": F.array_join(numbers(words(parts)), " "),
-        "a_first_num": F.coalesce(F.try_element_at(numbers(words(parts)), F.lit(1)), F.lit("")), "a_ncomp": F.size(parts).cast("smallint"), "a_empty": F.size(parts) == 0,
-    }
+def with_address(rows: DataFrame, column: str, country: Column, tables: Tables = DEFAULT) -> DataFrame:
+    """rows with the normalised columns of a folded address, under the profile of its country: all words, those outside
+    of landmark components, telling words and their skeletons, numbers, the state, components. A component that names a
+    state is its code. A null word is an empty address."""
+    by = lambda of: F.coalesce(*(F.when(F.col("_profile") == p, of(p)) for p in ("US", "IN", "FR")), of("GEN"))
+    text = F.lower(F.coalesce(F.col(column), F.lit("")))
+    parts = F.transform(F.split(text, ","), lambda c: F.btrim(c, F.lit(" .-/#")))
+    out = rows.withColumn("_profile", profile(country)).withColumn("_raw", F.when(F.trim(text).isin(*tables.null_words), F.array().cast("array<string>")).otherwise(F.filter(parts, lambda c: ~c.isin(*tables.null_words))))
+    out = out.withColumn("_raw", F.transform("_raw", lambda c: F.regexp_replace(c, r"\b(\d+)(?:st|nd|rd|th)\b", "$1")))
+    clean = F.transform("_raw", lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("&"), F.lit(" and ")), r"(?<=\d)(?=\p{L})|(?<=\p{L})(?=\d)", " "), r"[^\p{L}\p{M}\p{N}]+", " ")))
+    out = out.withColumn("_c", F.filter(clean, lambda c: c != ""))
+    closed = lambda p: {k.replace(" ", ""): v for k, v in tables.states.get(p, {}).items()}
+    several = lambda p: [k for k in sorted(tables.states.get(p, {}), key=lambda k: (-len(k), k)) if " " in k]
+
+    def joined(p: str) -> Column:
+        """Names of several words within a component are closed up."""
+        c = F.col("_c")
+        return F.when(F.exists(c, lambda x: x.rlike(rf"\b(?:{'|'.join(several(p))})\b")), F.transform(c, lambda x: _closed(x, several(p)))).otherwise(c) if several(p) else c
+
+    out = out.withColumn("_c", by(joined))
+    code = by(lambda p: F.transform("_c", lambda c: F.coalesce(F.try_element_at(_map(closed(p) | {v: v for v in closed(p).values()}), F.replace(c, F.lit(" "), F.lit(""))), F.lit(""))))
+    out = out.withColumn("_state", code)
+    words = by(lambda p: F.transform(F.arrays_zip("_c", "_state"), lambda z: F.when(z["_state"] != "", F.array(z["_state"])).otherwise(lookup(_split(z["_c"]), _map({**tables.cities.get(p, {}), **tables.street.get(p, {})})))))
+    out = out.withColumn("_w", F.filter(words, lambda w: F.size(w) > 0)).withColumn("a_state", F.coalesce(F.get(F.filter("_state", lambda x: x != ""), F.lit(0)), F.lit("")))
+    out = out.withColumn("_all", F.flatten("_w")).withColumn("_nums", numbers(F.flatten(F.transform("_raw", lambda c: F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))))))
+    alpha = F.array_distinct(F.filter("_all", lambda w: w.rlike(r"^\p{L}{3,}$") & ~w.isin(*tables.stop) & (w != F.col("a_state"))))
+    empty = (F.size("_all") == 0) & (F.size("_nums") == 0)
+    out = out.withColumn("_alpha", alpha).withColumns({
+        "a_full": F.array_join("_all", " "), "a_core": F.array_join(F.flatten(F.filter("_w", lambda w: ~F.get(w, F.lit(0)).isin(*tables.landmarks))), " "), "a_alpha": F.array_join("_alpha", " "),
+        "a_skel": F.array_join(F.transform("_alpha", skeleton), " "), "a_nums": F.array_join("_nums", " "), "a_first_num": F.coalesce(F.get("_nums", F.lit(0)), F.lit("")),
+        "a_ncomp": F.when(empty, F.lit(0)).otherwise(F.size("_raw")).cast("smallint"), "a_empty": empty,
+    })
+    return out.drop("_profile", "_raw", "_c", "_state", "_w", "_all", "_nums", "_alpha")
+
+
+def _closed(text: Column, names: list[str]) -> Column:
+    for name in names:
+        text = F.regexp_replace(text, rf"\b{name}\b", name.replace(" ", ""))
+    return text
 
 
 @F.pandas_udf(StringType())
@@ -178,38 +238,6 @@ def profile(country: Column) -> Column:
     return F.when(c.isin(*US), "US").when(c.isin(*IN), "IN").when(c.isin(*FR), "FR").otherwise("GEN")
 
 
-def profiled_address(text: Column, country: Column) -> dict[str, Column]:
-    """address_parts under the profile of the row's country."""
-    by = {p: address_parts(text, p) for p in STREET}
-    out = {}
-    for name in by["GEN"]:
-        value = by["GEN"][name]
-        for p in ("US", "IN", "FR"):
-            value = F.when(profile(country) == p, by[p][name]).otherwise(value)
-        out[name] = value
-    return out
-
-
-STATES = {"US": {"california": "ca", "texas": "tx", "new york": "ny", "florida": "fl", "illinois": "il", "washington": "wa", "ohio": "oh", "georgia": "ga"}, "IN": {"maharashtra": "mh", "karnataka": "ka", "tamil nadu": "tn", "delhi": "dl", "gujarat": "gj", "uttar pradesh": "up"}, "FR": {"ile de france": "idf", "bretagne": "bre", "normandie": "nor"}, "GEN": {}}
-
-
-def _looked_up(words: Column, table: Column) -> Column:
-    return F.transform(words, lambda w: F.try_element_at(table, w))
-
-
-def state_of(address: Column, country: Column, states: dict[str, dict[str, str]] = STATES) -> Column:
-    """The code of the last component that names a state or is its code; empty if none. Longer names first."""
-    parts = F.transform(F.split(F.lower(address), ","), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\d+", " "), r"\s+", " ")))
-    out = F.lit("")
-    for p, own in states.items():
-        both = {**own, **{v: v for v in own.values()}}
-        if both:
-            m = F.create_map(*(F.lit(x) for kv in sorted(both.items(), key=lambda kv: -len(kv[0])) for x in kv))
-            hits = F.filter(_looked_up(parts, m), lambda v: v.isNotNull())
-            out = F.when(profile(country) == p, F.coalesce(F.get(hits, F.size(hits) - 1), F.lit(""))).otherwise(out)
-    return out
-
-
 def embedding_text(name: Column, address: Column) -> Column:
     return F.concat(F.lit("query: "), F.concat_ws(" | ", name, address))
 

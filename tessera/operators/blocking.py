@@ -6,26 +6,62 @@ index records times query records, must be at most max_pairs. So no key can make
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
+#: Partitions (countries) that blank rows may be replicated to.
+MOST_PARTITIONS = 10_000
 FAMILIES = {"NT": 0, "NS": 1, "AN": 2, "NH": 3, "NP": 4, "NC": 5, "PH": 6, "DENSE": 7, "BM25": 8}
 MAX_DF = {"NP": 200, "NC": 200}
 
 
-def cross_keys(records: DataFrame, left: str, right: str, family: str, keep: list[str]) -> DataFrame:
-    """(keep, family, a, b): every pair of a left and a right token, built within the row."""
-    both = F.flatten(F.transform(left, lambda x: F.transform(F.col(right), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return records.select(*keep, F.lit(family).alias("family"), F.explode(F.array_distinct(both)).alias("k")).select(*keep, "family", "k.a", "k.b")
+def _tagged(family: str) -> Column:
+    return F.transform(F.array_distinct(F.filter(family, lambda t: t != "")), lambda t: F.struct(F.lit(family).alias("family"), t.alias("tok")))
+
+
+def rarest(records: DataFrame, families: dict[str, int], keep: list[str]) -> DataFrame:
+    """(keep, <family>): of each family, an array column, the k rarest tokens that at least two records of the partition
+    have, rarest first, ties by the token. All families go through one exploded table, written once. keep: the
+    partition, the record's id and what else names it."""
+    part, record = keep[0], keep
+    tagged = F.flatten(F.array(*(_tagged(f) for f in families)))
+    rows = written(records.select(*record, F.explode(tagged).alias("t")).select(*record, "t.family", "t.tok"), "tokens")
+    df = rows.groupBy(part, "family", "tok").agg(F.count("*").alias("df")).where("df >= 2")
+    w = Window.partitionBy(*record, "family").orderBy("df", "tok")
+    ranked = rows.join(df, [part, "family", "tok"]).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= max(families.values()))
+    held = ranked.groupBy(*record).agg(F.array_sort(F.collect_list(F.struct("family", "rk", "tok"))).alias("t"))
+    cut = lambda f, k: F.transform(F.filter("t", lambda x: (x["family"] == f) & (x["rk"] <= k)), lambda x: x["tok"])
+    return held.select(*record, *(cut(f, k).alias(f) for f, k in families.items()))
+
+
+def _pair(a: Column, b: Column, family: str) -> Column:
+    return F.struct(F.lit(family).alias("family"), a.alias("a"), b.alias("b"))
 
 
-def symmetric_keys(records: DataFrame, tokens: str, family: str, keep: list[str]) -> DataFrame:
-    """(keep, family, a, b) with a < b of one family."""
-    return cross_keys(records, tokens, tokens, family, keep).where("a < b")
+def _crossed(left: str, right: Column, family: str) -> Column:
+    """Every pair of a left and a right token, within the row."""
+    return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: _pair(x, y, family))))
 
 
-def single_keys(records: DataFrame, token: str, family: str, keep: list[str]) -> DataFrame:
-    return records.where(F.col(token) != "").select(*keep, F.lit(family).alias("family"), F.col(token).alias("a"), F.lit("").alias("b"))
+def compound_keys(records: DataFrame, name_topk: int = 2, addr_topk: int = 4, num_topk: int = 2) -> DataFrame:
+    """(ckey, id, side, family, a, b) of all families that the records have columns for. records: (ckey, id, side, core,
+    alpha, and of skel, askel, phon, nums arrays and concat, those that exist); nums and concat take part unranked."""
+    keep = ["ckey", "id", "side"]
+    ranks = {"core": 3, "skel": name_topk, "phon": name_topk, "alpha": addr_topk, "askel": 3}
+    rare = rarest(records, {f: k for f, k in ranks.items() if f in records.columns}, keep)
+    out = records.select(*keep, *(c for c in ("nums", "concat") if c in records.columns)).join(rare, keep, "left")
+    first = lambda c, k: F.slice(F.coalesce(F.col(c), F.array().cast("array<string>")), 1, k)
+    has = out.columns
+    cut = {"core2": ("core", name_topk), "alpha3": ("alpha", 3), "num2": ("nums", num_topk)}
+    out = out.withColumns({**{f: first(f, k) for f, k in ranks.items() if f in has}, **{n: first(c, k) for n, (c, k) in cut.items() if c in has}})
+    parts = [("core2", "alpha", "NT"), ("skel", "askel", "NS"), ("num2", "alpha3", "AN"), ("core2", "num2", "NH"), ("phon", "askel", "PH")]
+    keys = [_crossed(a, F.col(b), f) for a, b, f in parts if a in out.columns and b in out.columns]
+    keys.append(F.flatten(F.transform("core", lambda x: F.transform(F.filter("core", lambda y: x < y), lambda y: _pair(x, y, "NP")))))
+    if "concat" in has:
+        keys.append(F.when(F.col("concat") != "", F.array(_pair(F.col("concat"), F.lit(""), "NC"))).otherwise(F.array().cast("array<struct<family:string,a:string,b:string>>")))
+    return out.select(*keep, F.explode(F.concat(*keys)).alias("k")).select(*keep, "k.family", "k.a", "k.b")
 
 
 def key_stats(query: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,7 +80,7 @@ def key_candidates(query: DataFrame, index: DataFrame, n_index: DataFrame, k: in
     """(part, q_id, i_id, score, bits, n_families, rk): the best k per query by the sum of log1p(n / df_i) over
     shared keys. query and index: (part, id, family, a, b); n_index: (part, n)."""
     keys = [part, "family", "a", "b"]
-    weights = usable(key_stats(query, index, keys), max_df, max_pairs).join(F.broadcast(n_index), part).select(*keys, F.log1p(F.col("n") / F.col("df_i")).alias("w"))
+    weights = usable(key_stats(query, index, keys), max_df, max_pairs).join(n_index, part).select(*keys, F.log1p(F.col("n") / F.col("df_i")).alias("w"))
     bit = F.coalesce(*(F.when(F.col("family") == f, F.lit(1 << b)) for f, b in FAMILIES.items()))
     joined = query.join(weights, keys).join(index, keys)
     scored = joined.groupBy(part, "q_id", "i_id").agg(F.round(F.sum("w"), 6).alias("score"), F.bit_or(bit).alias("bits"))
@@ -54,10 +90,15 @@ def key_candidates(query: DataFrame, index: DataFrame, n_index: DataFrame, k: in
 
 
 def replicated(rows: DataFrame, partitions: DataFrame, part: str = "ckey") -> DataFrame:
-    """Rows of a blank partition go to every other one, so that an equi-join on it suffices. partitions: the
-    distinct non-blank values of the query side."""
-    blank = rows.where(F.col(part) == "").drop(part)
-    return rows.where(F.col(part) != "").unionByName(blank.join(F.broadcast(partitions.select(part).where(F.col(part) != "").distinct())).select(rows.columns))
+    """Rows of a blank partition stay there and go to every other one, so that an equi-join on it suffices: a query of
+    a blank partition meets blank rows only. partitions: the values of the query side; their number is collected as one
+    array, bounded by MOST_PARTITIONS."""
+    values = [r[0] for r in partitions.select(part).where(F.col(part) != "").distinct().limit(MOST_PARTITIONS + 1).collect()]
+    if len(values) > MOST_PARTITIONS:
+        raise ValueError(f"over {MOST_PARTITIONS} partitions")
+    blank = F.array(*(F.lit(v) for v in sorted([*values, ""])))
+    to = F.when(F.col(part) == "", blank).otherwise(F.array(F.col(part)))
+    return rows.withColumn(part, F.explode(to)).select(rows.columns)
 
 
 def merged(candidates: DataFrame, extra: DataFrame, family: str, k: int) -> DataFrame:

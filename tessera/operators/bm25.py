@@ -8,20 +8,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
 K1, B = 1.2, 0.75
 
 
-def term_weights(index: DataFrame, query_terms: DataFrame, floor: int = 50, max_df_ratio: float = 0.2) -> DataFrame:
-    """(i_id, tok, w) of the query's terms. index: (i_id, toks); query_terms: (tok)."""
-    sizes = index.select("i_id", F.size("toks").alias("len"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    rows = index.select("i_id", F.size("toks").alias("len"), F.explode("toks").alias("tok"))
-    tf = rows.join(query_terms.select("tok").distinct(), "tok", "left_semi").groupBy("i_id", "len", "tok").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("tok").agg(F.count("*").alias("df")).join(F.broadcast(stats))
+def term_weights(index: DataFrame, query_terms: DataFrame, floor: int = 50, max_df_ratio: float = 0.2, part: tuple[str, ...] = ()) -> DataFrame:
+    """(part, i_id, tok, w) of the query's terms; the statistics are those of each partition. index: (part, i_id, toks);
+    query_terms: (part, tok). One exploded table, written once, gives tf and df."""
+    part = list(part)
+    rows = index.select(*part, "i_id", F.size("toks").alias("len"), F.explode("toks").alias("tok"))
+    tf = rows.join(query_terms.select(*part, "tok").distinct(), [*part, "tok"], "left_semi").groupBy(*part, "i_id", "len", "tok").agg(F.count("*").alias("tf"))
+    tf = written(tf, "terms")
+    stats = index.groupBy(*part).agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
+    df = tf.groupBy(*part, "tok").agg(F.count("*").alias("df"))
+    df = df.join(stats, part) if part else df.join(F.broadcast(stats))
     df = df.where(F.col("df") <= F.greatest(F.lit(float(floor)), max_df_ratio * F.col("n")))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return tf.join(df, "tok").select("i_id", "tok", weight.alias("w"))
+    return tf.join(df, [*part, "tok"]).select(*part, "i_id", "tok", weight.alias("w"))
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -31,10 +36,10 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def top_k(query: DataFrame, index: DataFrame, k: int, floor: int = 50, max_df_ratio: float = 0.2) -> DataFrame:
-    """(q_id, i_id, score, rk). query: (q_id, toks)."""
-    terms = query.select("q_id", F.explode(F.array_distinct("toks")).alias("tok"))
-    return ranked(terms.join(term_weights(index, terms, floor, max_df_ratio), "tok"), k)
+def top_k(query: DataFrame, index: DataFrame, k: int, floor: int = 50, max_df_ratio: float = 0.2, part: tuple[str, ...] = ()) -> DataFrame:
+    """(q_id, i_id, score, rk) of the best within each query's partition. query: (part, q_id, toks)."""
+    terms = query.select(*part, "q_id", F.explode(F.array_distinct("toks")).alias("tok"))
+    return ranked(terms.join(term_weights(index, terms, floor, max_df_ratio, part), [*part, "tok"]), k)
 
 
 def keep_by_rank(ranked: DataFrame, special: str, k: int, k_special: int) -> DataFrame:

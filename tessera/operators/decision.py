@@ -6,6 +6,11 @@ hang on the order of addition, can't flip a rank.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,26 +46,84 @@ def expected_f_prefix(pairs: DataFrame, tau: float | Column = 0.3, gamma: float
 
 
 def threshold_sweep(pairs: DataFrame, entities: DataFrame, taus: list[float]) -> DataFrame:
-    """Macro F0.5 of all thresholds in one pass: each pair counts for the thresholds at or below its p."""
-    spark = pairs.sparkSession
-    grid = F.broadcast(spark.createDataFrame([(t,) for t in taus], "tau double"))
-    counts = pairs.join(grid, F.col("p") >= F.col("tau")).groupBy("tau", "q_id").agg(F.count("*").alias("n_pred"), F.sum("y").alias("tp"))
-    scored = counts.join(entities, "q_id").withColumn("f", f_half(F.col("tp"), F.col("n_pred"), F.col("truth")) - f_half(F.lit(0), F.lit(0), F.col("truth")))
-    base = entities.agg(F.sum(f_half(F.lit(0), F.lit(0), F.col("truth"))).alias("base"), F.count("*").alias("n"))
-    gained = grid.join(scored.groupBy("tau").agg(F.sum("f").alias("gain"), F.sum("n_pred").alias("n_pred")), "tau", "left").na.fill(0)
-    return gained.join(F.broadcast(base)).select("tau", F.round((F.col("base") + F.col("gain")) / F.col("n"), 6).alias("macro_f05"), F.col("n_pred").alias("n_selected"))
-
-
-def grid_best(pairs: DataFrame, entities: DataFrame, grid: list[tuple[float, float, float]]) -> DataFrame:
-    """The (tau, gamma, miss) of the highest macro F0.5, of equals the first of the grid. The grid is small and
-    broadcast; every point selects in windows of (point, entity)."""
-    points = F.broadcast(pairs.sparkSession.createDataFrame([(k, *g) for k, g in enumerate(grid)], "point int, tau double, gamma double, miss double"))
-    chosen = expected_f_prefix(pairs.join(points), F.col("tau"), F.col("gamma"), F.col("miss"), grid=("point",))
-    counts = chosen.groupBy("point", "q_id").agg(F.count("*").alias("n_pred"), F.sum("y").alias("tp")).join(entities, "q_id")
-    gain = counts.groupBy("point").agg(F.sum(f_half(F.col("tp"), F.col("n_pred"), F.col("truth")) - f_half(F.lit(0), F.lit(0), F.col("truth"))).alias("gain"))
-    base = entities.agg(F.sum(f_half(F.lit(0), F.lit(0), F.col("truth"))).alias("base"), F.count("*").alias("n"))
-    scored = points.join(gain, "point", "left").na.fill(0.0, ["gain"]).join(F.broadcast(base)).select("point", "tau", "gamma", "miss", F.round((F.col("base") + F.col("gain")) / F.col("n"), 6).alias("macro_f05"))
-    return scored.orderBy(F.desc("macro_f05"), "point").limit(1)
+    """(tau, macro_f05, n_selected) of all thresholds in one pass: each pair adds to its entity's F0.5, and the gain counts
+    for the thresholds at or below its p, so gains are summed between neighbouring thresholds and then from the top."""
+    taus = sorted(taus)
+    gains = _gains(pairs, entities).withColumn("below", F.size(F.filter(F.array(*map(F.lit, taus)), lambda t: t <= F.col("p"))))
+    steps = gains.groupBy("below").agg(F.sum("gain").alias("gain"), F.count("*").alias("n"))
+    base = entities.agg(F.sum(_empty()).alias("base"), F.count("*").alias("entities"))
+    table = steps.agg(F.collect_list(F.struct("below", "gain", "n")).alias("steps")).join(F.broadcast(base))
+    rows = table.select("*", F.posexplode(F.array(*map(F.lit, taus))).alias("k", "tau"))
+    reached = F.filter("steps", lambda x: x["below"] > F.col("k"))
+    total = lambda c, zero: F.aggregate(reached, zero, lambda s, x: s + x[c])
+    return rows.select("tau", F.round((F.col("base") + total("gain", F.lit(0.0))) / F.col("entities"), 6).alias("macro_f05"), total("n", F.lit(0).cast("long")).alias("n_selected"))
+
+
+def _empty() -> Column:
+    """F0.5 of an empty prediction."""
+    return f_half(F.lit(0), F.lit(0), F.col("truth"))
+
+
+def _gains(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """Pairs with what each adds to its entity's F0.5 when the entity's pairs come by falling p."""
+    ranked = Window.partitionBy("q_id").orderBy(F.desc("p"), "i_id")
+    named = pairs.join(entities.select("q_id", "truth"), "q_id")
+    cum = named.withColumn("k", F.row_number().over(ranked)).withColumn("tp", F.sum("y").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.when(F.col("k") == 1, _empty()).otherwise(f_half(F.col("tp") - F.col("y"), F.col("k") - 1, F.col("truth")))
+    return cum.withColumn("gain", f_half(F.col("tp"), F.col("k"), F.col("truth")) - before)
+
+
+#: The grid of settings, fixed values: thresholds, then (tau, gamma, miss) of the expected-F rule.
+THRESHOLDS = [round(0.05 + 0.025 * k, 3) for k in range(37)]
+TAUS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
+GAMMAS = (0.6, 0.7, 0.85, 1.0, 1.1, 1.2, 1.35, 1.5, 1.7)
+MISSES = (0.0, 0.1, 0.2, 0.3)
+
+
+def grid_scores(pairs: DataFrame, entities: DataFrame, thresholds: list[float] = THRESHOLDS, taus: tuple[float, ...] = TAUS, gammas: tuple[float, ...] = GAMMAS, misses: tuple[float, ...] = MISSES) -> DataFrame:
+    """(point, method, tau, gamma, miss, macro_f05) of every setting: thresholds, then expected_f by tau, gamma, miss.
+
+    Pairs are ranked within their entity once. For each (tau, miss) the entity's best prefix is a maximum over its pairs,
+    whatever gamma is; the few numbers an entity then has are scored for all settings in one Arrow kernel that
+    sends sums only."""
+    entity = Window.partitionBy("q_id")
+    ranked = entity.orderBy(F.desc("p"), "i_id")
+    clipped = F.least(F.col("p"), F.lit(1 - 1e-7))
+    named = pairs.join(entities.select("q_id", "truth"), "q_id")
+    out = named.withColumn("rk", F.row_number().over(ranked)).withColumns({"cum": F.sum("p").over(ranked.rowsBetween(Window.unboundedPreceding, 0)), "tp": F.sum("y").over(ranked.rowsBetween(Window.unboundedPreceding, 0))})
+    out = out.withColumn("total", F.sum("p").over(entity))
+    value = lambda miss: F.round(1.25 * F.col("cum") / (0.25 * (F.col("total") + miss) + F.col("rk")), 9)
+    best = [F.max(F.when(F.col("p") >= t, F.struct(value(m).alias("ef"), (-F.col("rk")).alias("k"), F.col("tp")))).alias(f"b{x}_{y}") for x, t in enumerate(taus) for y, m in enumerate(misses)]
+    rows = out.groupBy("q_id").agg(F.first("truth").alias("truth"), F.exp(F.sum(F.log1p(-clipped))).alias("none"), *best)
+    names = [f"b{x}_{y}" for x in range(len(taus)) for y in range(len(misses))]
+    part = lambda field, kind, default: F.array(*(F.coalesce(F.col(f"{n}.{field}").cast(kind), F.lit(default)) for n in names))
+    rows = rows.select("truth", "none", part("ef", "double", -1.0).alias("ef"), part("k", "double", 0.0).alias("k"), part("tp", "double", 0.0).alias("tp"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(taus), len(gammas), len(misses)))
+        for batch in batches:
+            truth, none = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (0, 1))
+            ef, k, tp = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(truth), len(taus), len(misses)) for c in (2, 3, 4))
+            g = truth[:, None, None]
+            gain = np.where(g > 0, 1.25 * tp / np.maximum(0.25 * g - k, 0.25), -1.0)  # an empty truth scored 1 before
+            for x, gamma in enumerate(gammas):
+                take = (ef > np.round(gamma * none, 9)[:, None, None]) & (ef > 0)
+                sums[:, x] += np.where(take, gain, 0.0).sum(axis=0)
+        at = np.indices(sums.shape).reshape(3, -1)
+        yield pa.record_batch([pa.array(at[0] * len(gammas) * len(misses) + at[1] * len(misses) + at[2]), pa.array(sums.ravel())], ["point", "gain"])
+
+    base = entities.agg(F.coalesce(F.sum(_empty()), F.lit(0.0)).alias("base"), F.count("*").alias("n"))
+    sums = rows.mapInArrow(kernel, "point long, gain double").groupBy("point").agg(F.sum("gain").alias("gain"))
+    points = pairs.sparkSession.createDataFrame([(k, t, g, m) for k, (t, g, m) in enumerate(itertools.product(taus, gammas, misses))], "point long, tau double, gamma double, miss double")
+    scored = points.join(sums, "point", "left").na.fill(0.0, ["gain"]).join(F.broadcast(base))
+    expected = scored.select((F.col("point") + len(thresholds)).alias("point"), F.lit("expected_f").alias("method"), "tau", "gamma", "miss", F.round((F.col("base") + F.col("gain")) / F.col("n"), 6).alias("macro_f05"))
+    swept = threshold_sweep(pairs, entities, thresholds).select(F.array_position(F.array(*map(F.lit, thresholds)), F.col("tau")).alias("point"), F.lit("threshold").alias("method"), "tau", F.lit(None).cast("double").alias("gamma"), F.lit(None).cast("double").alias("miss"), "macro_f05")
+    return swept.withColumn("point", F.col("point") - 1).unionByName(expected)
+
+
+def grid_best(pairs: DataFrame, entities: DataFrame, **grid) -> DataFrame:
+    """The setting of the highest macro F0.5, of equals the first of the grid."""
+    return grid_scores(pairs, entities, **grid).orderBy(F.desc("macro_f05"), "point").limit(1)
 
 
 def oracle_prefix(pairs: DataFrame, entities: DataFrame) -> DataFrame:

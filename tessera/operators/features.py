@@ -1,33 +1,62 @@
 """Features of candidate pairs, their context within query and index record, and TF-IDF cosines.
 
-Missing is null. String scorers run on rows that pass the gate only: the frame is split before the Python
-functions, which Spark would otherwise run for every row.
+Missing is null. What hangs on one record alone (frequencies of its name, TF-IDF vectors) is an attribute of the
+record, made once and gathered with its other columns. One Arrow kernel then makes all string scores and cosines of a
+pair; texts and vectors that pairs share are prepared once.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity as sim
+from tessera.operators import tokens
 from tessera.operators.dense import cosine
-
-NAME = ("n_ratio", "n_pratio", "n_tsort", "n_tset", "n_jw", "n_lev_full", "n_tset_full", "n_concat_ratio", "n_concat_pratio", "n_skel_ratio", "n_phon_ratio", "n_alias_best")
-ADDRESS = ("a_ratio", "a_tsort", "a_tset", "a_pratio", "a_core_tset", "a_alpha_tset", "a_skel_ratio")
+from tessera.session import written
+
+#: The names and order of a pair's features are fixed values, a contract between models and their users.
+BASE = (
+    "n_ratio", "n_pratio", "n_tsort", "n_tset", "n_jw", "n_lev_full", "n_tset_full", "n_concat_ratio", "n_concat_pratio", "n_skel_ratio", "n_alias_best", "n_cos_char", "n_cos_word", "n_jacc", "n_first_eq", "n_len_q", "n_len_i", "n_ntok_diff", "i_translit", "i_domain", "i_alias",
+    "a_empty_i", "a_ratio", "a_tsort", "a_tset", "a_pratio", "a_core_tset", "a_alpha_tset", "a_skel_ratio", "a_cos_word", "a_num_jacc", "a_first_num_eq", "a_qnum_in_i", "a_num_conflict", "a_state_eq", "a_len_i", "a_ncomp_i", "i_addr_translit",
+    "src_s3", "bscore", "brank", "b_ntypes", "bit_nt", "bit_ns", "bit_ph", "bit_an", "bit_nh", "bit_np", "bit_nc", "bit_bm25", "bit_dense", "dense_cos", "emb_cos", "n_phon_ratio",
+    "q_name_df_s1", "i_name_df_idx", "i_name_df_s1",
+)
+CONTEXT = (
+    "g_max_n_tset", "g_diff_n_tset", "g_rank_n_tset", "g_max_a_tset", "g_diff_a_tset", "g_rank_a_tset", "g_max_combo", "g_diff_combo", "g_rank_combo", "g_rank_bscore", "q_ncand",
+    "i_ncand_s1", "i_rank_combo", "i_diff_combo", "i_rank_bscore",
+)
+CORE = ("n_tset", "a_tset", "n_cos_char", "a_cos_word", "a_num_jacc", "a_first_num_eq", "a_empty_i", "bscore", "i_name_df_s1", "q_name_df_s1", "n_alias_best", "a_state_eq", "emb_cos", "i_domain", "i_translit")
+SECOND = (
+    "p1_logit", "g_rank_p1", "g_max_p1", "g_diff_p1", "g_second_p1", "g_sum_p1", "g_cnt50_p1", "q_ncand", "i_ncand_s1", "i_rank_p1", "i_max_other_p1", "i_diff_other_p1",
+    "c2t_n1", "c2t_a1", "c2t_n2", "c2t_a2", "support_n", "support_a",
+)
+#: Characters of a text that string scorers see; a part of what they are.
+SCORED_CHARS = 200
+#: Vectors of a record: name and its terms.
+VECTORS = ("n_cos_char", "n_cos_word", "a_cos_word")
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def tfidf(records: DataFrame, doc: str, terms: str) -> DataFrame:
-    """(doc, term, w): sublinear term frequency times ln((1 + n) / (1 + df)) + 1, normalised by document."""
-    rows = records.select(doc, F.explode(terms).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    n = records.agg(F.count("*").alias("n"))
-    weighted = rows.join(df, "term").join(F.broadcast(n)).withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = weighted.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("w"))
+def tfidf(records: DataFrame, doc: str, terms: str, part: tuple[str, ...] = ()) -> DataFrame:
+    """(part, doc, term, w): sublinear term frequency times ln((1 + n) / (1 + df)) + 1, normalised by document; n and
+    df are those of a partition."""
+    part = list(part)
+    rows = written(records.select(*part, doc, F.explode(terms).alias("term")).groupBy(*part, doc, "term").agg(F.count("*").alias("tf")), "terms")
+    df = rows.groupBy(*part, "term").agg(F.count("*").alias("df"))
+    n = records.groupBy(*part).agg(F.count("*").alias("n"))
+    joined = rows.join(df, [*part, "term"])
+    joined = joined.join(n, part) if part else joined.join(F.broadcast(n))
+    weighted = joined.withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    norm = Window.partitionBy(*part, doc)
+    return weighted.select(*part, doc, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).alias("w"))
 
 
 def pair_cosine(pairs: DataFrame, query: DataFrame, index: DataFrame) -> DataFrame:
@@ -36,23 +65,82 @@ def pair_cosine(pairs: DataFrame, query: DataFrame, index: DataFrame) -> DataFra
     return pairs.join(scored.groupBy("q_id", "i_id").agg(F.sum(F.col("wq") * F.col("wi")).alias("cos")), ["q_id", "i_id"], "left").na.fill(0.0, ["cos"])
 
 
+def _of_kind(kind: str) -> Column:
+    return F.filter("v", lambda x: x["term"].startswith(kind))
+
+
+def attributes(records: DataFrame, part: str = "ckey") -> DataFrame:
+    """(part, id, name_df_s1, name_df_idx, <vector>_t, <vector>_w): how many records of the partition on either side bear
+    the record's name, and its TF-IDF vectors as terms and weights of any length: 2- and 3-grams of padded words of n_core, words of
+    n_core, words of a_full. records: (part, id, src, n_core, a_full), each once in a partition; src 1 asks."""
+    counts = records.groupBy(part, "n_core").agg(F.count_if(F.col("src") == 1).alias("name_df_s1"), F.count_if(F.col("src") != 1).alias("name_df_idx"))
+    named = records.join(counts, [part, "n_core"]).select(part, "id", "name_df_s1", "name_df_idx")
+    padded = F.transform(words(F.col("n_core")), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    grams = lambda n: F.flatten(F.transform(padded, lambda w: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
+    kinds = zip("cwa", (F.concat(grams(2), grams(3)), words(F.col("n_core")), words(F.col("a_full"))), strict=True)
+    # a term's kind is its first letter, so that one pass serves all
+    terms = F.concat(*(tokens.prefixed(t, k) for k, t in kinds))
+    w = tfidf(records.select(part, "id", terms.alias("terms")), "id", "terms", (part,))
+    held = w.groupBy(part, "id").agg(F.collect_list(F.struct("term", "w")).alias("v"))
+    cols = []
+    for k, name in zip("cwa", VECTORS, strict=True):
+        own = _of_kind(k)
+        cols += [F.transform(own, lambda x: x["term"]).alias(f"{name}_t"), F.transform(own, lambda x: x["w"]).alias(f"{name}_w")]
+    return named.join(held.select(part, "id", *cols), [part, "id"], "left")
+
+
 def string_features(pairs: DataFrame, gate: Column) -> DataFrame:
-    """Scores of the name and address columns q_<part> and i_<part>, null where the gate is shut or a side is empty."""
-    q, i = (lambda c: F.col(f"q_{c}")), (lambda c: F.col(f"i_{c}"))
-    plan = {
-        "n_ratio": (sim.indel_ratio, "n_core"), "n_pratio": (sim.indel_partial, "n_core"), "n_tsort": (sim.indel_token_sort, "n_core"), "n_tset": (sim.indel_token_set, "n_core"), "n_jw": (sim.jaro_winkler, "n_core"),
-        "n_lev_full": (sim.levenshtein_similarity, "n_full"), "n_tset_full": (sim.indel_token_set, "n_full"), "n_concat_ratio": (sim.indel_ratio, "n_concat"), "n_concat_pratio": (sim.indel_partial, "n_concat"),
-        "n_skel_ratio": (sim.indel_token_sort, "n_skel"), "n_phon_ratio": (sim.indel_token_set, "n_phon"),
-        "a_ratio": (sim.indel_ratio, "a_full"), "a_tsort": (sim.indel_token_sort, "a_full"), "a_tset": (sim.indel_token_set, "a_full"), "a_pratio": (sim.indel_partial, "a_full"),
-        "a_core_tset": (sim.indel_token_set, "a_core"), "a_alpha_tset": (sim.indel_token_set, "a_alpha"), "a_skel_ratio": (sim.indel_token_set, "a_skel"),
-    }
-    short = {f"{s}_{p}": F.substring(f"{s}_{p}", 1, 200) for s in "qi" for p in {c for _, c in plan.values()}}
-    open_rows = pairs.where(gate).withColumns(short)
-    names, addresses = (q("n_core") == "") | (i("n_core") == ""), (q("a_full") == "") | (i("a_full") == "")
-    scored = open_rows.withColumns({f: sim.guarded(q(c), i(c), s(q(c), i(c)), names if f[0] == "n" else addresses) for f, (s, c) in plan.items()})
-    alias = lambda c: sim.guarded(q("n_core"), i(c), sim.indel_token_set(q("n_core"), i(c)), (q("n_core") == "") | (i(c) == ""))
-    scored = scored.withColumn("n_alias_best", F.greatest(alias("n_alt_a"), alias("n_alt_b")))
-    return pairs.join(scored.select("q_id", "i_id", *plan, "n_alias_best"), ["q_id", "i_id"], "left")
+    """pairs with the scores of the name and address columns q_<part> and i_<part>, null where the gate is shut or a side
+    is empty, and the cosines of the vectors q_<vector>_t, q_<vector>_w and so on, which every pair has."""
+    columns, out = pairs.columns, [*sim.SCORES, *VECTORS]
+    at = {c: k for k, c in enumerate(columns)}
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, vectors = sim.Scorer(), {}
+
+        def vector(side: str, name: str, batch: pa.RecordBatch) -> list[dict[str, float]]:
+            ids, rows = batch.column(at[f"{side}_id"]).to_pylist(), []
+            terms, weights = batch.column(at[f"{side}_{name}_t"]), batch.column(at[f"{side}_{name}_w"])
+            own = vectors.setdefault((side, name), {})
+            if len(own) > sim.TEXTS_KEPT:
+                own.clear()
+            parts = batch.column(at["ckey"]).to_pylist() if "ckey" in at else [None] * len(ids)
+            for k, key in enumerate(zip(parts, ids, strict=True)):
+                if key not in own:
+                    w = weights[k].as_py() or ()
+                    norm = math.sqrt(sum(x * x for x in w))
+                    own[key] = {t: x / norm for t, x in zip(terms[k].as_py() or (), w, strict=True)}
+                rows.append(own[key])
+            return rows
+
+        for batch in batches:
+            shown, cut = batch.column(len(columns)).to_pylist(), {}
+
+            def texts(side: str, part: str, batch=batch, cut=cut) -> list[str]:
+                if (side, part) not in cut:
+                    cut[side, part] = [(t or "")[:SCORED_CHARS] for t in batch.column(at[f"{side}_{part}"]).to_pylist()]
+                return cut[side, part]
+
+            new = []
+            for name, (_, a, b) in sim.SCORES.items():
+                q, i = texts("q", a), texts("i", b)
+                sides = (texts("q", "n_core"), i if name.startswith("n_alias") else texts("i", "n_core")) if name[0] == "n" else (texts("q", "a_full"), texts("i", "a_full"))
+                new.append(pa.array(scorer.column(name, q, i, [bool(s and x and y) for s, x, y in zip(shown, *sides, strict=True)]), pa.float64()))
+            for name in VECTORS:
+                dots = [sum(w * long[t] for t, w in short.items() if t in long) for x, y in zip(vector("q", name, batch), vector("i", name, batch), strict=True) for short, long in [(x, y) if len(x) <= len(y) else (y, x)]]
+                new.append(pa.array(dots, pa.float64()))
+            yield pa.record_batch([*batch.columns[: len(columns)], *new], [*columns, *out])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema] + [f"{c} double" for c in out])
+    scored = pairs.withColumn("_gate", F.coalesce(gate, F.lit(False))).mapInArrow(kernel, schema)
+    cut = lambda c: F.substring(c, 1, SCORED_CHARS)
+    both = gate & (F.col("q_n_core") != "") & (F.col("i_n_core") != "")
+    addresses = (F.col("q_a_full") != "") & (F.col("i_a_full") != "")
+    return scored.withColumns({
+        "n_lev_full": F.when(both, sim.levenshtein_similarity(cut("q_n_full"), cut("i_n_full"))),
+        "n_alias_best": F.greatest("n_alias_a", "n_alias_b"),
+        "a_cos_word": F.when(addresses, F.col("a_cos_word")),
+    }).drop("n_alias_a", "n_alias_b", *(f"{s}_{v}_{x}" for s in "qi" for v in VECTORS for x in "tw"))
 
 
 def set_features(pairs: DataFrame) -> DataFrame:
@@ -72,32 +160,11 @@ def set_features(pairs: DataFrame) -> DataFrame:
         "a_first_num_eq": F.when((q("a_first_num") != "") & (i("a_first_num") != ""), (q("a_first_num") == i("a_first_num")).cast("int")),
         "a_qnum_in_i": F.when(q("a_first_num") != "", F.array_contains(ni, q("a_first_num")).cast("int")),
         "a_len_i": F.length(i("a_full")), "a_ncomp_i": i("a_ncomp"), "src_s3": (F.col("src") == 3).cast("int"),
-        "b_nfamilies": F.bit_count("bits"),
+        "b_ntypes": F.bit_count("bits"),
         **{f"bit_{n}": F.getbit("bits", F.lit(b)).cast("int") for n, b in (("nt", 0), ("ns", 1), ("an", 2), ("nh", 3), ("np", 4), ("nc", 5), ("ph", 6), ("dense", 7), ("bm25", 8))},
     })
 
 
-def text_cosines(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """n_cos_char (2- and 3-grams of padded words), n_cos_word and a_cos_word of pairs. records: (id, n_core,
-    a_full). Terms of pairs' records only are joined, the frequencies are those of all records."""
-    padded = F.transform(words(F.col("n_core")), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = lambda n: F.flatten(F.transform(padded, lambda w: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
-    out = pairs
-    for name, terms in (("n_cos_char", F.concat(grams(2), grams(3))), ("n_cos_word", words(F.col("n_core"))), ("a_cos_word", words(F.col("a_full")))):
-        w = tfidf(records.select("id", terms.alias("terms")), "id", "terms")
-        cos = pair_cosine(pairs.select("q_id", "i_id"), w.withColumnRenamed("id", "q_id"), w.withColumnRenamed("id", "i_id"))
-        out = out.join(cos.withColumnRenamed("cos", name), ["q_id", "i_id"])
-    return out.withColumn("a_cos_word", F.when((F.col("q_a_full") != "") & (F.col("i_a_full") != ""), F.col("a_cos_word")))
-
-
-def name_counts(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """How many records of either side bear the names. records: (id, src, n_core)."""
-    counts = records.groupBy("n_core").agg(F.count_if(F.col("src") == 1).alias("s1"), F.count_if(F.col("src") != 1).alias("idx"))
-    q = counts.select(F.col("n_core").alias("q_n_core"), F.col("s1").alias("q_name_df_s1"))
-    i = counts.select(F.col("n_core").alias("i_n_core"), F.col("idx").alias("i_name_df_idx"), F.col("s1").alias("i_name_df_s1"))
-    return pairs.join(q, "q_n_core", "left").join(i, "i_n_core", "left").na.fill(0, ["q_name_df_s1", "i_name_df_idx", "i_name_df_s1"])
-
-
 def dense_features(pairs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """emb_cos of every pair and dense_cos of pairs that the dense search found; null without vectors (id, v)."""
     if vectors is None:
@@ -120,17 +187,20 @@ def context_features(pairs: DataFrame) -> DataFrame:
     return out.withColumns(new)
 
 
-def cluster_support(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(q_id, i_id, c1, c2, support): word Jaccard of a candidate with the query's best and second best other
-    candidates, and their mean weighted by p. pairs: (q_id, i_id, p); texts: (i_id, toks)."""
+def cluster_support(pairs: DataFrame, texts: DataFrame, score: str = "jaccard") -> DataFrame:
+    """(q_id, i_id, c1, c2, support): similarity of a candidate with the query's best and second best other candidates,
+    and their mean weighted by p. pairs: (q_id, i_id, p); texts: (i_id, toks), null toks being no text. The score is the
+    word Jaccard or, as token_set, token_set_ratio (1 for equal texts)."""
     w = Window.partitionBy("q_id").orderBy(F.desc("p"), "i_id")
     ranked = pairs.withColumn("rk", F.row_number().over(w))
     named = ranked.join(texts, "i_id")
     top = named.where("rk <= 3").groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rk", "p", "toks"))).alias("top"))
     others = F.filter("top", lambda t: t["rk"] != F.col("rk"))
     out = named.join(top, "q_id").withColumn("o", others)
-    c = [F.when(F.size("o") > k, sim.jaccard(F.col("toks"), F.get("o", F.lit(k))["toks"])) for k in (0, 1)]
-    wt = [F.coalesce(F.get("o", F.lit(k))["p"], F.lit(0.0)) for k in (0, 1)]
+    other = lambda k, field: F.get("o", F.lit(k))[field]
+    similar = (lambda a, b: sim.jaccard(a, b)) if score == "jaccard" else (lambda a, b: F.when(a == b, F.lit(1.0)).otherwise(sim.indel_token_set(F.array_join(a, " "), F.array_join(b, " "))))
+    c = [F.when(F.size("o") > k, similar(F.col("toks"), other(k, "toks"))) for k in (0, 1)]
+    wt = [F.coalesce(other(k, "p"), F.lit(0.0)) for k in (0, 1)]
     out = out.withColumns({"c1": c[0], "c2": c[1], "w1": wt[0], "w2": wt[1]})
-    score = (F.coalesce("c1", F.lit(0.0)) * F.col("w1") + F.coalesce("c2", F.lit(0.0)) * F.col("w2")) / (F.col("w1") + F.col("w2") + 1e-6)
-    return out.select("q_id", "i_id", F.round("c1", 6).alias("c1"), F.round("c2", 6).alias("c2"), F.round(score, 6).alias("support"))
+    total = (F.coalesce("c1", F.lit(0.0)) * F.col("w1") + F.coalesce("c2", F.lit(0.0)) * F.col("w2")) / (F.col("w1") + F.col("w2") + 1e-6)
+    return out.select("q_id", "i_id", F.round("c1", 6).alias("c1"), F.round("c2", 6).alias("c2"), F.round(total, 6).alias("support"))

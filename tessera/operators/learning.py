@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from tessera.operators.sampling import crc_fold
 from tessera.session import written
 
+#: Logits and gaps, the lowest features, stay above it.
+MISSING = -1000.0
 STAGE1, STAGE2, HOLDOUT = (0, 1, 2), (3, 4, 5, 6, 7), (8, 9)
 
 
 def with_missing_flags(rows: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
-    """Trees here have no missing values: nulls become -1, which no feature has, and get a flag."""
+    """Trees here have no missing values: nulls become MISSING, below every feature's range, and get a flag."""
     flags = {f"{f}_missing": F.col(f).isNull().cast("double") for f in features}
-    casts = {f: F.coalesce(F.col(f).cast("double"), F.lit(-1.0)) for f in features}
+    casts = {f: F.coalesce(F.col(f).cast("double"), F.lit(MISSING)) for f in features}
     return rows.withColumns(flags).withColumns(casts), [*features, *flags]
 
 
@@ -40,7 +42,10 @@ def fold_of(entity: str = "q_id") -> Column:
 
 
 def scored(rows: DataFrame, features: list[str], models: dict[int, PipelineModel], name: str = "p") -> DataFrame:
-    """rows with the score of the model that didn't see the row's fold or, for other folds, the mean of all."""
+    """rows with the score, a column of a new name, of the model that didn't see the row's fold or, for other folds, the
+    mean of all."""
+    if name in rows.columns:
+        raise ValueError(f"the rows have a column {name} already")
     data, _ = with_missing_flags(rows.withColumn("_fold", fold_of()), features)
     own = data.select("q_id", "i_id", "_fold", *[c for c in data.columns if c in features or c.endswith("_missing")])
     for fold, model in models.items():
@@ -50,10 +55,10 @@ def scored(rows: DataFrame, features: list[str], models: dict[int, PipelineModel
     return rows.join(own.select("q_id", "i_id", p.alias(name)), ["q_id", "i_id"])
 
 
-def out_of_fold(rows: DataFrame, features: list[str], folds: tuple[int, ...], rounds: int = 10) -> DataFrame:
-    """(q_id, i_id, y, fold, p). Folds are by query, so no query is on both sides."""
+def out_of_fold(rows: DataFrame, features: list[str], folds: tuple[int, ...], rounds: int = 10, name: str = "p") -> DataFrame:
+    """(q_id, i_id, y, fold, score). Folds are by query, so no query is on both sides."""
     rows = written(rows, "pairs")
-    return scored(rows, features, fit_folds(rows, features, folds, rounds)).select("q_id", "i_id", "y", fold_of().alias("fold"), "p")
+    return scored(rows, features, fit_folds(rows, features, folds, rounds), name).select("q_id", "i_id", "y", fold_of().alias("fold"), name)
 
 
 def calibrated(train: DataFrame, rows: DataFrame) -> DataFrame:

@@ -93,3 +93,19 @@ def blocking_report(truth: DataFrame, candidates: DataFrame, n_query: DataFrame,
         F.count_if(F.col("cands") == 0).alias("no_candidates"),
         F.round(1 - F.sum("cands") / (F.count("*") * F.lit(max(1, n_index))), 6).alias("reduction_ratio"),
     )
+
+
+def trait_lift(rows: DataFrame, hit: str, traits: dict[str, Column]) -> DataFrame:
+    """(trait, missed, found, lift): each trait's share among the rows that missed and that hit, and their ratio."""
+    share = lambda c, h: F.avg(F.when(F.col(hit) == h, c.cast("int")))
+    one = rows.agg(F.array(*(F.struct(F.lit(n).alias("trait"), share(c, False).alias("missed"), share(c, True).alias("found")) for n, c in traits.items())).alias("r"))
+    out = one.select(F.explode("r").alias("r")).select("r.*")
+    return out.select("trait", F.round("missed", 6).alias("missed"), F.round("found", 6).alias("found"), F.round(F.col("missed") / F.greatest("found", F.lit(1e-6)), 6).alias("lift"))
+
+
+def tag_rates(tags: DataFrame, rows: DataFrame, group: str, key: str) -> DataFrame:
+    """(tag, group, n, rate, example) by group and, as ALL, for all. tags: (key, group, tag); rows: (key, group)."""
+    all_of = lambda df: df.withColumn("g", F.explode(F.array(F.lit("ALL"), F.col(group).cast("string"))))
+    sizes = all_of(rows.select(group)).groupBy("g").agg(F.count("*").alias("rows"))
+    counts = all_of(tags).groupBy("tag", "g").agg(F.count("*").alias("n"), F.min(key).alias("example"))
+    return counts.join(sizes, "g").select("tag", F.col("g").alias(group), "n", F.round(F.col("n") / F.col("rows"), 6).alias("rate"), "example")

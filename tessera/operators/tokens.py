@@ -24,8 +24,14 @@ def rarest_tokens(rows: DataFrame, df: DataFrame, k: int, record: str, least: in
     return joined.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
+def prefixed(words: Column, prefix: str) -> Column:
+    return F.transform(words, lambda w: F.concat(F.lit(prefix), w))
+
+
 def char_ngrams(text: Column, n: int) -> Column:
-    """All runs of n characters; the text itself if it is shorter, none if empty."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
+    """All runs of n characters; the text itself if it is shorter, none if empty. The characters are taken apart once, as
+    a substring's place has to be counted from the start."""
+    once = F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    runs = F.get(F.transform(once, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + k) for k in range(n))))), F.lit(0))
     empty = F.array().cast("array<string>")
-    return F.when(F.length(text) >= n, grams).when(F.length(text) > 0, F.array(text)).otherwise(empty)
+    return F.when(F.length(text) >= n, runs).when(F.length(text) > 0, F.array(text)).otherwise(empty)

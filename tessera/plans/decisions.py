@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import decision, metrics, sampling
 from tessera.plans.fixtures import ENTITIES_SQL, PAIRS_SQL, entities, pairs
-from tessera.plans.registry import query
+from tessera.plans.registry import ORACLE_SQL, query
 from tessera.session import table
 from tessera.sources import lists
 
@@ -132,29 +132,48 @@ def expected_f_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return decision.expected_f_prefix(decision.one_owner(pairs(spark, sf)))
 
 
-TAUS = [round(0.05 + 0.025 * k, 3) for k in range(37)]
-GRID = [(t, g, m) for t in (0.2, 0.4) for g in (0.5, 0.85) for m in (0.0, 0.2)]
-
-
-@query(f"""{BASE}, grid as (select unnest([{', '.join(map(str, TAUS))}]::double[]) as tau),
+_list = lambda values: f"unnest([{', '.join(map(str, values))}]::double[])"
+SWEPT_SQL = f"""grid as (select {_list(decision.THRESHOLDS)} as tau),
 counts as (
     select tau, e.q_id, e.truth, count(i_id) as n, coalesce(sum(y), 0) as tp
-    from grid cross join entities e left join pairs on pairs.q_id = e.q_id and p >= tau group by 1, 2, 3
-)
-select tau, round(avg({F_SQL.format(g='truth', n='n', t='tp')}), 6) as macro_f05, cast(sum(n) as bigint) as n_selected from counts group by 1""")
-def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return decision.threshold_sweep(pairs(spark, sf), entities(spark, sf), TAUS)
+    from grid cross join entities e left join {{source}} s on s.q_id = e.q_id and p >= tau group by 1, 2, 3
+), swept as (
+    select tau, round(avg({F_SQL.format(g='truth', n='n', t='tp')}), 6) as macro_f05, cast(sum(n) as bigint) as n_selected from counts group by 1
+)"""
 
 
-@query(f"""{OWNED_SQL}, grid as (select * from (values {', '.join(f'({k}, {t}::double, {g}::double, {m}::double)' for k, (t, g, m) in enumerate(GRID))}) as t(point, tau, gamma, miss)),
-many as (select * from owned cross join grid), {PREFIX_SQL.format(g='point, ', source='many', tau='tau', gamma='gamma', miss='miss')},
-counts as (
-    select grid.point, tau, gamma, miss, e.q_id, truth, coalesce(n, 0) as n, coalesce(tp, 0) as tp
-    from grid cross join entities e left join (select point, q_id, count(*) as n, sum(y) as tp from chosen group by 1, 2) c on c.point = grid.point and c.q_id = e.q_id
+@query(f"{BASE}, {SWEPT_SQL.format(source='pairs')} select * from swept")
+def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return decision.threshold_sweep(pairs(spark, sf), entities(spark, sf), decision.THRESHOLDS)
+
+
+@query(f"""{OWNED_SQL}, {SWEPT_SQL.format(source='owned')}, ranked as (
+    select o.q_id, p, truth, row_number() over w as rk, sum(p) over (w rows unbounded preceding) as cum, sum(y) over (w rows unbounded preceding) as tp,
+        sum(p) over (partition by o.q_id) as total, exp(sum(ln(1 - least(p, 1 - 1e-7))) over (partition by o.q_id)) as none_
+    from owned o join entities e on e.q_id = o.q_id window w as (partition by o.q_id order by p desc, i_id)
+), taus as (select {_list(decision.TAUS)} as tau), gammas as (select {_list(decision.GAMMAS)} as gamma), misses as (select {_list(decision.MISSES)} as miss),
+best as (
+    select q_id, tau, miss, any_value(truth) as truth, any_value(none_) as none_, max(struct_pack(ef := round(1.25 * cum / (0.25 * (total + miss) + rk), 9), k := -rk, tp := tp)) as b
+    from ranked cross join taus cross join misses where p >= tau group by 1, 2, 3
+), gains as (
+    select tau, gamma, miss, sum(case when b.ef > round(gamma * none_, 9) and b.ef > 0 then {F_SQL.format(g='truth', n='(-b.k)', t='b.tp')} - (case when truth = 0 then 1.0 else 0.0 end) else 0.0 end) as gain
+    from best cross join gammas group by 1, 2, 3
+), expected as (
+    select t.tau, g.gamma, m.miss, round(((select sum(case when truth = 0 then 1.0 else 0.0 end) from entities) + coalesce(gain, 0.0)) / (select count(*) from entities), 6) as macro_f05
+    from taus t cross join gammas g cross join misses m left join gains x on x.tau = t.tau and x.gamma = g.gamma and x.miss = m.miss
+), points as (
+    select row_number() over (order by tau) - 1 as point, 'threshold' as method, tau, null::double as gamma, null::double as miss, macro_f05 from swept
+    union all select {len(decision.THRESHOLDS)} + row_number() over (order by tau, gamma, miss) - 1, 'expected_f', tau, gamma, miss, macro_f05 from expected
 )
-select point, tau, gamma, miss, round(avg({F_SQL.format(g='truth', n='n', t='tp')}), 6) as macro_f05 from counts group by 1, 2, 3, 4 order by macro_f05 desc, point limit 1""")
+select * from points""")
+def decision_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """All 325 settings."""
+    return decision.grid_scores(decision.one_owner(pairs(spark, sf)), entities(spark, sf))
+
+
+@query(f"{ORACLE_SQL['decision_grid']} order by macro_f05 desc, point limit 1")
 def decision_grid_best(spark: SparkSession, sf: str) -> DataFrame:
-    return decision.grid_best(decision.one_owner(pairs(spark, sf)), entities(spark, sf), GRID)
+    return decision.grid_best(decision.one_owner(pairs(spark, sf)), entities(spark, sf))
 
 
 @query(f"""{BASE}, cum as (
@@ -236,18 +255,19 @@ def error_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     return classes.join(entities(spark, sf), "q_id").groupBy("segment", "class").agg(F.count("*").alias("n"))
 
 
+TRAITS = {"urgent": "o_orderpriority = '1-URGENT'", "open_order": "o_orderstatus = 'O'", "large_part": "p_size >= 25", "dear_part": "p_retailprice >= 1000"}
+
+
 @query(f"""with {PAIRS_SQL}, t as (
-    select y, p, case when p >= 0.5 then 1 else 0 end as found, i_id % 2 as odd, case when q_id % 10 < 3 then 1 else 0 end as early from pairs where y = 1
-)
-select trait, round(missed, 6) as missed, round(found_, 6) as found, round(missed / greatest(found_, 1e-6), 6) as lift from (
-    select 'odd_index' as trait, avg(case when found = 0 then odd end) as missed, avg(case when found = 1 then odd end) as found_ from t
-    union all select 'early_query', avg(case when found = 0 then early end), avg(case when found = 1 then early end) from t
-)""")
+    select p >= 0.5 as hit, {', '.join(f'cast({c} as int) as {n}' for n, c in TRAITS.items())}
+    from pairs join orders on o_orderkey = q_id join part on p_partkey = i_id // 1000 where y = 1
+), r as ({' union all '.join(f"select '{n}' as trait, avg(case when not hit then {n} end) as missed, avg(case when hit then {n} end) as found from t" for n in TRAITS)})
+select trait, round(missed, 6) as missed, round(found, 6) as found, round(missed / greatest(found, 1e-6), 6) as lift from r""")
 def miss_profile(spark: SparkSession, sf: str) -> DataFrame:
-    t = pairs(spark, sf).where("y = 1").select((F.col("p") >= 0.5).alias("hit"), (F.col("i_id") % 2).alias("odd_index"), (F.col("q_id") % 10 < 3).cast("int").alias("early_query"))
-    shares = t.agg(*(F.avg(F.when(F.col("hit") == h, F.col(c))).alias(f"{c}_{n}") for c in ("odd_index", "early_query") for h, n in ((False, "missed"), (True, "found"))))
-    rows = shares.select(F.explode(F.array(*(F.struct(F.lit(c).alias("trait"), F.col(f"{c}_missed").alias("missed"), F.col(f"{c}_found").alias("found")) for c in ("odd_index", "early_query")))).alias("r")).select("r.*")
-    return rows.select("trait", F.round("missed", 6).alias("missed"), F.round("found", 6).alias("found"), F.round(F.col("missed") / F.greatest("found", F.lit(1e-6)), 6).alias("lift"))
+    """Traits of the true pairs that were missed, against those found."""
+    true = pairs(spark, sf).where("y = 1").select((F.col("p") >= 0.5).alias("hit"), F.col("q_id").alias("o_orderkey"), F.expr("i_id div 1000").alias("p_partkey"))
+    named = true.join(table(spark, sf, "orders"), "o_orderkey").join(table(spark, sf, "part"), "p_partkey")
+    return metrics.trait_lift(named, "hit", {n: F.expr(c) for n, c in TRAITS.items()})
 
 
 @query()

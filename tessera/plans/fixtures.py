@@ -47,16 +47,18 @@ ENTITIES_SQL = """entities as (
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """(rec_id, src, ckey, toks, name, addr): a document as a record of one of three sources."""
+    """(rec_id, src, ckey, toks, name, addr): a document as a record of one of three sources; the first half of its words
+    is the name, the rest the address."""
+    half = F.expr("(size(toks) + 1) div 2")
     docs = table(spark, sf, "documents").withColumn("toks", folded_tokens(F.col("text")))
     return docs.select(
         F.col("doc_id").alias("rec_id"), (1 + F.col("doc_id") % 3).alias("src"), F.col("lang").alias("ckey"), "toks",
-        F.slice("toks", 1, 8).alias("name"), F.slice("toks", 9, 24).alias("addr"),
+        F.slice("toks", F.lit(1), half).alias("name"), F.slice("toks", half + 1, F.size("toks")).alias("addr"),
     )
 
 
 RECORDS_SQL = f"""records as (
-    select rec_id, src, ckey, toks, toks[1:8] as name, toks[9:32] as addr
+    select rec_id, src, ckey, toks, toks[1:(len(toks) + 1) // 2] as name, toks[(len(toks) + 1) // 2 + 1:] as addr
     from (select doc_id as rec_id, 1 + doc_id % 3 as src, lang as ckey, {TOKENS_SQL} as toks from documents)
 )"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.config import Config
 from tessera.functions import text as T
 from tessera.operators import decision, features, learning, sampling
 from tessera.plans.candidates import key_blocking_topk
@@ -22,42 +23,46 @@ def isotonic_calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalised(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, src, h, normalised columns): documents as business records, the first words their name."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (1 + F.col("doc_id") % 3).alias("src"), F.split(F.coalesce("text", F.lit("")), r"\s+").alias("w"), F.xxhash64("text").alias("h"))
-    raw = docs.select("id", "src", "h", F.array_join(F.slice("w", 1, 8), " ").alias("name"), F.array_join(F.slice("w", 9, 24), ", ").alias("addr"))
-    name, addr = T.name_parts(F.col("name")), T.address_parts(F.col("addr"))
-    norm = raw.select("id", "src", "h", *(c.alias(n) for n, c in {**name, **addr}.items()))
-    return norm.withColumn("n_phon", T.nysiis(F.regexp_replace("n_core", " ", "")))
+    """(id, src, ckey, h, normalised columns): documents as business records, the first half of the words their name."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (1 + F.col("doc_id") % 3).alias("src"), F.col("lang").alias("ckey"), F.split(F.coalesce("text", F.lit("")), r"\s+").alias("w"), F.xxhash64("text").alias("h"))
+    half = F.expr("(size(w) + 1) div 2")
+    raw = docs.select("id", "src", "ckey", "h", F.array_join(F.slice("w", F.lit(1), half), " ").alias("name"), F.array_join(F.slice("w", half + 1, F.size("w")), " ").alias("addr"))
+    named = T.with_address(T.with_name(raw, "name"), "addr", F.lit("")).withColumn("n_translit", T.has_native(F.col("name"))).drop("name", "addr")
+    return named.withColumn("n_phon", T.nysiis_words("n_core"))
 
 
-def pair_table(spark: SparkSession, sf: str, norm: DataFrame | None = None) -> DataFrame:
-    """Candidates of key blocking with the normalised columns of both records."""
-    norm = normalised(spark, sf) if norm is None else norm
-    parts = [c for c in norm.columns if c not in ("id", "src", "h")]
-    side = lambda s: norm.select(F.col("id").alias(f"{s}_id"), F.col("h").alias(f"{s}_h"), *(F.col(c).alias(f"{s}_{c}") for c in parts), *(["src"] if s == "i" else []))
-    cand = key_blocking_topk(spark, sf).select("q_id", "i_id", F.col("score").alias("bscore"), "bits", F.col("rk").alias("brank"))
-    return cand.join(side("q"), "q_id").join(side("i"), "i_id").withColumn("y", (F.col("q_h") == F.col("i_h")).cast("int"))
+def pair_table(spark: SparkSession, sf: str, norm: DataFrame) -> DataFrame:
+    """Candidates of key blocking with the columns of both records; y where their texts are equal."""
+    parts = [c for c in norm.columns if c not in ("id", "src", "ckey")]
+    side = lambda s: norm.select("ckey", F.col("id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}_{c}") for c in parts), *(["src"] if s == "i" else []))
+    cand = key_blocking_topk(spark, sf).select("ckey", "q_id", "i_id", F.col("score").alias("bscore"), "bits", F.col("rk").alias("brank"))
+    both = cand.join(side("q"), ["ckey", "q_id"]).join(side("i"), ["ckey", "i_id"])
+    return both.withColumn("y", (F.col("q_h") == F.col("i_h")).cast("int"))
+
+
+def featured(spark: SparkSession, sf: str) -> DataFrame:
+    norm = written(normalised(spark, sf), "normalised")
+    norm = written(norm.join(features.attributes(norm.select("ckey", "id", "src", "n_core", "a_full")), ["ckey", "id"]), "attributes")
+    gate = (F.col("brank") < Config.fuzzy_gate) | (F.getbit("bits", F.lit(7)) == 1)
+    out = features.string_features(written(pair_table(spark, sf, norm), "pairs"), gate)
+    return features.context_features(features.dense_features(features.set_features(out)))
 
 
 @query()
 def pair_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Features of candidate pairs: strings behind the gate, sets, bits, context."""
-    gate = (F.col("brank") < 24) | (F.getbit("bits", F.lit(7)) == 1)
-    norm = written(normalised(spark, sf), "normalised")
-    table_ = written(pair_table(spark, sf, norm), "pairs")
-    out = features.name_counts(features.text_cosines(features.string_features(table_, gate), norm), norm)
-    out = features.context_features(features.dense_features(features.set_features(out)))
-    kept = [c for c in out.columns if not c.startswith(("q_n_", "q_a_", "i_n_", "i_a_", "q_h", "i_h"))]
+    """Features of candidate pairs: strings behind the gate, cosines, sets, bits, context."""
+    out = featured(spark, sf)
+    kept = ["q_id", "i_id", "y", *(c for c in (*features.BASE, *features.CONTEXT) if c in out.columns)]
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.select(*kept).dtypes))
 
 
 @query()
 def pair_classifier_oof(spark: SparkSession, sf: str) -> DataFrame:
-    """Out-of-fold scores of a two-stage model on a few features, and the list that they give."""
-    feats = ["n_jacc", "n_ntok_diff", "a_num_jacc", "bscore", "brank", "b_nfamilies"]
-    rows = written(features.set_features(pair_table(spark, sf)).select("q_id", "i_id", "y", *feats), "pairs")
-    first = learning.out_of_fold(rows, feats, learning.STAGE1, rounds=3)
-    second = decision.context(rows.join(first.select("q_id", "i_id", "p"), ["q_id", "i_id"]))
-    more = [*feats, "p", "g_rank", "g_diff", "i_diff_other"]
-    out = learning.out_of_fold(second.select("q_id", "i_id", "y", *more), more, learning.STAGE2[:3], rounds=3)
+    """Out-of-fold scores of a two-stage model: the second stage sees the first one's scores in their context."""
+    feats = ["n_tset", "n_cos_word", "n_jacc", "n_ntok_diff", "a_tset", "a_num_jacc", "bscore", "brank", "b_ntypes"]
+    rows = written(featured(spark, sf).select("q_id", "i_id", "y", *feats), "pairs")
+    first = learning.out_of_fold(rows, feats, learning.STAGE1, rounds=Config.rounds, name="p1")
+    second = decision.context(rows.join(first.select("q_id", "i_id", "p1"), ["q_id", "i_id"]), "p1")
+    more = [*feats, "p1", "g_rank", "g_diff", "i_diff_other"]
+    out = learning.out_of_fold(second.select("q_id", "i_id", "y", *more), more, learning.STAGE2, rounds=Config.rounds)
     return out.select("q_id", "i_id", "y", "fold", F.round("p", 6).alias("p"))

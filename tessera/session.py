@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -52,17 +54,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, a fresh temporary folder becomes it."""
+    """The folder in spark.checkpoint.dir. Where that is unset on one machine, as in tests, a fresh temporary folder,
+    removed at the end, becomes it; on a cluster, whose machines share no such folder, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tessera_shared", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
         spark._tessera_shared = found
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not hasattr(spark, "_tessera_scratch"):
+        spark._tessera_scratch = []
+    spark._tessera_scratch.append(path)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system and its name of a path, through Spark, so any store works."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the scratch tables that this session has made so far; results that still read them are lost. How many."""
+    paths = getattr(spark, "_tessera_scratch", [])
+    for path in paths:
+        fs, p = _hadoop(spark, path)
+        fs.delete(p, True)
+    spark._tessera_scratch = []
+    return len(paths)
+
+
+def finished(spark: SparkSession, run: str | None, name: str) -> DataFrame | None:
+    """The table that a step of a named run has left, if it was written to its end."""
+    if run is None:
+        return None
+    path = f"{shared_dir(spark)}/run-{run}/{name}"
+    fs, p = _hadoop(spark, f"{path}/_SUCCESS")
+    return spark.read.parquet(path) if fs.exists(p) else None
+
+
+def kept(df: DataFrame, run: str | None, name: str) -> DataFrame:
+    """df as a table: of a named run, where finished() finds it again, else a scratch one."""
+    if run is None:
+        return written(df, name)
+    path = f"{shared_dir(df.sparkSession)}/run-{run}/{name}"
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:

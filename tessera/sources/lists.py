@@ -59,17 +59,23 @@ def cleaned(ids: Column) -> Column:
 
 
 def ranked_lists(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(q_id, ids): one row for each entity, ids by falling p, joined by commas; empty where none."""
+    """(q_id, ids) and pos if the entities have it: a row for each entity, ids by falling p, joined by commas; empty where
+    none."""
     order = F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), F.col("id").alias("id"))))
     lists = pairs.groupBy("q_id").agg(F.transform(order, lambda x: x["id"]).alias("ids"))
-    return entities.select("q_id").join(lists, "q_id", "left").select("q_id", F.array_join(F.coalesce(cleaned(F.col("ids")), F.array()), ",").alias("ids"))
+    pos = ["pos"] if "pos" in entities.columns else []
+    return entities.select("q_id", *pos).join(lists, "q_id", "left").select("q_id", *pos, F.array_join(F.coalesce(cleaned(F.col("ids")), F.array()), ",").alias("ids"))
 
 
 def write_id_lists(lists: DataFrame, path: str, header: str, order: str = "q_id") -> None:
-    """One text file: header, then a line for each entity in order."""
-    lines = lists.select(F.lit(1).alias("at"), F.col(order).cast("string").alias("by"), F.concat_ws("\t", F.col("q_id").cast("string"), "ids").alias("value"))
-    first = lists.sparkSession.createDataFrame([(0, "", f"source1_entity_id\t{header}")], "at int, by string, value string")
-    first.unionAll(lines).orderBy("at", "by").select("value").coalesce(1).write.mode("overwrite").text(path)
+    """A folder of text files whose names sort as their lines do: header, then a line for each entity in order. Sorting is
+    by range in as many tasks as there are cores; no task holds all lines."""
+    lines = lists.select(F.lit(1).alias("at"), F.col(order).alias("by"), F.concat_ws("\t", F.col("q_id").cast("string"), "ids").alias("value"))
+    first = lists.limit(1).select(F.lit(0).alias("at"), F.lit(None).cast(lines.schema["by"].dataType).alias("by"), F.lit(f"source1_entity_id\t{header}").alias("value"))
+    if not lists.take(1):
+        first = lists.sparkSession.createDataFrame([(0, None, f"source1_entity_id\t{header}")], "at int, by string, value string")
+        lines = first.limit(0)
+    first.unionAll(lines).orderBy("at", "by").select("value").write.mode("overwrite").text(path)
 
 
 def list_checks(lists: DataFrame, required: DataFrame, known: DataFrame, candidates: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,18 +58,33 @@ def test_fit_and_predict(spark, tmp_path, seed):
     config = Config(rounds=2, depth=3)
     report = linkage.train(spark, str(tmp_path), f"{tmp_path}/model", config)
     assert 0.5 < report["ALL"] <= 1
-    checks = dict(map(tuple, linkage.predict(spark, str(tmp_path), f"{tmp_path}/model", f"{tmp_path}/out", config).collect()))
-    assert set(checks.values()) == {0}
+    checks = linkage.predict(spark, str(tmp_path), f"{tmp_path}/model", f"{tmp_path}/out", config).collect()
+    assert {r["n"] for r in checks} == {0} and {r["list"] for r in checks} == {"matched", "candidates"}
     lines = "".join(p.read_text() for p in sorted((tmp_path / "out/matched").glob("part-*"))).splitlines()
     assert lines[0] == "source1_entity_id\tmatched_entity_ids" and {x.split("\t")[0] for x in lines[1:]} == ids and len(lines) == len(ids) + 1
+    order = list(dict.fromkeys(r.split("\t")[0] for r in (tmp_path / "test_source1.tsv").read_text().splitlines()[1:]))
+    assert [x.split("\t")[0] for x in lines[1:]] == order  # the source's order
     owned = [i for x in lines[1:] for i in x.split("\t")[1].split(",") if i]
     assert len(owned) == len(set(owned)) > 10
 
 
 def test_features_and_contract(spark, tmp_path):
-    world(tmp_path, "train", 3, 30)
+    ids = world(tmp_path, "train", 3, 30)
+    with (tmp_path / "train_source1.tsv").open("a") as f:  # a query of no country meets rows of no country
+        f.write("S1-blank\tQuark Bakery\t77 Oak Street\t\n")
+    with (tmp_path / "train_source2.tsv").open("a") as f:
+        f.write("S2-blank\tQuark Bakery\t77 Oak Street\t\nS2-us\tQuark Bakery\t77 Oak Street\tUS\n")
+    rng = np.random.default_rng(1)
+    named = [line.split("\t")[0] for k in (1, 2, 3) for line in (tmp_path / f"train_source{k}.tsv").read_text().splitlines()[1:]]
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    spark.createDataFrame([(i, unit(rng.normal(size=8))) for i in dict.fromkeys(named)], "id string, v array<float>").write.parquet(f"{tmp_path}/train_vectors.parquet")
     w = linkage.prepare(spark, str(tmp_path), "train")
     rows = linkage.featurise(w, linkage.block(w, Config()), Config())
+    assert {r["i_id"] for r in rows.where("q_id = 'S1-blank'").collect()} & {"S2-blank", "S2-us"} == {"S2-blank"}
+    assert rows.where("emb_cos is null").count() == 0 and rows.where("bit_dense = 1 and dense_cos is null or bit_dense = 0 and dense_cos is not null").count() == 0
+    assert rows.where("bit_dense = 1").count() > len(ids)
+    second = linkage.second_stage(rows.withColumn("p1", F.col("n_tset") / 2))
+    assert set(linkage.STAGE2) <= set(second.columns) and second.where("c2t_n1 > 1 or c2t_n1 < 0").count() == 0
     assert len(linkage.STAGE1) == 72 and len(linkage.STAGE2) == 33 and set(linkage.STAGE1) <= set(rows.columns)
     doubles = [c for c, t in rows.dtypes if t == "double"]
     assert rows.where(" or ".join(f"isnan({c})" for c in doubles)).count() == 0
@@ -78,3 +94,16 @@ def test_features_and_contract(spark, tmp_path):
     with pytest.raises(ValueError):
         enforce(Config().contract(["a"]), Config(), ["b"])
     assert enforce(Config(k_key=7).contract(["a"]), Config(), ["a"]).k_key == 7
+
+
+def test_a_named_run_goes_on(spark, tmp_path, monkeypatch):
+    from tessera import session as s
+
+    monkeypatch.setattr(s, "shared_dir", lambda spark: str(tmp_path))
+    rows = spark.range(3)
+    assert s.finished(spark, None, "x") is None and s.finished(spark, "r", "x") is None
+    assert s.kept(rows, "r", "x").count() == 3 and s.finished(spark, "r", "x").count() == 3
+    (tmp_path / "run-r/x/_SUCCESS").unlink()
+    assert s.finished(spark, "r", "x") is None and s.kept(rows, "r", "x").count() == 3
+    scratch = s.written(rows, "y")
+    assert scratch.count() == 3 and s.clear(spark) >= 1 and not list(tmp_path.glob("y-*"))

@@ -96,7 +96,8 @@ def test_blank_partitions_join_without_a_nested_loop(spark):
     rows = spark.createDataFrame([("r1", "us"), ("r2", "")], "id string, ckey string")
     parts = spark.createDataFrame([("us",), ("in",), ("",)], "ckey string")
     out = blocking.replicated(rows, parts)
-    assert sorted(map(tuple, out.collect())) == [("r1", "us"), ("r2", "in"), ("r2", "us")]
+    assert sorted(map(tuple, out.collect())) == [("r1", "us"), ("r2", ""), ("r2", "in"), ("r2", "us")]
+    assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
 
 
 def test_rarest_tokens_break_ties_by_text(spark):
@@ -123,6 +124,72 @@ def test_dense_equals_brute_force_with_ties(spark, monkeypatch):
         own = [i for i in range(20, 60) if i % 2 == q % 2]
         best = sorted(own, key=lambda i: (-round(float(v[q] @ v[i]), 6), i))[:5]
         assert [got[q, k + 1] for k in range(5)] == best
+    monkeypatch.setattr(dense, "HELD", 3)
+    again = dense.top_k(df.where("id % 10 = 0"), df, 4, exclude_self=True).collect()
+    for q in range(0, 60, 10):
+        best = sorted((i for i in range(60) if i % 2 == q % 2 and i != q), key=lambda i: (-round(float(v[q] @ v[i]), 6), i))[:4]
+        assert [r["i_id"] for r in sorted(again, key=lambda r: r["rk"]) if r["q_id"] == q] == best
+
+
+def test_grid_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    lists = {q: sorted(((round(float(p), 2), int(rng.random() < p)) for p in rng.random(rng.integers(0, 6))), reverse=True) for q in range(60)}
+    pairs = spark.createDataFrame([(q, i, p, y) for q, ps in lists.items() for i, (p, y) in enumerate(ps)], PAIRS)
+    truth = {q: sum(y for _, y in ps) + (q % 7 == 0) for q, ps in lists.items()}
+    entities = spark.createDataFrame(list(truth.items()), "q_id long, truth long")
+    f = lambda tp, n, g: float(n == 0) if g == 0 else 0.0 if n == 0 else 1.25 * tp / (0.25 * g + n)
+    want = []
+    for t in decision.THRESHOLDS:
+        want.append(np.mean([f(sum(y for p, y in ps if p >= t), sum(p >= t for p, _ in ps), truth[q]) for q, ps in lists.items()]))
+    for t in decision.TAUS:
+        for g in decision.GAMMAS:
+            for m in decision.MISSES:
+                cuts = {q: brute_prefix([p for p, _ in ps], t, g, m) if ps else 0 for q, ps in lists.items()}
+                want.append(np.mean([f(sum(y for _, y in ps[: cuts[q]]), cuts[q], truth[q]) for q, ps in lists.items()]))
+    got = decision.grid_scores(pairs, entities).orderBy("point").collect()
+    assert [r["point"] for r in got] == list(range(325)) and np.allclose([r["macro_f05"] for r in got], want, atol=2e-6)
+    assert decision.grid_best(pairs, entities).first()["point"] == int(np.argmax(np.round(want, 6)))
+
+
+def test_bm25_and_attributes_by_partition(spark):
+    """A partition's figures are those it has alone."""
+    rng = np.random.default_rng(6)
+    rows = [(p, i, [f"t{rng.integers(0, 9)}" for _ in range(rng.integers(1, 8))]) for p in ("a", "b") for i in range(40)]
+    index = spark.createDataFrame([(p, f"{p}{i}", t) for p, i, t in rows], "ckey string, i_id string, toks array<string>")
+    query = spark.createDataFrame([(p, f"q{p}{i}", t[:3]) for p, i, t in rows[::9]], "ckey string, q_id string, toks array<string>")
+    both = sorted(map(tuple, bm25.top_k(query, index, 5, floor=20, part=("ckey",)).collect()))
+    alone = [r for p in ("a", "b") for r in bm25.top_k(query.where(F.col("ckey") == p), index.where(F.col("ckey") == p), 5, floor=20).collect()]
+    assert both == sorted(map(tuple, alone)) and both
+    records = index.select("ckey", F.col("i_id").alias("id"), (F.length("i_id") % 2 + 1).alias("src"), F.array_join("toks", " ").alias("n_core"), F.array_join(F.slice("toks", 1, 2), " ").alias("a_full"))
+    key = lambda r: (r["id"], r["name_df_s1"], r["name_df_idx"], sorted((t, round(w / sum(x * x for x in r["n_cos_char_w"]) ** 0.5, 9)) for t, w in zip(r["n_cos_char_t"], r["n_cos_char_w"])))
+    whole = sorted(key(r) for r in features.attributes(records).collect())
+    assert whole == sorted(key(r) for p in ("a", "b") for r in features.attributes(records.where(F.col("ckey") == p)).collect()) and len(whole) == 80
+
+
+def test_string_features_equal_plain_functions(spark):
+    from tessera.functions import similarity as sim
+
+    rng = np.random.default_rng(2)
+    pool = ["acme foods", "foods acme", "acme fods", "", "zeta & co", "acme foods market", "a b c", "x" * 250 + " y"]
+    parts = ["n_core", "n_full", "n_concat", "n_skel", "n_phon", "n_alt_a", "n_alt_b", "a_full", "a_core", "a_alpha", "a_skel"]
+    vectors = [f"{v}_{x} array<{'string' if x == 't' else 'double'}>" for v in features.VECTORS for x in "tw"]
+    some = lambda: [x for _ in features.VECTORS for t in [[f"t{k}" for k in range(6) if rng.random() < 0.5]] for x in (t, [float(rng.random()) + 0.1 for _ in t])]
+    record = {k: ([str(rng.choice(pool)) for _ in parts], some()) for k in range(24)}
+    data = [(f"q{a}", f"i{b}", int(rng.integers(0, 2)), *record[a][0], *record[b][0], *record[a][1], *record[b][1]) for a, b in rng.integers(0, 24, (90, 2)).tolist()]
+    schema = ", ".join(["q_id string", "i_id string", "open int", *(f"{s}_{p} string" for s in "qi" for p in parts), *(f"{s}_{v}" for s in "qi" for v in vectors)])
+    got = features.string_features(spark.createDataFrame(data, schema), F.col("open") == 1).collect()
+    plain = {"n_ratio": (sim.ratio, "n_core"), "n_pratio": (sim.partial_ratio, "n_core"), "n_tsort": (sim.token_sort_ratio, "n_core"), "n_tset": (sim.token_set_ratio, "n_core"), "n_jw": (sim.jaro_winkler_score, "n_core"), "n_skel_ratio": (sim.token_sort_ratio, "n_skel"), "n_phon_ratio": (sim.token_set_ratio, "n_phon"), "a_pratio": (sim.partial_ratio, "a_full"), "a_core_tset": (sim.token_set_ratio, "a_core")}
+    assert len(got) == 90
+    for r, row in zip(sorted(got, key=lambda r: (r["q_id"], r["i_id"])), sorted(data)):
+        for name, (f, part) in plain.items():
+            lead = "n_core" if name[0] == "n" else "a_full"
+            x, y = r[f"q_{part}"][:200], r[f"i_{part}"][:200]
+            want = None if not r["open"] or not r[f"q_{lead}"] or not r[f"i_{lead}"] else 1.0 if x == y else f(x, y)
+            assert r[name] is want or abs(r[name] - want) < 1e-9, (name, x, y)
+        at = 3 + 2 * len(parts)
+        unit = lambda t, w: {k: x / sum(v * v for v in w) ** 0.5 for k, x in zip(t, w)}
+        a, b = unit(*row[at : at + 2]), unit(*row[at + 6 : at + 8])
+        assert abs(r["n_cos_char"] - sum(w * b.get(k, 0) for k, w in a.items())) < 1e-9
 
 
 def test_keep_by_rank(spark):
