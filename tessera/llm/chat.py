@@ -17,7 +17,7 @@ columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
@@ -45,7 +45,9 @@ def event_log(turns: DataFrame) -> DataFrame:
     streamed = F.array(event(0, "delta", head), event(1, "regen", F.lit("")), event(2, "delta", head), event(3, "delta", tail))
     typed = F.array(event(0, "delta", t))
     edited = F.array(event(0, "delta", tail), event(1, "edit", t))
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("msg", F.monotonically_increasing_id())
+    # a message is named by its place, so that a task that runs again names it alike; rows that tie are equal
+    place = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("msg", F.row_number().over(place))
     picked = F.when(F.col("role").isin(*TRAINED_ROLES), streamed).when(F.pmod("turn", F.lit(3)) == 2, edited).otherwise(typed)
     exploded = rows.select("conv_id", "msg", "turn", "role", F.explode(picked).alias("e"))
     return exploded.select("conv_id", "msg", F.struct("turn", "e.part").alias("seq"), "e.kind", "role", "e.text")
