@@ -1,4 +1,4 @@
-"""python -m tessera COMMAND ...: train, predict, all, score, blocking, caps, owners, holdout, validate, query."""
+"""python -m tessera COMMAND ...: train, predict, all, score, errors, recall, blocking, caps, owners, holdout, validate, query."""
 
 from __future__ import annotations
 
@@ -32,7 +32,9 @@ def parsed(argv: list[str] | None = None) -> argparse.Namespace:
     command("caps", "truth", "predicted")
     command("owners", "truth")
     command("holdout", "truth", share={"type": float, "default": 0.1})
-    command("validate", "lists", "header")
+    command("errors", "truth", "predicted", "candidates", source={"default": None}, examples={"default": None})
+    command("recall", "truth", "candidates", source={"default": None})
+    command("validate", "lists", "header", source={"default": None}, index={"nargs": "*", "default": []}, candidates={"default": None})
     command("query", "name", "tables")
     return top.parse_args(argv)
 
@@ -64,7 +66,14 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "validate":
         faults = lists.file_faults(spark, args.lists, args.header)
         print("\n".join(faults) or "no fault")
-        return int(bool(faults))
+        checks = diagnose.checked(spark, args.lists, args.header, args.source, args.index, args.candidates) if args.source and args.index else None
+        if checks is not None:
+            show(checks)
+        return int(bool(faults) or (checks is not None and checks.where("n > 0 and check <> 'not_candidate'").count() > 0))
+    elif args.command == "errors":
+        show(diagnose.errors(spark, args.truth, args.predicted, args.candidates, args.source, args.examples))
+    elif args.command == "recall":
+        show(diagnose.blocking_by_source(spark, args.truth, args.candidates, args.source))
     elif args.command == "query":
         show(catalogue.QUERIES[args.name](spark, args.tables))
     return 0

@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.sampling import crc_fold
@@ -67,6 +67,24 @@ def calibrated(train: DataFrame, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumnRenamed("prediction", "p_cal")
 
 
+def shortlist(pairs: DataFrame, least: float = 0.02, n: int | None = None, p: str = "p") -> DataFrame:
+    """The pairs that a second scorer looks at: of each index record the best query's, if its score reaches least; with n,
+    the n best of all, ties by ids."""
+    w = Window.partitionBy("i_id").orderBy(F.desc(p), "q_id")
+    out = pairs.withColumn("_rk", F.row_number().over(w)).where((F.col("_rk") == 1) & (F.col(p) >= least)).drop("_rk")
+    return out if n is None else out.orderBy(F.desc(p), "q_id", "i_id").limit(n)
+
+
+def reranked(pairs: DataFrame, scores: DataFrame, weight: float, least: float = 0.02) -> DataFrame:
+    """pairs with p blended with the raw scores (q_id, i_id, logit) of those on the shortlist."""
+    own = shortlist(pairs, least).select("q_id", "i_id").join(scores.select("q_id", "i_id", sigmoid(F.col("logit")).alias("_other")), ["q_id", "i_id"])
+    return pairs.join(own, ["q_id", "i_id"], "left").withColumn("p", blended("p", "_other", weight)).drop("_other")
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
 def blended(p: str, other: str, weight: float) -> Column:
     """Linear blend of two scores where the second exists."""
     return F.when(F.col(other).isNull(), F.col(p)).otherwise((1 - weight) * F.col(p) + weight * F.col(other))

@@ -109,3 +109,24 @@ def tag_rates(tags: DataFrame, rows: DataFrame, group: str, key: str) -> DataFra
     sizes = all_of(rows.select(group)).groupBy("g").agg(F.count("*").alias("rows"))
     counts = all_of(tags).groupBy("tag", "g").agg(F.count("*").alias("n"), F.min(key).alias("example"))
     return counts.join(sizes, "g").select("tag", F.col("g").alias(group), "n", F.round(F.col("n") / F.col("rows"), 6).alias("rate"), "example")
+
+
+def error_items(truth: DataFrame, predicted: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(q_id, i_id, class) of every wrong pair, all inputs (q_id, i_id): true pairs that aren't predicted are a
+    blocking_miss where they weren't candidates, else missed_in_candidates; predicted pairs that aren't true are an
+    fp_on_singleton where the entity has no match, fp_stolen where the record belongs to another, else fp_distractor."""
+    pair = ["q_id", "i_id"]
+    offered = candidates.select(*pair).distinct().withColumn("_in", F.lit(True))
+    missed = truth.join(predicted, pair, "left_anti").join(offered, pair, "left").select(*pair, F.when(F.col("_in"), "missed_in_candidates").otherwise("blocking_miss").alias("class"))
+    wrong = predicted.join(truth, pair, "left_anti")
+    wrong = wrong.join(truth.select("q_id").distinct().withColumn("_some", F.lit(True)), "q_id", "left").join(truth.select("i_id").distinct().withColumn("_owned", F.lit(True)), "i_id", "left")
+    kind = F.when(F.col("_some").isNull(), "fp_on_singleton").when(F.col("_owned"), "fp_stolen").otherwise("fp_distractor")
+    return missed.unionByName(wrong.select(*pair, kind.alias("class")))
+
+
+def error_taxonomy(items: DataFrame, entities: DataFrame) -> DataFrame:
+    """(segment, class, n, share, example) by segment and, as ALL, for all. entities: (q_id, segment)."""
+    named = items.join(entities.select("q_id", "segment"), "q_id").withColumn("segment", F.explode(F.array(F.lit("ALL"), F.col("segment"))))
+    counts = named.groupBy("segment", "class").agg(F.count("*").alias("n"), F.min(F.struct("q_id", "i_id")).alias("_e"))
+    total = counts.groupBy("segment").agg(F.sum("n").alias("_all"))
+    return counts.join(total, "segment").select("segment", "class", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"), F.col("_e.q_id").alias("example_q"), F.col("_e.i_id").alias("example_i"))

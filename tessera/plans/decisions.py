@@ -236,23 +236,23 @@ def segment_calibration(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("segment").agg(F.count("*").alias("n_pairs"), F.round(F.avg("y"), 6).alias("positive_rate"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg(F.when(F.col("y") == 1, F.col("p"))), 6).alias("mean_p_positive"))
 
 
-@query(f"""{OWNED_SQL}, picked as (select q_id, i_id, y from owned where p >= 0.5),
-errors as (
-    select case when k.i_id is not null then 'wrong' else 'missed' end as kind, a.q_id, a.i_id
-    from (select q_id, i_id from pairs where y = 1 and (q_id, i_id) not in (select (q_id, i_id) from picked)) a left join (select distinct i_id from picked) k on k.i_id = a.i_id
-)
-select segment, class, count(*) as n from (
-    select q_id, case kind when 'wrong' then 'missed_given_to_other' else 'missed_unassigned' end as class from errors
-    union all select q_id, 'false_positive' from picked where y = 0
-) x join entities on entities.q_id = x.q_id group by 1, 2""")
+@query(f"""{OWNED_SQL}, truth as (select q_id, i_id from pairs where y = 1), picked as (select q_id, i_id from owned where p >= 0.5),
+cand as (select distinct l_orderkey as q_id, l_partkey * 1000 + l_suppkey % 10 as i_id from lineitem where l_quantity > 5), items as (
+    select q_id, i_id, case when (q_id, i_id) in (select (q_id, i_id) from cand) then 'missed_in_candidates' else 'blocking_miss' end as class
+    from truth where (q_id, i_id) not in (select (q_id, i_id) from picked)
+    union all select q_id, i_id, case when q_id not in (select q_id from truth) then 'fp_on_singleton' when i_id in (select i_id from truth) then 'fp_stolen' else 'fp_distractor' end
+    from picked where (q_id, i_id) not in (select (q_id, i_id) from truth)
+), named as (
+    select i.*, segment from items i join entities e on e.q_id = i.q_id union all select *, 'ALL' from items
+), counted as (select segment, class, count(*) as n, min(struct_pack(q := q_id, i := i_id)) as e from named group by 1, 2)
+select segment, class, n, round(n / sum(n) over (partition by segment), 6) as share, e.q as example_q, e.i as example_i from counted""")
 def error_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of over five pieces were candidates."""
     all_pairs = pairs(spark, sf)
-    picked = decision.one_owner(all_pairs).where("p >= 0.5")
-    missed = all_pairs.where("y = 1").join(picked, ["q_id", "i_id"], "left_anti")
-    given = missed.join(picked.select("i_id").distinct().withColumn("other", F.lit(True)), "i_id", "left")
-    classes = given.select("q_id", F.when(F.col("other"), "missed_given_to_other").otherwise("missed_unassigned").alias("class"))
-    classes = classes.unionByName(picked.where("y = 0").select("q_id", F.lit("false_positive").alias("class")))
-    return classes.join(entities(spark, sf), "q_id").groupBy("segment", "class").agg(F.count("*").alias("n"))
+    picked = decision.one_owner(all_pairs).where("p >= 0.5").select("q_id", "i_id")
+    offered = table(spark, sf, "lineitem").where("l_quantity > 5").select(F.col("l_orderkey").alias("q_id"), (F.col("l_partkey") * 1000 + F.col("l_suppkey") % 10).alias("i_id"))
+    items = metrics.error_items(all_pairs.where("y = 1").select("q_id", "i_id"), picked, offered)
+    return metrics.error_taxonomy(items, entities(spark, sf))
 
 
 TRAITS = {"urgent": "o_orderpriority = '1-URGENT'", "open_order": "o_orderstatus = 'O'", "large_part": "p_size >= 25", "dear_part": "p_retailprice >= 1000"}

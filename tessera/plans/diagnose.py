@@ -49,3 +49,40 @@ def owners(spark: SparkSession, truth: str) -> DataFrame:
 def holdout(spark: SparkSession, truth: str, share: float) -> DataFrame:
     """The entities that a deterministic hold-out takes."""
     return sampling.holdout(_entities(spark, truth, None), "q_id", share).select("q_id")
+
+
+def errors(spark: SparkSession, truth: str, predicted: str, candidates: str, source: str | None = None, examples: str | None = None) -> DataFrame:
+    """Wrong pairs by class and country; with a path, all of them are written there as tab-separated text."""
+    entities = _entities(spark, truth, source)
+    items = metrics.error_items(*(_pairs(spark, p).join(entities.select("q_id"), "q_id", "left_semi") for p in (truth, predicted, candidates)))
+    if examples:
+        items.select(F.concat_ws("\t", "class", "q_id", "i_id").alias("value")).orderBy("value").write.mode("overwrite").text(examples)
+    return metrics.error_taxonomy(items, entities)
+
+
+def sampled_lists(spark: SparkSession, path: str, share: int = 1, restrict: DataFrame | None = None) -> DataFrame:
+    """(q_id, ids) of a list file, with or without header: of the entities in restrict (q_id), if given, one in share
+    by a hash of the id."""
+    rows = lists.read_id_lists(spark, path).select(F.col("s1").alias("q_id"), "ids")
+    rows = rows if restrict is None else rows.join(restrict.select("q_id").distinct(), "q_id", "left_semi")
+    return rows.where(sampling.bucket(F.col("q_id"), share) == 0) if share > 1 else rows
+
+
+def blocking_by_source(spark: SparkSession, truth: str, candidates: str, source: str | None = None) -> DataFrame:
+    """(segment, src, n_truth, n_found, recall): which true pairs were candidates, by country, by source and for all."""
+    offered = _pairs(spark, candidates).distinct().withColumn("hit", F.lit(1))
+    pairs = _pairs(spark, truth).join(offered, ["q_id", "i_id"], "left").join(_entities(spark, truth, source).select("q_id", "segment"), "q_id")
+    named = pairs.select(F.explode(F.array(F.lit("ALL"), F.col("segment"))).alias("segment"), F.substring("i_id", 1, 2).alias("s"), "hit").select("segment", F.explode(F.array(F.lit("ALL"), F.col("s"))).alias("src"), "hit")
+    return named.groupBy("segment", "src").agg(F.count("*").alias("n_truth"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
+def checked(spark: SparkSession, path: str, header: str, source: str, index: list[str], candidates: str | None = None) -> DataFrame:
+    """list_checks of a list file against the records of the sources."""
+    rows = lists.read_id_rows(spark, path)
+    required = lists.read_source(spark, source).select(F.col("entity_id").alias("s1"))
+    known = None
+    for p in index:
+        one = lists.read_source(spark, p).select(F.col("entity_id").alias("id"))
+        known = one if known is None else known.unionByName(one)
+    offered = _pairs(spark, candidates).select(F.col("q_id").alias("s1"), F.col("i_id").alias("id")) if candidates else None
+    return lists.list_checks(rows, required, known, offered)

@@ -44,11 +44,17 @@ def index_relation(second: DataFrame, third: DataFrame) -> DataFrame:
     return second.withColumn("src", F.lit(2).cast("tinyint")).unionByName(rest.withColumn("src", F.lit(3).cast("tinyint")))
 
 
-def read_id_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, s1, ids) of a list file; of repeated first ids the last line stays."""
+def read_id_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, s1, ids) of every line of a list file, with or without header."""
     lines = _lines(spark, path)
     rows = lines.select("pos", F.trim(F.substring_index("value", "\t", 1)).alias("s1"), F.when(F.instr("value", "\t") > 0, F.expr("substr(value, instr(value, '\t') + 1)")).otherwise("").alias("rest"))
     rows = rows.where("s1 not like 'source1_%'").withColumn("ids", F.filter(F.transform(F.split("rest", ","), lambda x: F.trim(x)), lambda x: x != ""))
+    return rows.select("pos", "s1", "ids")
+
+
+def read_id_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, s1, ids) of a list file; of repeated first ids the last line stays."""
+    rows = read_id_rows(spark, path)
     w = Window.partitionBy("s1").orderBy(F.desc("pos"))
     return rows.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").select("pos", "s1", "ids")
 

@@ -1,7 +1,8 @@
 import json
 
 from tessera.__main__ import main, parsed
-from tessera.operators import bm25
+from pyspark.sql import functions as F
+from tessera.operators import bm25, learning
 from tessera.plans import diagnose
 from tessera.sources import lists
 from tessera.streaming import lookup
@@ -39,6 +40,29 @@ def test_other_reports(spark, tmp_path):
     assert lists.file_faults(spark, str(tmp_path / "bad.tsv"), "matched_entity_ids") == ["comma-separated", "2 lines without a tab"]
 
 
+def test_errors_by_class_and_full_validation(spark, tmp_path):
+    truth, predicted, source = files(tmp_path)
+    (tmp_path / "c.tsv").write_text("source1_entity_id\tcandidate_entity_ids\nS1-1\tS2-1,S3-1,S3-9\nS1-2\tS2-3\nS1-3\t\n")
+    (tmp_path / "more.tsv").write_text(PREDICTED.replace("S1-2\t\n", "S1-2\tS2-3,S2-8\n"))
+    got = {(r["segment"], r["class"]): r["n"] for r in diagnose.errors(spark, truth, str(tmp_path / "more.tsv"), str(tmp_path / "c.tsv"), source, str(tmp_path / "wrong")).collect()}
+    assert got["ALL", "missed_in_candidates"] == 1 and got["ALL", "blocking_miss"] == 1 and got["ALL", "fp_distractor"] == 1 and got["ALL", "fp_on_singleton"] == 2 and ("us", "blocking_miss") not in got
+    assert len("".join(p.read_text() for p in (tmp_path / "wrong").glob("part-*")).splitlines()) == 5
+    recall = {(r["segment"], r["src"]): r["recall"] for r in diagnose.blocking_by_source(spark, truth, str(tmp_path / "c.tsv"), source).collect()}
+    assert recall["ALL", "ALL"] == round(2 / 3, 6) and recall["ALL", "S2"] == 0.5 and recall["us", "S3"] == 1.0
+    (tmp_path / "i.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS2-1\ta\tb\tUS\nS3-9\ta\tb\tUS\n")
+    checks = {r["check"]: r["n"] for r in diagnose.checked(spark, predicted, "matched_entity_ids", source, [str(tmp_path / "i.tsv")], str(tmp_path / "c.tsv")).collect()}
+    assert checks["missing_entity"] == 1 and sum(checks.values()) == 1
+    assert diagnose.sampled_lists(spark, truth, 2).count() < 3 and diagnose.sampled_lists(spark, truth, 1, spark.createDataFrame([("S1-3",)], "q_id string")).count() == 1
+
+
+def test_rerank_touches_the_shortlist_only(spark):
+    pairs = spark.createDataFrame([(1, 1, 0.9), (2, 1, 0.5), (2, 2, 0.01), (3, 3, 0.4)], "q_id long, i_id long, p double")
+    assert sorted((r["q_id"], r["i_id"]) for r in learning.shortlist(pairs).collect()) == [(1, 1), (3, 3)] and learning.shortlist(pairs, n=1).first()["q_id"] == 1
+    scores = pairs.select("q_id", "i_id").withColumn("logit", F.lit(0.0))
+    got = {(r["q_id"], r["i_id"]): round(r["p"], 6) for r in learning.reranked(pairs, scores, 0.5).collect()}
+    assert got == {(1, 1): 0.7, (2, 1): 0.5, (2, 2): 0.01, (3, 3): 0.45}
+
+
 def test_command_line(spark, tmp_path, capsys):
     truth, predicted, source = files(tmp_path)
     assert main(["score", truth, predicted, "--source", source]) == 0 and "macro_f05" in capsys.readouterr().out
