@@ -192,6 +192,28 @@ def test_string_features_equal_plain_functions(spark):
         assert abs(r["n_cos_char"] - sum(w * b.get(k, 0) for k, w in a.items())) < 1e-9
 
 
+def test_compound_keys_equal_plain_loops(spark):
+    """All seven families."""
+    from collections import Counter
+
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 12, rng.integers(0, n))]
+    records = [("ab"[k % 2], k, "qi"[k % 3 > 0], word(6), word(6), word(5), word(5), word(5), [str(x) for x in rng.integers(0, 5, rng.integers(0, 4))], "".join(word(2))) for k in range(80)]
+    fields = ["ckey", "id", "side", "core", "alpha", "skel", "askel", "phon", "nums", "concat"]
+    df = spark.createDataFrame(records, "ckey string, id long, side string, core array<string>, alpha array<string>, skel array<string>, askel array<string>, phon array<string>, nums array<string>, concat string")
+    rows = [dict(zip(fields, r)) for r in records]
+    df_of = {f: Counter((r["ckey"], t) for r in rows for t in set(r[f])) for f in ("core", "alpha", "skel", "askel", "phon")}
+    want = set()
+    for r in rows:
+        rare = lambda f, k, r=r: sorted((t for t in set(r[f]) if df_of[f][r["ckey"], t] >= 2), key=lambda t: (df_of[f][r["ckey"], t], t))[:k]
+        cross = {"NT": (rare("core", 2), rare("alpha", 4)), "NS": (rare("skel", 2), rare("askel", 3)), "AN": (r["nums"][:2], rare("alpha", 3)), "NH": (rare("core", 2), r["nums"][:2]), "PH": (rare("phon", 2), rare("askel", 3))}
+        keys = {(f, a, b) for f, (x, y) in cross.items() for a in x for b in y}
+        keys |= {("NP", a, b) for a in rare("core", 3) for b in rare("core", 3) if a < b} | ({("NC", r["concat"], "")} if r["concat"] else set())
+        want |= {(r["ckey"], r["id"], r["side"], *k) for k in keys}
+    got = {tuple(r) for r in blocking.compound_keys(df).collect()}
+    assert got == want and len({k[3] for k in got}) == 7
+
+
 def test_keep_by_rank(spark):
     df = spark.createDataFrame([(k, k % 2 == 0) for k in range(1, 11)], "rk int, flag boolean")
     assert [r["rk"] for r in bm25.keep_by_rank(df, "flag", 3, 8).collect()] == [1, 2, 3, 4, 6, 8]
