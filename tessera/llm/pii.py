@@ -1,6 +1,7 @@
 """PII surrogates: keyed, type-consistent replacements of detected entities.
 
-Types: email, phone, ip, card, ssn, iban, secret (long hex strings and access key ids) and person (a name after an
+Types: email, phone, ip, card, ssn, iban, secret (long hex strings, access key ids, and what is
+assigned to a password, token or key, if it has eight characters and a digit) and person (a name after an
 honorific, and where the text names that person again without one). A surrogate is a keyed permutation of the
 entity's own shape: digits become digits, letters become letters of the same script, class (vowel, consonant) and
 case, separators stay. So format and script match, and
@@ -68,6 +69,7 @@ _NETS = [(0, 1 << 24), (10 << 24, 1 << 24), (127 << 24, 1 << 24), (169 << 24 | 2
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]*+(?<=\w)@[\w-]+(?:\.[\w-]*\w)+)"
     r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{32,64}|AKIA[0-9A-Z]{16})(?![0-9A-Za-z]))"
+    r"|(?<![A-Za-z])(?:[Pp]ass(?:word|wd)|PASSWORD|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?(?=[^\s\"'<>,;]{0,200}\d)(?P<credential>[^\s\"'<>,;@]{8,}+)(?!@)"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
     r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d))"
@@ -267,8 +269,11 @@ def _surrogate(kind: str, text: str, base: bytes, key: bytes) -> str:
             while _net(x):
                 x = permute(x, 1 << 32, key, "ip")
         return ".".join(map(str, x.to_bytes(4)))
-    if kind == "secret" and text.startswith("AKIA"):
+    if kind == "secret" and re.fullmatch("AKIA[0-9A-Z]{16}", text):
         return "AKIA" + shaped(text[4:].lower(), key, "access").upper()
+    if kind == "secret" and re.fullmatch("[0-9A-Fa-f]+", text) is None:
+        low = _lower(text)
+        return _cased(shaped(low, key, "secret"), text)
     if kind == "secret":
         low = text.lower()
         new = f"{permute(int(low, 16), 16 ** len(low), key, 'secret'):0{len(low)}x}"
@@ -305,6 +310,10 @@ def entities(text: str | None) -> Iterator[tuple[str, int, int]]:
         elif kind == "card" and " " not in m.group() and "-" not in m.group():
             if luhn(m.group()[:-1]) != int(m.group()[-1]):
                 continue
+        elif kind == "credential":
+            kind, stop = "secret", m.start(kind) + len(m.group(kind).rstrip(".!?:)]}"))
+            found.append((kind, m.start("credential"), stop))
+            continue
         found.append((kind, m.start(), stop))
     yield from found
     if names:
