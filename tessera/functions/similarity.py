@@ -98,32 +98,51 @@ def _common(at: dict[str, int], n: int, b: str) -> int:
     return n - (row & full).bit_count()
 
 
-def _best_prefix(a: str, b: str, best: float) -> float:
-    """Best ratio of a with prefixes of b that are shorter than a. Each character more adds one to the common
-    part at most, so lengths that can't reach the best yet are passed over."""
-    at, n, k = _masks(a), len(a), 1
-    while k < min(n, len(b) + 1):
-        common = _common(at, n, b[:k])
-        best = max(best, 2 * common / (n + k))
-        k += max(1, int((best * (n + k) - 2 * common) / (2 - best)))
+def _best_prefix(at: dict[str, int], n: int, b: str) -> float:
+    """Best ratio of a text of n characters, given by its masks, with the prefixes of b that are shorter: all in one pass."""
+    full = (1 << n) - 1
+    row, get, best = full, at.get, 0.0
+    for k, c in enumerate(b[: n - 1], 1):
+        if m := get(c):
+            u = row & m
+            row = ((row + u) | (row - u)) & full
+            best = max(best, 2 * (n - row.bit_count()) / (n + k))
     return best
 
 
+def _best_window(at: dict[str, int], n: int, b: str) -> int:
+    """The most that a text of n characters, given by its masks, has in common with a window of n characters of b. The
+    windows are lanes of one number, a bit apart for the carry, so a step serves them all; from step to step the lanes'
+    masks move on by a lane."""
+    windows, stride, full = len(b) - n + 1, n + 1, (1 << n) - 1
+    every = full * (((1 << windows * stride) - 1) // ((1 << stride) - 1))
+    row, get, last, masks = every, at.get, (windows - 1) * stride, 0
+    for w in range(windows):
+        if m := get(b[w]):
+            masks |= m << w * stride
+    for j in range(n):
+        u = row & masks
+        row = ((row + u) | (row - u)) & every
+        masks >>= stride
+        if j + 1 < n and (m := get(b[windows + j])):
+            masks |= m << last
+    least = n
+    for _ in range(windows):
+        least = min(least, (row & full).bit_count())
+        row >>= stride
+    return n - least
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with a window of the longer one, windows cut at its ends too. From window to
-    window the common part grows by one at most, so those that can't reach the best yet are passed over."""
+    """Best ratio of the shorter text with a window of the longer one, windows cut at its ends too."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
-    at, n, most, start = _masks(a), len(a), 0, 0
-    while start <= len(b) - n:
-        common = _common(at, n, b[start : start + n])
-        most = max(most, common)
-        if most == n:
-            return 1.0
-        start += max(1, most - common + 1)
-    return _best_prefix(a[::-1], b[::-1], _best_prefix(a, b, most / n))
+    if a in b:
+        return 1.0
+    at, n = _masks(a), len(a)
+    return max(_best_window(at, n, b) / n, _best_prefix(at, n, b), _best_prefix(_masks(a[::-1]), n, b[::-1]))
 
 
 def token_sort_ratio(a: str, b: str) -> float:
