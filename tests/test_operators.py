@@ -234,3 +234,64 @@ def test_context_missing_scores_are_null(spark):
 def test_tfidf_rows_are_normalised(spark):
     w = features.tfidf(spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"])], "d long, t array<string>"), "d", "t")
     assert all(abs(r["s"] - 1) < 1e-9 for r in w.groupBy("d").agg(F.sum(F.col("w") ** 2).alias("s")).collect())
+
+
+def test_words_and_skeletons_outside_of_spark(spark):
+    """The kernels' words are those of the native expressions."""
+    from tessera.functions import text as T
+    from tessera.plans.fixtures import folded_tokens, folded_words
+
+    texts = ["Ångström \u212bb \u212aelvin İstanbul STRAẞE Straße", "Photography shchool 2024 00x ghh", "", "naïve façade — ÑANDÚ ŸES œuvre", None, "a aa aaa bbookkeeper mmzz wwqq 7 xyzzy ΣΑΣ thhe", "e\u0301te\nligne\tdeux"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").withColumn("w", folded_tokens(F.col("t")))
+    for r in rows.select("k", "w", F.transform("w", T.skeleton).alias("s")).collect():
+        assert folded_words(texts[r["k"]]) == r["w"] and [T.skeleton_of(w) for w in r["w"]] == r["s"]
+
+
+@pytest.mark.parametrize("most", [0, 6, 1000])
+def test_rarest_whatever_is_frequent(spark, monkeypatch, most):
+    """Records' rarest tokens, with none, some and all frequencies known to the tasks; known tokens beyond the k rarest of
+    a record make no row."""
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    rows = [("ab"[k % 2], k, [f"w{int(x)}" for x in rng.zipf(1.3, 14) if x < 60], [f"w{int(x)}" for x in rng.integers(0, 9, 5)]) for k in range(60)]
+    records = spark.createDataFrame(rows, "ckey string, id long, core array<string>, alpha array<string>")
+    count = [Counter((r[0], t) for r in rows for t in set(r[c])) for c in (2, 3)]
+    monkeypatch.setattr(tokens, "MOST_FREQUENT", most)
+    want = {r[1]: tuple(sorted((t for t in set(r[2 + c]) if count[c][r[0], t] > 1), key=lambda t, c=c, r=r: (count[c][r[0], t], t))[:k] for c, k in ((0, 2), (1, 4))) for r in rows}
+    assert {r["id"]: (r["core"], r["alpha"]) for r in blocking.rarest(records, {"core": 2, "alpha": 4}, ["ckey", "id"]).collect()} == want
+    df = tokens.frequencies(records, "ckey", words := tokens.of_arrays(("core", "alpha")))
+    assert {(r["family"], r["ckey"], r["tok"]): r["df"] for r in df.collect()} == {(f, *k): n for f, c in zip(("core", "alpha"), count) for k, n in c.items() if n > 1}
+    known = tokens.frequent(df, most)
+    assert sum(map(len, known.values())) <= most
+    made = Counter((r["id"], r["family"]) for r in tokens.contenders(records, ["ckey", "id"], words, {"core": 2, "alpha": 4}, known).collect())
+    assert most < 1000 or max(n for (_, f), n in made.items() if f == "alpha") <= 4 and max(made[r[1], "core"] - sum(count[0][r[0], t] < 2 for t in set(r[2])) for r in rows) <= 2
+
+
+@pytest.mark.parametrize("most", [0, 20, 10_000])
+def test_cosines_of_texts_equal_those_of_term_rows(spark, monkeypatch, most):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"{'aeiou'[x % 5]}{x}" for x in rng.zipf(1.4, n) if x < 300)
+    everyone = spark.createDataFrame([("ab"[k % 2], k, text(int(rng.integers(0, 12))), text(int(rng.integers(0, 12))) if k % 5 else "") for k in range(40)], "ckey string, id long, n_core string, a_full string")
+    named = [("ab"[k % 2], k, j) for k in range(0, 12) for j in range(k % 2, 24, 2) if j != k]
+    side = lambda s: everyone.select("ckey", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n_core", "a_full")))
+    pairs = spark.createDataFrame(named, "ckey string, q_id long, i_id long").join(side("q"), ["ckey", "q_id"]).join(side("i"), ["ckey", "i_id"])
+    monkeypatch.setattr(tokens, "MOST_FREQUENT", most)
+    got = {(r["q_id"], r["i_id"]): r for r in features.with_cosines(pairs, everyone.where("id < 24"), everyone).collect()}
+    assert len(got) == len(named)
+    own = {r["id"]: r for r in features.attributes(everyone.withColumn("src", F.lit(1))).collect()}
+    for (q, i), r in got.items():
+        for v in features.VECTORS:
+            x, y = (dict(zip(own[k][f"{v}_t"] or (), own[k][f"{v}_w"] or ())) for k in (q, i))
+            size = sum(w * w for w in x.values()) ** 0.5 * sum(w * w for w in y.values()) ** 0.5
+            assert abs(r[v] - (sum(w * y.get(t, 0) for t, w in x.items()) / size if size else 0)) < 1e-9
+
+
+def test_codes_and_skeletons_of_the_words_that_are_seen(spark):
+    from tessera.functions import text as T
+    from tessera.plans.learning import SEEN_WORDS
+
+    rows = spark.createDataFrame([(" ".join(f"{'abcdeghk'[k % 8]}{'h' * (k % 3)}" for k in range(300)),), ("photographer night " * 150,), ("Élan 12 " * 90,)], "t string")
+    out = T.with_name(rows, "t").select("t", "n_core", F.col("n_skel").alias("all")).join(T.with_name(rows, "t", skeletons=SEEN_WORDS).select("t", F.col("n_skel").alias("some")), "t")
+    for r in out.withColumn("code", T.nysiis_words("n_core")).withColumn("cut", T.nysiis_words(F.array_join(F.slice(F.split("n_core", " "), 1, SEEN_WORDS), " "))).collect():
+        assert r["all"][: features.SCORED_CHARS] == r["some"][: features.SCORED_CHARS] and r["code"][: features.SCORED_CHARS] == r["cut"][: features.SCORED_CHARS]
