@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,6 +19,8 @@ from tessera.session import written
 
 #: Logits and gaps, the lowest features, stay above it.
 MISSING = -1000.0
+#: Models fitted at a time; a fit is many short jobs.
+FITS = 4
 STAGE1, STAGE2, HOLDOUT = (0, 1, 2), (3, 4, 5, 6, 7), (8, 9)
 
 
@@ -34,7 +38,9 @@ def classifier(features: list[str], label: str = "y", rounds: int = 20, depth: i
 def fit_folds(rows: DataFrame, features: list[str], folds: tuple[int, ...], rounds: int = 10, depth: int = 4) -> dict[int, PipelineModel]:
     """A model for each fold that takes part, fitted on the others of them. rows: (q_id, y, features)."""
     data, names = with_missing_flags(rows.withColumn("fold", fold_of()), features)
-    return {f: classifier(names, rounds=rounds, depth=depth).fit(data.where(F.col("fold").isin(*(x for x in folds if x != f)))) for f in folds}
+    fit = lambda f: classifier(names, rounds=rounds, depth=depth).fit(data.where(F.col("fold").isin(*(x for x in folds if x != f))))
+    with ThreadPool(min(FITS, len(folds))) as pool:
+        return dict(zip(folds, pool.map(inheritable_thread_target(rows.sparkSession)(fit), folds), strict=True))
 
 
 def fold_of(entity: str = "q_id") -> Column:

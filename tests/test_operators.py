@@ -287,6 +287,16 @@ def test_cosines_of_texts_equal_those_of_term_rows(spark, monkeypatch, most):
             assert abs(r[v] - (sum(w * y.get(t, 0) for t, w in x.items()) / size if size else 0)) < 1e-9
 
 
+def test_features_asked_for_are_those_of_all(spark):
+    """The classifier's few features, made alone, are the ones that pair_features has; skeletons and codes that string scorers
+    can't see change nothing."""
+    from tessera.plans import learning as plans
+
+    folder, few = "/root/testdata/sf0.01", ["n_tset", "n_cos_word", "n_jacc", "n_ntok_diff", "a_tset", "a_num_jacc", "bscore", "brank", "b_ntypes"]
+    both = [sorted(map(tuple, out.select("q_id", "i_id", "y", *(F.round(c, 6).alias(c) for c in few)).collect())) for out in (plans.featured(spark, folder, ("n_tset", "a_tset"), ("n_cos_word",)), plans.featured(spark, folder))]
+    assert both[0] == both[1] and len(both[0]) == 85
+
+
 def test_codes_and_skeletons_of_the_words_that_are_seen(spark):
     from tessera.functions import text as T
     from tessera.plans.learning import SEEN_WORDS
