@@ -293,7 +293,7 @@ def test_features_asked_for_are_those_of_all(spark):
     from tessera.plans import learning as plans
 
     folder, few = "/root/testdata/sf0.01", ["n_tset", "n_cos_word", "n_jacc", "n_ntok_diff", "a_tset", "a_num_jacc", "bscore", "brank", "b_ntypes"]
-    both = [sorted(map(tuple, out.select("q_id", "i_id", "y", *(F.round(c, 6).alias(c) for c in few)).collect())) for out in (plans.featured(spark, folder, ("n_tset", "a_tset"), ("n_cos_word",)), plans.featured(spark, folder))]
+    both = [sorted(map(tuple, out.select("q_id", "i_id", "y", *(F.round(c, 6).alias(c) for c in few)).collect())) for out in (plans.featured(spark, folder, ("n_tset", "a_tset"), ("n_cos_word",), names=False), plans.featured(spark, folder))]
     assert both[0] == both[1] and len(both[0]) == 85
 
 
