@@ -20,7 +20,7 @@ from tessera.session import written
 #: Logits and gaps, the lowest features, stay above it.
 MISSING = -1000.0
 #: Models fitted at a time; a fit is many short jobs.
-FITS = 4
+FITS = 2
 STAGE1, STAGE2, HOLDOUT = (0, 1, 2), (3, 4, 5, 6, 7), (8, 9)
 
 
