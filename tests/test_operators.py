@@ -305,3 +305,55 @@ def test_codes_and_skeletons_of_the_words_that_are_seen(spark):
     out = T.with_name(rows, "t").select("t", "n_core", F.col("n_skel").alias("all")).join(T.with_name(rows, "t", skeletons=SEEN_WORDS).select("t", F.col("n_skel").alias("some")), "t")
     for r in out.withColumn("code", T.nysiis_words("n_core")).withColumn("cut", T.nysiis_words(F.array_join(F.slice(F.split("n_core", " "), 1, SEEN_WORDS), " "))).collect():
         assert r["all"][: features.SCORED_CHARS] == r["some"][: features.SCORED_CHARS] and r["code"][: features.SCORED_CHARS] == r["cut"][: features.SCORED_CHARS]
+
+
+def test_pair_features_score_whole_texts(spark, tmp_path):
+    """Names and addresses that are equal for their first 200 characters and differ after them."""
+    from tessera.functions import similarity as sim
+    from tessera.functions import text as T
+    from tessera.plans import learning as plans
+
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghiklmnoprstuvw"), 6))
+    lead, other = ([word() for _ in range(60)] for _ in range(2))
+    half = lambda first: first + [word() for _ in range(60)]
+    docs = [(k, " ".join(half(lead) + half(other)), "en") for k in range(6)]
+    assert all(len(" ".join(x)) > 2 * features.SCORED_CHARS for x in (lead, other))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = plans.featured(spark, str(tmp_path)).collect()
+    plain = {"n_ratio": (sim.ratio, "n_core"), "n_pratio": (sim.partial_ratio, "n_core"), "n_tsort": (sim.token_sort_ratio, "n_core"), "n_tset": (sim.token_set_ratio, "n_core"), "n_jw": (sim.jaro_winkler_score, "n_core"), "n_lev_full": (sim.levenshtein_score, "n_full"), "n_tset_full": (sim.token_set_ratio, "n_full"), "n_concat_ratio": (sim.ratio, "n_concat"), "n_concat_pratio": (sim.partial_ratio, "n_concat"), "n_skel_ratio": (sim.token_sort_ratio, "n_skel"), "n_phon_ratio": (sim.token_set_ratio, "n_phon"), "a_ratio": (sim.ratio, "a_full"), "a_tsort": (sim.token_sort_ratio, "a_full"), "a_tset": (sim.token_set_ratio, "a_full"), "a_pratio": (sim.partial_ratio, "a_full"), "a_core_tset": (sim.token_set_ratio, "a_core"), "a_alpha_tset": (sim.token_set_ratio, "a_alpha"), "a_skel_ratio": (sim.token_set_ratio, "a_skel")}
+    assert len(rows) == 8
+    for r in rows:
+        parts = [{p: r[f"{s}_{p}"] for p in ("n_core", "n_skel", "a_full", "a_alpha", "a_skel")} for s in "qi"]
+        for own in parts:
+            own |= {"n_full": own["n_core"], "n_concat": own["n_core"].replace(" ", ""), "n_phon": T.nysiis_codes(own["n_core"]), "a_core": own["a_full"]}
+            assert len(own["n_skel"].split()) == len(own["a_skel"].split()) == len(own["n_core"].split()) == 120
+        for name, (f, part) in plain.items():
+            x, y = parts[0][part], parts[1][part]
+            assert x[: features.SCORED_CHARS] == y[: features.SCORED_CHARS] and len(x) > features.SCORED_CHARS
+            assert r[name] == pytest.approx(f(x, y), abs=1e-9) and r[name] < 1, name
+        assert r["n_alias_best"] == r["n_tset"] < 1
+
+
+def test_lean_records_score_as_whole_ones(spark):
+    from tessera.functions import text as T
+
+    texts = ["acme foods ltd", "acme fods aka zeta co", "", "zeta & co", "zeta formerly acme foods inc", "12 near mill road, pune", "élan gmbh 7"]
+    own = T.with_address(T.with_name(spark.createDataFrame([(k, t, texts[-1 - k]) for k, t in enumerate(texts)], "id int, n string, a string"), "n"), "a", F.lit("")).drop("n", "a").withColumn("n_phon", T.nysiis_words("n_core"))
+    got = []
+    for records in (own, features.lean(own)):
+        side = lambda s, records=records: records.select(*(F.col(c).alias(f"{s}_{c}") for c in records.columns))
+        out = features.string_features(side("q").crossJoin(side("i")), F.lit(True), chars=None)
+        got.append(sorted((r["q_id"], r["i_id"], *(r[n] for n in features.BASE if n in out.columns)) for r in out.collect()))
+    assert got[0] == got[1] and len(got[0]) == 49 and len({r[2:] for r in got[0]}) > 20
+
+
+def test_an_id_of_two_texts_has_each_ones_names(spark, tmp_path):
+    from tessera.plans import learning as plans
+
+    a, b = "alpha bravo charlie delta echo foxtrot golf hotel", "india juliet kilo lima alpha november oscar papa"
+    docs = [(0, a), (0, b), (1, a), (3, a), (4, b)]
+    spark.createDataFrame([(k, t, "en") for k, t in docs], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = plans.featured(spark, str(tmp_path)).collect()
+    assert rows and {(r["q_n_core"], r["q_name_df_s1"]) for r in rows if r["q_id"] == 0} == {("alpha bravo charlie delta", 2), ("india juliet kilo lima", 1)}
+    assert len(rows) == len({(r["q_id"], r["q_n_core"], r["i_id"]) for r in rows})
